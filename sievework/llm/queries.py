@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import linededup, simhash
+from sievework.llm import fingerprints, linededup, simhash, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_fingerprints": fingerprints.op1_fingerprints,
         "op3_simhash": simhash.op3_simhash,
         "op7_line_dedup": linededup.op7_line_dedup,
+        "op10_url_filters": urlfilter.op10_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": linededup.OP7_SQL}
+    return {"op7_line_dedup": linededup.OP7_SQL, "op10_url_filters": urlfilter.OP10_SQL}
