@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import fingerprints, linededup, simhash, urlfilter
+from sievework.llm import fingerprints, linededup, quality, simhash, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,8 @@ def queries() -> dict[str, Query]:
     return {
         "op1_fingerprints": fingerprints.op1_fingerprints,
         "op3_simhash": simhash.op3_simhash,
+        "op4_quality_rules": quality.op4_quality_rules,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_line_dedup": linededup.op7_line_dedup,
         "op10_url_filters": urlfilter.op10_url_filters,
     }
