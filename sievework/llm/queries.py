@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import fingerprints, linededup, quality, simhash, toxicity, urlfilter
+from sievework.llm import bpe, fingerprints, linededup, packing, quality, simhash, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,8 @@ def queries() -> dict[str, Query]:
         "op4_quality_rules": quality.op4_quality_rules,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_line_dedup": linededup.op7_line_dedup,
+        "op8_byte_bpe": bpe.op8_byte_bpe,
+        "op9_packing": packing.op9_packing,
         "op10_url_filters": urlfilter.op10_url_filters,
     }
 
