@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import bpe, fingerprints, linededup, packing, quality, simhash, toxicity, urlfilter
+from sievework.llm import bpe, fingerprints, linededup, packing, quality, sharding, simhash, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_fingerprints": fingerprints.op1_fingerprints,
         "op3_simhash": simhash.op3_simhash,
         "op4_quality_rules": quality.op4_quality_rules,
+        "op5_sharding": sharding.op5_sharding,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_line_dedup": linededup.op7_line_dedup,
         "op8_byte_bpe": bpe.op8_byte_bpe,
