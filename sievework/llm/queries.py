@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import bpe, fingerprints, linededup, packing, quality, sharding, simhash, toxicity, urlfilter
+import corpus_pipeline
+from sievework.llm import bpe, fingerprints, licenses, linededup, packing, quality, sharding, simhash, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_fingerprints": fingerprints.op1_fingerprints,
+        "op2_license_scans": licenses.op2_license_scans,
         "op3_simhash": simhash.op3_simhash,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_sharding": sharding.op5_sharding,
@@ -22,8 +24,10 @@ def queries() -> dict[str, Query]:
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_packing": packing.op9_packing,
         "op10_url_filters": urlfilter.op10_url_filters,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": linededup.OP7_SQL, "op10_url_filters": urlfilter.OP10_SQL}
+    found = {"op7_line_dedup": linededup.OP7_SQL, "op10_url_filters": urlfilter.OP10_SQL}
+    return found if corpus_pipeline.ORACLE_SQL is None else found | {"pipeline": corpus_pipeline.ORACLE_SQL}
