@@ -123,7 +123,7 @@ def greedy_quota(rows: DataFrame, tags: str, order: str, quotas: dict[str, int])
     known = F.array(*map(F.lit, quotas))
     flat = rows.select(order, F.explode(F.array_intersect(tags, known)).alias("_t"))
     near = ranked(flat, ["_t"], [order], "_p").where(F.col("_p") <= total).select(order).distinct()
-    some = rows.join(near, order, "left_semi").select(order, tags)
+    some = rows.join(near, order, "left_semi").select(order, tags, F.lit(1).alias("_all"))
 
     def run(pdf):
         left, out = dict(quotas), []
@@ -136,7 +136,7 @@ def greedy_quota(rows: DataFrame, tags: str, order: str, quotas: dict[str, int])
         pdf["tag"] = out
         return pdf[pdf["tag"].notna()][[order, "tag"]]
 
-    return some.groupBy(F.lit(1)).applyInPandas(run, f"{order} {dict(rows.dtypes)[order]}, tag string")
+    return some.groupBy("_all").applyInPandas(run, f"{order} {dict(rows.dtypes)[order]}, tag string")
 
 
 def anonymised(rows: DataFrame, item: str, member: str, seed: int) -> DataFrame:
