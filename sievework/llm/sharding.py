@@ -3,8 +3,8 @@
 Neighbours are documents with equal texts. A group is kept as a hub: the table of (group, shard) counts says how many
 neighbours a document has in each shard, so no pairs are made. Every document starts in a shard of its hash. In each
 round a group's members propose to move to the shard with most of the group among those with room; proposals are tallied
-by target, gain and a hash (a bounded table), a target admits the highest gains first up to its quota, and a tally that
-only fits in part (a group larger than a shard) admits the share that fits. Documents alone in their group never cut a
+by source, target, gain and a hash (a bounded table), a target admits the highest gains first up to its quota, room that
+moves leave behind is used again, and a tally that only fits in part (a group larger than a shard) is admitted in part. Documents alone in their group never cut a
 link, so they are left for the last step: shards above their count give them first, then group members, to those below,
 and every shard gets a gapless numbering from counts of (shard, hash) cells. The law is `rows`: counts at most one apart.
 
@@ -20,9 +20,9 @@ from pyspark.sql.window import Window
 
 from sievework.llm.common import drop, materialize, parts, text_of
 
-SHARDS, ROUNDS = 8, 4
+SHARDS, ROUNDS = 8, 6
 #: Hash cells that proposals of one target and gain are tallied by, and parts in a thousand of a cell that may be admitted.
-CELLS, SHARE = 64, 1000
+CELLS, SHARE = 32, 1000
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -35,17 +35,32 @@ def _cell(group: Column) -> Column:
     return F.pmod(F.xxhash64(group, F.lit(7)), F.lit(CELLS)).cast("int")
 
 
-def admitted(demand: list[tuple[int, int, int, int]], room: dict[int, int]) -> list[tuple[int, int, int, int]]:
-    """(target, level, cell, share of SHARE): the proposals that targets with so much room admit, highest gains first."""
-    out, left = [], dict(room)
-    for target, level, cell, n in sorted(demand, key=lambda x: (x[0], -x[1], x[2])):
+def admitted(demand: list[tuple[int, int, int, int, int]], room: dict[int, int]) -> list[tuple[int, int, int, int, int]]:
+    """(source, target, level, cell, share of SHARE): what targets with so much room admit of (source, target, level, cell, n).
+
+    Highest gains first, fewest rows first among equals, so one large group does not shut out small ones; what leaves a
+    source gives it room again, so the list is gone through until nothing more fits whole; then tallies larger than all
+    room there is are admitted in part.
+    """
+    left, waiting, out = dict(room), sorted(demand, key=lambda x: (-x[2], x[4], x)), []
+    while True:
+        still = []
+        for source, target, level, cell, n in waiting:
+            if n <= left.get(target, 0):
+                out.append((source, target, level, cell, SHARE))
+                left[target] -= n
+                left[source] = left.get(source, 0) + n
+            else:
+                still.append((source, target, level, cell, n))
+        if len(still) == len(waiting):
+            break
+        waiting = still
+    for source, target, level, cell, n in waiting:
         here = left.get(target, 0)
-        if here <= 0:
-            continue
-        share = SHARE if n <= here else SHARE * here * 19 // (20 * n)
+        share = SHARE * here * 19 // (20 * n) if here > 0 else 0
         if share:
-            out.append((target, level, cell, share))
-            left[target] = here - min(n, here)
+            out.append((source, target, level, cell, share))
+            left[target] -= here
     return out
 
 
@@ -56,25 +71,31 @@ def propagate(grouped: DataFrame, quota: int, shards: int = SHARDS, rounds: int
         tally = materialize(now.groupBy("group_id", "shard").agg(F.count("*").alias("n")), "shard-tally")
         held = {r.shard: r.n for r in tally.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         room = {s: quota - held.get(s, 0) for s in range(shards)}
-        open_ = [s for s in range(shards) if room[s] > 0]
+        open_ = [s for s in range(shards) if i % 2 == 0 or room[s] > 0]
         if not open_:
             break
-        best = tally.where(F.col("shard").isin(open_)).groupBy("group_id").agg(F.max(F.struct("n", (-F.col("shard")).alias("t"))).alias("best"))
-        best = best.select("group_id", F.col("best.n").alias("n_there"), (-F.col("best.t")).alias("target"))
+        # Equal counts are decided by a hash, not by the shard's number, so that no shard is favoured.
+        first = F.struct("n", F.xxhash64("group_id", "shard").alias("h"), F.col("shard").alias("t"))
+        best = tally.where(F.col("shard").isin(open_)).groupBy("group_id").agg(F.max(first).alias("best"))
+        best = best.select("group_id", F.col("best.n").alias("n_there"), F.col("best.t").alias("target"))
         asked = tally.join(best, "group_id").where((F.col("shard") != F.col("target")) & (F.col("n_there") >= F.col("n")))
         asked = asked.withColumn("level", F.floor(F.log2(F.col("n_there") - F.col("n") + 1)).cast("int")).withColumn("cell", _cell(F.col("group_id")))
         asked = materialize(asked.select(F.col("group_id").alias("g"), F.col("shard").alias("s"), "target", "level", "cell", "n"), "shard-asked")
-        # At most shards * 64 levels * CELLS rows.
-        demand = [(r.target, r.level, r.cell, r.n) for r in asked.groupBy("target", "level", "cell").agg(F.sum("n").alias("n")).collect()]
+        # At most shards * shards * 64 levels * CELLS rows.
+        demand = [(r.s, r.target, r.level, r.cell, r.n) for r in asked.groupBy("s", "target", "level", "cell").agg(F.sum("n").alias("n")).collect()]
         grant = admitted(demand, room)
         if not grant:
+            drop(tally)
+            drop(asked)
+            if i % 2 == 0:
+                continue
             break
-        granted = spark.createDataFrame(grant, "target int, level int, cell int, share int").coalesce(1)
-        moves = materialize(asked.join(F.broadcast(granted), ["target", "level", "cell"]).select("g", "s", "target", "share"), "shard-moves")
+        granted = spark.createDataFrame(grant, "s int, target int, level int, cell int, share int").coalesce(1)
+        moves = materialize(asked.join(F.broadcast(granted), ["s", "target", "level", "cell"]).select("g", "s", "target", "share"), "shard-moves")
         moved = now.join(moves, (F.col("group_id") == F.col("g")) & (F.col("shard") == F.col("s")), "left")
         goes = F.col("target").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(SHARE)) < F.col("share"))
         new = materialize(moved.select(*[c for c in now.columns if c != "shard"], F.when(goes, F.col("target")).otherwise(F.col("shard")).alias("shard")), "shard-state")
-        for old in (tally, asked, moves, now if i else None):
+        for old in (tally, asked, moves, now):
             drop(old)
         now = new
     return now
@@ -119,7 +140,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     state = materialize(base.join(many, base.group_id == many.many_id, "left").select(*base.columns, start.alias("shard"), F.col("many_id").isNotNull().alias("tied")), "shard-start")
     drop(many)
     total = state.count()
-    grouped = propagate(state.where("tied"), max(1, total // shards), shards, rounds)
+    tied = materialize(state.where("tied"), "shard-tied")
+    grouped = propagate(tied, max(1, total // shards), shards, rounds)
     return even_out(state.where("not tied").unionByName(grouped), shards)
 
 
