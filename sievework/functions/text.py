@@ -281,7 +281,7 @@ def untagged(text: Column) -> Column:
 
 def section_of(markdown: Column, heading: str) -> Column:
     """Text from the level-two heading that holds `heading` to the next one."""
-    return F.trim(F.regexp_extract(markdown, rf"(?ims)^##[^\n]*{heading}[^\n]*\n(.*?)(?=^## |\z)", 1))
+    return F.regexp_replace(F.regexp_extract(markdown, rf"(?ims)^##[^\n]*{heading}[^\n]*\n(.*?)(?=^## |\z)", 1), r"^\s+|\s+$", "")
 
 
 def front_matter(markdown: Column) -> tuple[Column, Column]:

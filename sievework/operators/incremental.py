@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     """The log at the path; an empty frame where there is none yet."""
     try:
         return spark.read.schema(schema).json(path)
