@@ -33,6 +33,8 @@ SEED = 42
 GROUP_CAP = 8192
 #: Members of a group that is searched together with others, without an index of its own.
 SMALL = 16
+#: Masks that go first where there are many.
+FIRST_MASKS = 8
 #: Children of a node in the index.
 FANOUT = 16
 
@@ -134,11 +136,10 @@ def links(values: np.ndarray, bits: int, chunk: int = 1 << 20) -> Iterator[tuple
             todo.append((below, left[good], right[good]))
 
 
-def _local_roots(values: np.ndarray, bits: int) -> np.ndarray:
-    """For each of the distinct values of a group, the smallest (unsigned) value that it reaches inside the group."""
+def _local_roots(values: np.ndarray, labels: np.ndarray, bits: int) -> np.ndarray:
+    """For each of the distinct values of a group, the smallest label that it reaches inside the group."""
     order = np.argsort(gray_rank(values), kind="stable")
-    ranked = values[order]
-    label = ranked.copy()
+    ranked, label = values[order], labels[order]
     pairs = list(links(ranked, bits)) if len(values) <= 4096 else None
     while True:
         before = label.copy()
@@ -153,7 +154,7 @@ def _local_roots(values: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _small_groups(fp: np.ndarray, starts: np.ndarray, sizes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _small_groups(fp: np.ndarray, labels: np.ndarray, starts: np.ndarray, sizes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges of many groups of at most SMALL members at once: their pairs by distance in the order, then smallest labels."""
     rows = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
     values, left = fp[rows], np.repeat(np.cumsum(sizes), sizes) - np.arange(sizes.sum())  # members from here to the group's end
@@ -163,37 +164,44 @@ def _small_groups(fp: np.ndarray, starts: np.ndarray, sizes: np.ndarray, bits: i
         at = at[np.bitwise_count(values[at] ^ values[at + step]) <= bits]
         pairs.append((at, at + step))
     a, b = (np.concatenate(x) for x in zip(*pairs))
-    label = values.copy()
+    own = labels[rows]
+    label = own.copy()
     while True:
         low = np.minimum(label[a], label[b])
         if (label[a] == low).all() and (label[b] == low).all():
             break
         np.minimum.at(label, a, low)
         np.minimum.at(label, b, low)
-    keep = label != values
-    return values[keep], label[keep]
+    keep = label != own
+    return own[keep], label[keep]
 
 
 def _group_edges(batches: Iterator[pa.RecordBatch], bits: int, cap: int | None) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (mask, part): edges (0, member, root), or (1, member, mask) of groups above the cap."""
+    """Over rows (mask, part, fingerprint, label) sorted by (mask, part): edges (0, label, smaller label), each between
+    labels that meet in a group, or (1, member, mask) of groups above the cap."""
 
     def flush(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["kind", "a", "b"])
 
-    held: list[np.ndarray] = []  # of the group that is open
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # fingerprints and labels of the group that is open
     state = {"key": None, "size": 0, "hot": False}
 
     def close() -> tuple[np.ndarray, np.ndarray] | None:
-        own = np.unique(np.concatenate(held)) if held else np.empty(0, np.uint64)
+        if not held:
+            return None
+        all_, labels = (np.concatenate(x) for x in zip(*held))
         held.clear()
+        own, first = np.unique(all_, return_index=True)
         if state["hot"] or len(own) < 2:
             return None
-        roots = _local_roots(own, bits)
-        keep = roots != own
-        return own[keep], roots[keep]
+        labels = labels[first]
+        roots = _local_roots(own, labels, bits)
+        keep = roots != labels
+        return labels[keep], roots[keep]
 
     for batch in batches:
-        mask, part, fp = (np.asarray(batch.column(i)).astype(np.int64) for i in range(3))
+        mask, part, fp, label = (np.asarray(batch.column(i)).astype(np.int64) for i in range(4))
+        label = label.view(np.uint64)
         if not len(fp):
             continue
         cut = np.flatnonzero((mask[1:] != mask[:-1]) | (part[1:] != part[:-1])) + 1
@@ -204,7 +212,7 @@ def _group_edges(batches: Iterator[pa.RecordBatch], bits: int, cap: int | None)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         hot: list[tuple[np.ndarray, np.ndarray]] = []
         if (small := inner & (sizes > 1) & (sizes <= SMALL)).any():
-            found.append(_small_groups(fp.view(np.uint64), starts[small], sizes[small], bits))
+            found.append(_small_groups(fp.view(np.uint64), label, starts[small], sizes[small], bits))
         for i in np.flatnonzero(~inner | (sizes > SMALL)).tolist():
             s, e = int(starts[i]), int(ends[i])
             key = (int(mask[s]), int(part[s]))
@@ -213,10 +221,10 @@ def _group_edges(batches: Iterator[pa.RecordBatch], bits: int, cap: int | None)
                     found.append(got)
                 state.update(key=key, size=0, hot=False)
             state["size"] += e - s
-            held.append(fp[s:e].view(np.uint64))
+            held.append((fp[s:e].view(np.uint64), label[s:e]))
             if state["hot"] or (cap is not None and state["size"] > cap):
                 state["hot"] = True
-                all_of = np.concatenate(held)
+                all_of = np.concatenate([x for x, _ in held])
                 hot.append((all_of, np.full(len(all_of), key[0], np.int64).view(np.uint64)))
                 held.clear()
         if found:
@@ -230,29 +238,50 @@ def _group_edges(batches: Iterator[pa.RecordBatch], bits: int, cap: int | None)
         yield flush(0, *got)
 
 
-def edges(distinct: DataFrame, bits: int, cap: int = GROUP_CAP) -> DataFrame:
-    """(a, b): an edge from each fingerprint to the smallest of its part of each group; `distinct` has (fingerprint).
+def edges(labelled: DataFrame, bits: int, masks: list[int], cap: int = GROUP_CAP) -> DataFrame:
+    """(a, b): edges between labels of fingerprints that meet in a group of one of the masks; `labelled` has (fingerprint, label).
 
-    The edges connect exactly what links of at most `bits` differing bits connect.
+    With all the masks the edges connect exactly what links of at most `bits` differing bits connect.
     """
-    spark, dealt = distinct.sparkSession, _dealt(bits)
+    spark, dealt = labelled.sparkSession, _dealt(bits)
 
     def search(rows: DataFrame, limit: int | None) -> DataFrame:
-        keyed = rows.select("mask", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("part"), "fingerprint")
+        keyed = rows.select("mask", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("part"), "fingerprint", "label")
         grouped = keyed.repartition(max(parts(spark), 1), "mask", "part").sortWithinPartitions("mask", "part")
         return grouped.mapInArrow(lambda it: _group_edges(it, bits, limit), "kind int, a long, b long")
 
-    first = distinct.select("fingerprint", F.explode(F.array(*[F.lit(_signed(m)) for m in dealt[0]])).alias("mask"))
+    first = labelled.select("fingerprint", "label", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
     found = materialize(search(first, cap), "simhash-links")
     out = found.where("kind = 0").select("a", "b")
-    hot = found.where("kind = 1").select(F.col("a").alias("fingerprint"), F.col("b").alias("mask")).distinct()
+    hot = found.where("kind = 1").select(F.col("a").alias("f"), F.col("b").alias("mask")).distinct()
     if not hot.isEmpty():
-        finer = F.create_map(*[x for m in dealt[0] for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(s)) for s in dealt[m]]))])
-        again = hot.select("fingerprint", F.explode(F.element_at(finer, F.col("mask"))).alias("mask"))
+        finer = F.create_map(*[x for m in masks for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(s)) for s in dealt[m]]))])
+        again = hot.join(labelled, F.col("f") == F.col("fingerprint")).select("fingerprint", "label", F.explode(F.element_at(finer, F.col("mask"))).alias("mask"))
         out = out.unionByName(materialize(search(again, None), "simhash-links-2").select("a", "b"))
     return out.distinct()
 
 
+def linked(distinct: DataFrame, bits: int, cap: int = GROUP_CAP) -> DataFrame:
+    """(fingerprint, root) of all fingerprints of `distinct` that link to another.
+
+    Where there are many masks, a few of them go first: what they connect carries one label in the second round, so
+    members of a dense group are not linked again under every mask.
+    """
+    masks = _dealt(bits)[0]
+    some = masks[:: max(1, len(masks) // FIRST_MASKS)] if len(masks) > 2 * FIRST_MASKS else masks
+    rest = [m for m in masks if m not in set(some)]
+    found = components(edges(distinct.select("fingerprint", F.col("fingerprint").alias("label")), bits, some, cap), "near")
+    if not rest:
+        return found.select(F.col("node").alias("fingerprint"), "root")
+    one = distinct.select("fingerprint").join(found, distinct.fingerprint == found.node, "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("label"))
+    one = materialize(one, "simhash-labels")
+    more = components(edges(one, bits, rest, cap), "nearer").select("node", F.col("root").alias("far"))
+    both = one.join(more, one.label == more.node, "left").select("fingerprint", F.coalesce("far", "label").alias("root"))
+    # A root that no other fingerprint shares has no links.
+    kept = both.where(F.col("root") != F.col("fingerprint"))
+    return kept.unionByName(kept.select(F.col("root").alias("fingerprint"), "root").distinct())
+
+
 def components(links_: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) of every node that has an edge (a, b): root is the smallest node reachable.
 
@@ -280,11 +309,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, cap: int =
     """(doc_id, fingerprint bigint, component_id): component_id is the smallest doc_id reachable over links, itself included."""
     marked = materialize(fingerprints(docs, shingle), "simhash")
     distinct = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
-    linked = components(edges(distinct.select("fingerprint"), bits, cap))
-    roots = distinct.join(linked, distinct.fingerprint == linked.node, "left").select("fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root"))
-    smallest = roots.groupBy(F.col("root").alias("of")).agg(F.min("first_id").alias("component_id"))
-    named = roots.join(smallest, roots.root == smallest.of).select(F.col("fingerprint").alias("named"), "component_id")
-    return marked.join(named, marked.fingerprint == named.named).select("doc_id", "fingerprint", "component_id")
+    roots = materialize(linked(distinct.select("fingerprint"), bits, cap), "simhash-roots")
+    # Only fingerprints with links need a look at others; the minimum is combined before it is shuffled.
+    ids = roots.join(distinct, "fingerprint").groupBy(F.col("root").alias("of")).agg(F.min("first_id").alias("component_id"))
+    ids = materialize(ids, "simhash-components")
+    named = materialize(roots.join(ids, roots.root == ids.of).select(F.col("fingerprint").alias("named"), "component_id"), "simhash-named")
+    alone = distinct.select(F.col("fingerprint").alias("one"), "first_id")
+    every = alone.join(named, alone.one == named.named, "left").select("one", F.coalesce("component_id", "first_id").alias("component_id"))
+    every = materialize(every, "simhash-all")
+    return marked.join(every, marked.fingerprint == every.one).select("doc_id", "fingerprint", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 6) -> DataFrame:
