@@ -127,7 +127,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int) -> tuple[
     """Weights and bias by accelerated gradient descent; rows of a label weigh as much as those of the other."""
     w, b, vw, vb = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(x.shape[1], np.float32), 0.0
     cost = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())).astype(np.float32)
-    rate = 4.0 / max(1e-6, float((cost[:, None] * x**2).sum(axis=0).sum()) + 1.0)
+    rate = 4.0 / max(1e-6, float(cost @ np.einsum("ij,ij->i", x, x)) + 1.0)
     for i in range(rounds):
         ww, bb = w + vw, b + vb
         g = cost * (1 / (1 + np.exp(-np.clip(x @ ww + bb, -30, 30))) - y).astype(np.float32)
@@ -151,18 +151,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     got = map_batches(rows.select("text", F.col("quality").cast("int"), "key"), one, "x binary, y int, key long").toArrow().sort_by("key")
     if not got.num_rows:
         return None
-    x = np.stack([np.frombuffer(v, np.float16) for v in got.column("x").to_pylist()]).astype(np.float32)
+    x = np.empty((got.num_rows, SLOTS), np.float32)
+    for i, row in enumerate(got.column("x")):
+        x[i] = np.frombuffer(row.as_buffer(), np.float16)
     y = np.array(got.column("y").to_pylist(), np.float32)
+    del got
     if y.min() == y.max():
         return None
     held = np.arange(len(y)) % 4 == 3
     if min(y[~held].max(), y[held].max(initial=0)) == 0 or max(y[~held].min(), y[held].min(initial=1)) == 1:
         held = np.zeros(len(y), bool)
-    scale = 1.0 / np.sqrt((x[~held] ** 2).mean(axis=0) + 1e-7)
-    w, b = _logistic(x[~held] * scale, y[~held], 1e-3, 400)
-    w = w * scale
-    test = held if held.any() else ~held
+    fit = np.flatnonzero(~held)
+    scale = (1.0 / np.sqrt(np.einsum("ij,ij->j", x, x) / len(x) + 1e-7)).astype(np.float32)
+    x *= scale  # in place: the table is the largest thing on the driver
+    w, b = _logistic(x if len(fit) == len(x) else x[fit], y[fit], 1e-3, 400)
+    test = np.flatnonzero(held) if held.any() else fit
     z, t = x[test] @ w + b, y[test]
+    w = w * scale
     slope, offset = _platt(z.astype(float), t.astype(float))
     return Model(w.astype(np.float64), float(b), slope, offset)
 
