@@ -322,9 +322,13 @@ def chat_row(system: Column, user: Column, assistant: Column) -> Column:
     return F.array(*[F.struct(F.lit(role).alias("role"), text.alias("content")) for role, text in (("system", system), ("user", user), ("assistant", assistant))])
 
 
-def even_chunks(text: Column, words_per_chunk: int, most: int, between: str = "\n...\n") -> Column:
-    """Windows of words; of more than `most`, those at evenly spaced places, joined."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+def words_of(text: Column) -> Column:
+    """Words between blanks. Give it a column of its own before a lambda reads it, or each call splits the text again."""
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def even_chunks(words: Column, words_per_chunk: int, most: int, between: str = "\n...\n") -> Column:
+    """Windows of an array of words; of more than `most`, those at evenly spaced places, joined."""
     n = F.ceil(F.size(words) / words_per_chunk).cast("int")
     all_ = F.sequence(F.lit(0), n - 1)
     some = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.bround(k * (n - 1) / F.lit(float(most - 1)), 0).cast("int")))

@@ -16,10 +16,10 @@ from sievework.session import table
 def gated(spark, sf) -> DataFrame:
     """Documents with the reasons of a gate stack, ASCII text squeezed, and a key."""
     docs = table(spark, sf, "documents")
-    clean = T.squeezed(F.regexp_replace("text", r"[^\x00-\x7F]", ""))
+    clean = T.squeezed(F.regexp_replace("text", r"[^\x00-\x7F]+", ""))
     rows = docs.select("doc_id", "lang", "source", clean.alias("body")).withColumn("words", F.size(F.split("body", " "))).withColumn("key", F.lower("body"))
-    symbols = F.length("body") - F.length(F.translate("body", "#*$%&|<>", ""))
-    return G.with_reasons(rows, [("too_short", F.col("words") < 30), ("symbols", symbols * 20 > F.length("body")), ("shouting", F.length(F.regexp_replace("body", "[^A-Z]", "")) * 2 > F.length("body")),
+    symbols = F.length("body") - F.length(F.regexp_replace("body", r"[#*$%&|<>]+", ""))
+    return G.with_reasons(rows, [("too_short", F.col("words") < 30), ("symbols", symbols * 20 > F.length("body")), ("shouting", F.length(F.regexp_replace("body", "[^A-Z]+", "")) * 2 > F.length("body")),
                                  ("table", F.size(F.split("body", r" \| ")) > 10), ("abuse", F.col("body").rlike(r"(?i)(^|[^a-z])(stupid|trash|idiot|moron)([^a-z]|$)"))])
 
 
@@ -33,7 +33,7 @@ _CLEAN = """clean AS (SELECT *, CASE WHEN len(reasons) = 0 AND row_number() OVER
 
 
 def held_keys(spark, sf) -> DataFrame:
-    return table(spark, sf, "benchmark").select(F.lower(T.squeezed(F.regexp_replace("text", r"[^\x00-\x7F]", ""))).alias("key")).distinct()
+    return table(spark, sf, "benchmark").select(F.lower(T.squeezed(F.regexp_replace("text", r"[^\x00-\x7F]+", ""))).alias("key")).distinct()
 
 
 @query(f"""WITH {_GATED}, {_CLEAN}, {_HELD}, left_ AS (SELECT c.* FROM clean c ANTI JOIN held USING (key)),
@@ -158,7 +158,8 @@ def whitespace_normalised(spark, sf) -> DataFrame:
   p AS (SELECT doc_id, w, CASE WHEN n <= 4 THEN range(n) ELSE list_sort(list_distinct(list_transform(range(4), lambda k: CAST(round_even(k * (n - 1) / 3.0, 0) AS BIGINT)))) END AS places FROM n)
   SELECT doc_id, array_to_string(list_transform(places, lambda i: array_to_string(w[CAST(i * 50 + 1 AS BIGINT):CAST(i * 50 + 50 AS BIGINT)], ' ')), ' ... ') AS digest FROM p""")
 def digest_even_chunks(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", T.even_chunks(F.trim(F.regexp_replace("text", r"\s+", " ")), 50, 4, " ... ").alias("digest"))
+    words = table(spark, sf, "documents").select("doc_id", T.words_of(F.col("text")).alias("words"))
+    return words.select("doc_id", T.even_chunks(F.col("words"), 50, 4, " ... ").alias("digest"))
 
 
 @query(r"""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
