@@ -85,6 +85,18 @@ def find_edge(edges: list, value: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["lo"])
 
 
+def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """At most n rows, the first by the hash of the key.
+
+    A threshold on the hash, from the number of rows, leaves little more than n of them, so that no task sends n rows to
+    the last one. All rows are used if there are at most n.
+    """
+    total = rows.count()
+    if total > n:
+        rows = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * min(1.0, (n + 6 * n**0.5 + 64) / total)) + 1)
+    return rows.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 30)), key).limit(n)
+
+
 def raw_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text in an Arrow column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

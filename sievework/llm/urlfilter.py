@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievework.llm.common import ascii_lower, find_edge, parts
+from sievework.llm.common import ascii_lower, find_edge, hash_sample, parts
 
 #: The contract's rules.
 BASE_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -65,7 +65,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT) ->
     seen = seen.withColumn("key", host_key(F.col("host"))).withColumn("place", F.concat("key", F.lit("\u0000"), tail))
     ranges = RANGES_PER_PARTITION * parts(spark)
     # A bounded sample of places gives the edges of the ranges, as in any range partitioning.
-    sampled = seen.select("place").orderBy(F.xxhash64("place")).limit(ranges * SAMPLED_PER_RANGE)
+    sampled = hash_sample(seen.select("place"), "place", ranges * SAMPLED_PER_RANGE)
     places = sorted(r.place for r in sampled.collect())
     edges = sorted({places[i * len(places) // ranges] for i in range(1, ranges)}) if places else []
     pages_in = seen.select(find_edge(edges, F.col("place")).alias("range"), "place", F.lit(1).alias("kind"), "page_id", "host", "path", "key", F.lit(None).cast("array<struct<size:int,order:bigint,key:string,rule_path:string,rule:string,verdict:string>>").alias("stack"))
