@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import map_batches, text_of
+from sievework.llm.common import hash_sample, map_batches, text_of
 
 #: Labelled rows that training reads at most.
 SAMPLE = 4_000
@@ -140,7 +140,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int) -> tuple[
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The classifier, from at most `sample` labelled rows; None if either label is missing."""
     clean = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    some = clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    some = hash_sample(clean, "doc_id", sample)
     rows = docs.select("doc_id", text_of().cast("string").alias("text")).join(F.broadcast(some), "doc_id").withColumn("key", F.xxhash64("text")).dropDuplicates(["key"])
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import map_batches, text_of
+from sievework.llm.common import hash_sample, map_batches, text_of
 
 #: Labelled rows that training reads at most.
 SAMPLE = 16_000
@@ -130,7 +130,7 @@ def forms_of(text: str) -> set[str]:
 def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """(text, toxic, fold): labelled texts, equal texts once; at most `sample` rows, so the labels' side is bounded."""
     clean = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    some = clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    some = hash_sample(clean, "doc_id", sample)
     joined = docs.select("doc_id", text_of().cast("string").alias("text")).join(F.broadcast(some), "doc_id")
     keyed = joined.withColumn("key", F.xxhash64("text"))
     return keyed.dropDuplicates(["key"]).select("text", "toxic", (F.pmod(F.col("key"), F.lit(5)) < 4).alias("fit"))
