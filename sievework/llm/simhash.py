@@ -285,23 +285,28 @@ def linked(distinct: DataFrame, bits: int, cap: int = GROUP_CAP) -> DataFrame:
 def components(links_: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) of every node that has an edge (a, b): root is the smallest node reachable.
 
-    Each round takes the smallest label among neighbours (a join and a combined minimum) and then the label's own label
-    (pointer jump). Rounds end when no label changes. Joins are plain shuffles of narrow rows, which Spark may split.
+    Each round takes the smallest label among neighbours, gives it to the node and to the node's old root as well (so that
+    whole trees are hooked and rounds do not follow the length of a chain), and then the label's own label (pointer jump).
+    Rounds go on until no label changes; labels only fall, so that comes. Joins are plain shuffles of narrow rows, which
+    Spark may split.
     """
     both = materialize(links_.select("a", "b").union(links_.select("b", "a")).distinct(), f"{label}-edges")
     nearest = both.groupBy("a").agg(F.min("b").alias("b"))
     now = materialize(nearest.select(F.col("a").alias("node"), F.least("a", "b").alias("root")), f"{label}-0")
-    for i in range(1, 64):
+    changed, i = True, 0
+    while changed:
+        i += 1
         said = both.join(now, both.b == now.node).groupBy("a").agg(F.min("root").alias("near"))
-        low = now.join(said, now.node == said.a, "left").select("node", F.least("root", F.coalesce("near", "root")).alias("root"), F.col("root").alias("was"))
+        low = now.join(said, now.node == said.a, "left").select("node", F.least("root", F.coalesce("near", "root")).alias("low"), F.col("root").alias("was"))
+        # Each node's own row keeps what it was; a row for its old root hooks that one.
+        told = low.select(F.explode(F.array(F.struct("node", "low", "was"), F.struct(F.col("was").alias("node"), "low", F.lit(None).cast("long").alias("was")))).alias("x")).select("x.*")
+        told = told.groupBy("node").agg(F.min("low").alias("root"), F.max("was").alias("was"))
         up = now.select(F.col("node").alias("up"), F.col("root").alias("above"))
-        jumped = low.join(up, low.root == up.up, "left").select("node", F.least("root", F.coalesce("above", "root")).alias("root"), "was")
+        jumped = told.join(up, told.root == up.up, "left").select("node", F.least("root", F.coalesce("above", "root")).alias("root"), "was")
         new = materialize(jumped, f"{label}-{i}")
         changed = not new.where("root <> was").isEmpty()
         drop(now)
         now = new
-        if not changed:
-            break
     return now.select("node", "root")
 
 

@@ -90,3 +90,14 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("text", ["", "a", "a b", "a b c", "Ünï cödé wörds ÀÉ x", "x " * 70000])
 def test_fingerprint_of_one_text(text):
     assert simhash.simhash(text.encode(), 3) == brute_fingerprint(text)
+
+
+def test_a_chain_of_several_hundred_is_one_component(spark, monkeypatch):
+    ids = list(range(400))
+    random.Random(4).shuffle(ids)
+    rounds = []
+    monkeypatch.setattr(simhash, "materialize", lambda df, label, f=simhash.materialize: rounds.append(label) or f(df, label))
+    edges = spark.createDataFrame([*zip(ids, ids[1:]), (1000, 1001)], "a long, b long")
+    got = sorted(tuple(r) for r in simhash.components(edges, "chain").collect())
+    assert got == [(i, 0) for i in range(400)] + [(1000, 1000), (1001, 1000)]
+    assert len(rounds) < 24
