@@ -10,13 +10,16 @@ on pieces: there are at most `size` lengths and each sweep splits at most one ru
 that does not depend on the corpus (about 2 * size * size rows). The distributed work is to cut, rank and look up.
 
 Defined cases: a null or empty text is the end token alone; rows that share a doc_id are packed each (their pieces tie by
-length and checksum); an empty table gives an empty result; other columns are ignored.
+length and checksum); the string of an added token is that token (<|endoftext|> is one id); an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -30,14 +33,27 @@ from sievework.llm.common import map_batches, materialize, parts
 
 SIZE, END = 1024, 2
 
+#: The tokenizer whose ids the contract fixes.
+TOKENIZER = "byte_bpe_50k.json"
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
+@cache
+def _library(path: str):
+    """The tokenizers library on a tokenizer file, and the strings of its added tokens."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as lines:
+        added = tuple(x["content"] for x in json.load(lines)["added_tokens"])
+    return Tokenizer.from_file(path), added
+
+
 def id_bytes(path: str) -> Encoder:
     """An encoder whose pieces are ids as little-endian unsigned 32-bit numbers.
 
     The rank file and the tokenizer file hold one vocabulary (a test compares their ids); ranks encode several times
-    faster.
+    faster. They know no added tokens: text_ids() has those.
     """
     if path not in _ENCODERS:
         import tiktoken
@@ -48,6 +64,14 @@ def id_bytes(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def text_ids(text: str, path: str) -> bytes:
+    """The library's ids of a text, as bytes: by ranks, or by the library itself where an added token's string occurs."""
+    library, added = _library(public_tokenizers.path(TOKENIZER))
+    if any(x in text for x in added):
+        return np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    return b"".join(id_bytes(path)(text))
+
+
 def cut(length: int, size: int = SIZE) -> list[tuple[int, int]]:
     """(start, length) of the pieces: all full but the first."""
     first = length % size or min(size, length)
@@ -59,10 +83,9 @@ def tokenized(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> D
     tail = np.array([end], "<u4").tobytes()
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encoder = id_bytes(path)
         out: list[tuple] = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids = memoryview(b"".join(encoder(text or "")) + tail)
+            ids = memoryview(text_ids(text or "", path) + tail)
             out += [(doc, i, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)])) for i, (at, n) in enumerate(cut(len(ids) // 4, size))]
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]

@@ -106,3 +106,17 @@ def test_packed_documents(spark):
             at += r.length
         assert at <= 128
     assert packing.pack_documents(docs.limit(0), size=128).collect() == []
+
+
+def test_packed_ids_as_the_library_by_default(spark):
+    library = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    special = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|>\n\n<|endoftext|>y", "é<|endoftext", "word <|endoftext|> " * 90]
+    assert library.encode(special[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    rows = list(enumerate(texts(40) + special))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack_documents(docs, size=64).collect()
+    for doc, text in rows:
+        ids = np.array(library.encode(text, add_special_tokens=False).ids + [2], "<u4")
+        own = sorted((r for r in got if r.doc_id == doc), key=lambda r: r.piece)
+        assert [(r.start, r.length) for r in own] == packing.cut(len(ids), 64)
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in own)
