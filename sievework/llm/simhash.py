@@ -330,7 +330,11 @@ def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 6) -> DataFrame:
 
     Rows that share a doc_id count as one document; the first text in order stays. All columns of docs are kept.
     """
-    marked = near_duplicates(docs, shingle, bits)
+    return keep_first(docs, near_duplicates(docs, shingle, bits))
+
+
+def keep_first(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """docs of which `marked` (doc_id, component_id) gives the doc_id as its component's smallest, each once."""
     stay = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id")).distinct()
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     stay = stay.select(F.coalesce("stay_id", F.lit(-(1 << 63))).alias("_stay"))
