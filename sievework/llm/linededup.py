@@ -34,6 +34,8 @@ from sievework.llm.common import drop, map_batches, materialize, parts
 BLANK = b" \t\n\x0b\x0c\r"
 #: 16 bytes each, so at most 8 MB to an executor.
 BROADCAST_KEYS = 500_000
+#: Above the fanout of two, so that later batches are anti-joined with what the first ones settled.
+BATCHES = 4
 
 
 def line_keys(text: bytes, min_chars: int) -> list[bytes | None]:
@@ -172,7 +174,7 @@ def _unpacked(label: str, flat: bytes) -> set[bytes]:
     return _CACHE[label]
 
 
-def common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 2) -> DataFrame:
+def common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = BATCHES) -> DataFrame:
     """(h1, h2) of the lines found in at least min_docs rows of docs, fed to the runs batch by batch."""
     runs = LineRuns(docs.sparkSession, min_docs, min_chars)
     deal = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(batches))
@@ -181,7 +183,7 @@ def common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batche
     return materialize(runs.common(), "line-common")
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 2, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = BATCHES, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """docs, all columns, with every common line gone from its text, and _n_lines, _n_dropped."""
     return drop_common(docs, common_lines(docs, min_docs, min_chars, batches), min_chars, broadcast_keys)
 
