@@ -8,12 +8,17 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Code points that separate words: space and the five ASCII controls from tab to carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
+#: Bytes of text that a Python function gets at once, beside the longest single text.
+SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,9 +51,33 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def sorted_run(rows: DataFrame, label: str, keys: list[str]) -> DataFrame:
+    """Like materialize(), but in as many buckets as there are shuffle partitions, each sorted by the keys: joins and sums
+    of such tables by these keys need no shuffle."""
+    spark = rows.sparkSession
+    name = f"sievework_{label}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/sievework/{name}"
+    rows.write.bucketBy(parts(spark), *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    out = spark.table(name)
+    out._sievework_path, out._sievework_table = path, name
+    return out
+
+
+def only(table: DataFrame, test: Column) -> DataFrame:
+    """The rows of a written table that pass the test; drop() of them removes the table."""
+    out = table.where(test)
+    out._sievework_path, out._sievework_table = getattr(table, "_sievework_path", None), getattr(table, "_sievework_table", None)
+    return out
+
+
 def drop(df: DataFrame | None) -> None:
-    """Removes a table that materialize() wrote, once nothing reads it any more."""
+    """Removes a table that materialize() or sorted_run() wrote, once nothing reads it any more."""
     path = getattr(df, "_sievework_path", None)
+    if table := getattr(df, "_sievework_table", None):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
     if path:
         jvm = df.sparkSession.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
@@ -102,12 +131,64 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """fn over each Arrow batch; a batch without rows gives nothing."""
+def free_names(taken: list[str], wanted: list[str]) -> list[str]:
+    """The wanted names, each with underscores before it until no column has it (Spark ignores case in names)."""
+    used = {x.lower() for x in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row (maps apart, which have none), that tells null from any value."""
+    own = [named(c) for c, kind in docs.dtypes if "map<" not in kind]
+    return F.xxhash64(*own, *(x.isNull() for x in own))
+
+
+def keep_least(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """docs, all columns: of the rows of each root one, that of the smallest doc_id (nulls last), then of the smallest hash.
+
+    `rooted` has (doc_id, row, root) for each row of docs, row being row_hash. Of rows that agree in all columns one stays.
+    """
+    least = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("k"))
+    least = least.select(F.coalesce("k.doc_id", F.lit(0)).alias("stay_id"), F.col("k.row").alias("stay_row"))
+    own, row = free_names([*docs.columns, *least.columns], ["own_id", "own_row"])
+    keyed = docs.withColumn(row, row_hash(docs)).withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    stay = keyed.join(least.select(F.col("stay_id").alias(own), F.col("stay_row").alias(row)), [own, row], "left_semi")
+    return stay.dropDuplicates([own, row]).select(*map(named, docs.columns))
+
+
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in consecutive parts that hold little more than `most` bytes of text each, without copying."""
+    if batch.num_rows < 2 or batch.nbytes <= most:
+        yield batch
+        return
+    size = np.full(batch.num_rows, batch.num_columns * 8, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(size) - size) // most
+    cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cut, cut[1:]):
+        yield batch.slice(a, b - a)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
+    """fn over the slices of each Arrow batch; a slice without rows gives nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None and out.num_rows:
-                yield out
+            for part in slices(batch):
+                if part.num_rows and (out := fn(part)) is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)

@@ -1,21 +1,22 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a table (h1, h2, n) sorted by hash: n documents of the run's batches hold a line of that key. Each new batch
-hashes its documents' distinct lines, leaves out (merge anti-join) the keys that earlier runs already settled as
-common, and adds the rest as a sorted run of level 0. When a level holds `fanout` runs they are compacted into one run
-of the next level: counts of equal keys are summed, and keys that reach the threshold move to the settled run. Totals
-over all runs are exact, so the common keys are those of exactly the lines found in at least `min_docs` documents.
-Those lines go from every document.
+A run is a table (h1, h2, n), bucketed and sorted by hash: n documents of the run's batches hold a line of that key. Each
+new batch hashes its documents' distinct lines, leaves out (merge anti-join) the keys that earlier runs already settled
+as common, and adds the rest as a run of level 0. When a level holds `fanout` runs they are compacted into one run of the
+next level: buckets are merged as they lie, without a new shuffle, counts of equal keys are summed, and keys that reach
+the threshold move to the settled run. Totals over all runs are exact, so the common keys are those of exactly the lines
+found in at least `min_docs` documents. Those lines go from every document.
 
 A line's key is the line with space and the ASCII controls from tab to carriage return stripped at both ends and A-Z
 lower-cased; keys shorter than `min_chars` code points are never dropped. Keys are compared by 128 bits of XXH3.
 
 Dropping has two ways. If the common keys are at most `broadcast_keys`, they go to all executors and each document is
-filtered where it is read. Beyond that the documents' line hashes are joined to the runs, hits are gathered by document
-and joined to the texts by doc_id.
+filtered where it is read. Beyond that the documents' line hashes are joined to the runs, hits are gathered for each
+distinct text (known by 128 bits of hash) and joined to the texts.
 
 Defined cases: a null or empty text is one empty line; rows are documents even if they repeat or share a doc_id; an
-empty table gives an empty result; other columns are kept by dedup_lines and ignored by the contract query.
+empty table gives an empty result; other columns are kept by dedup_lines, whose two added columns get underscores more
+where such a name is taken, and ignored by the contract query.
 """
 
 from __future__ import annotations
@@ -28,14 +29,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from sievework.llm.common import drop, map_batches, materialize, parts
+from sievework.llm.common import drop, free_names, map_batches, materialize, named, only, sorted_run
 
 BLANK = b" \t\n\x0b\x0c\r"
 #: 16 bytes each, so at most 8 MB to an executor.
 BROADCAST_KEYS = 500_000
 #: Above the fanout of two, so that later batches are anti-joined with what the first ones settled.
 BATCHES = 4
+#: Names of the columns that dedup_lines adds.
+COUNTS = ["_n_lines", "_n_dropped"]
 
 
 def line_keys(text: bytes, min_chars: int) -> list[bytes | None]:
@@ -47,15 +51,22 @@ def line_keys(text: bytes, min_chars: int) -> list[bytes | None]:
     return [digest(k) if len(k) >= min_chars and len(k.decode("utf-8", "replace")) >= min_chars else None for k in keys]
 
 
+def _hash_columns(raw: bytes | bytearray) -> list[np.ndarray]:
+    """16-byte keys one after another as two columns of signed 64-bit numbers."""
+    both = np.frombuffer(raw, ">i8").reshape(-1, 2)
+    return [both[:, i].astype(np.int64) for i in range(2)]
+
+
 def _hashed(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(h1, h2, n): how many documents of each Arrow batch hold each key."""
+    """(h1, h2, n): how many documents of each slice of a batch hold each key."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        raw = bytearray()
-        for text in batch.column(0).cast(pa.binary()).to_pylist():
-            raw += b"".join({k for k in line_keys(text or b"", min_chars) if k is not None})
-        both, n = np.unique(np.frombuffer(bytes(raw), ">i8").astype(np.int64).reshape(-1, 2), axis=0, return_counts=True) if raw else (np.empty((0, 2), np.int64), np.empty(0, np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), pa.array(n.astype(np.int64))], ["h1", "h2", "n"])
+        seen: dict[bytes, int] = {}
+        for text in batch.column(0).cast(pa.binary()):
+            for k in set(line_keys(text.as_py() or b"", min_chars)):
+                if k is not None:
+                    seen[k] = seen.get(k, 0) + 1
+        return pa.RecordBatch.from_arrays([*map(pa.array, _hash_columns(b"".join(seen))), pa.array(seen.values(), pa.int64(), size=len(seen))], ["h1", "h2", "n"])
 
     return map_batches(docs.select(F.col("text").cast("string")), one, "h1 long, h2 long, n long")
 
@@ -68,16 +79,15 @@ class LineRuns:
         self.levels: list[list[DataFrame]] = []
         self.settled: DataFrame | None = None
 
-    def _sorted_run(self, rows: DataFrame) -> DataFrame:
-        summed = rows.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-        return materialize(summed.sortWithinPartitions("h1", "h2"), "line-run")
+    def _run(self, rows: DataFrame, label: str = "line_run") -> DataFrame:
+        return sorted_run(rows, label, ["h1", "h2"])
 
     def add(self, batch: DataFrame) -> None:
         """Adds one batch of documents; each of its rows must be added once."""
-        rows = _hashed(batch, self.min_chars)
+        rows = _hashed(batch, self.min_chars).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
         if self.settled is not None:
-            rows = rows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).join(self.settled.hint("merge"), ["h1", "h2"], "left_anti")
-        self._put(0, self._sorted_run(rows))
+            rows = rows.join(self.settled.hint("merge"), ["h1", "h2"], "left_anti")
+        self._put(0, self._run(rows))
 
     def _put(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
@@ -86,30 +96,31 @@ class LineRuns:
         if len(self.levels[level]) >= self.fanout:
             self._compact(level)
 
+    def _merged(self, runs: list[DataFrame]) -> DataFrame:
+        """The runs as one, by merge joins of their buckets."""
+        out = runs[0]
+        for run in runs[1:]:
+            other = run.withColumnRenamed("n", "m").hint("merge")
+            out = out.join(other, ["h1", "h2"], "full_outer").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
+        return out
+
     def _compact(self, level: int) -> None:
         old = self.levels[level]
         self.levels[level] = []
-        merged = old[0]
-        for run in old[1:]:
-            merged = merged.unionByName(run)
-        merged = self._sorted_run(merged)
+        merged = self._run(self._merged(old))
         common = merged.where(F.col("n") >= self.min_docs).select("h1", "h2")
         was = self.settled
-        self.settled = materialize(common if was is None else common.unionByName(was).distinct(), "line-settled")
-        drop(was)
-        rest = materialize(merged.where(F.col("n") < self.min_docs), "line-run")
-        for run in [*old, merged]:
+        self.settled = self._run(common if was is None else common.join(was.hint("merge"), ["h1", "h2"], "full_outer"), "line_settled")
+        for run in [*old, was]:
             drop(run)
-        self._put(level + 1, rest)
+        # Settled keys stay in the run that settled them, and are left out wherever it is read.
+        self._put(level + 1, only(merged, F.col("n") < self.min_docs))
 
     def common(self) -> DataFrame:
         """(h1, h2) of every key found in at least min_docs documents."""
         runs = [run for level in self.levels for run in level]
-        total = None
-        for run in runs:
-            total = run if total is None else total.unionByName(run)
-        found = total.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where(F.col("n") >= self.min_docs).select("h1", "h2")
-        return found if self.settled is None else found.unionByName(self.settled).distinct()
+        found = self._merged(runs).where(F.col("n") >= self.min_docs).select("h1", "h2")
+        return found if self.settled is None else found.join(self.settled.hint("merge"), ["h1", "h2"], "full_outer")
 
 
 def _kept(text: bytes, common: set[bytes], min_chars: int) -> tuple[bytes, int, int]:
@@ -119,19 +130,19 @@ def _kept(text: bytes, common: set[bytes], min_chars: int) -> tuple[bytes, int,
 
 
 def drop_common(docs: DataFrame, common: DataFrame, min_chars: int = 1, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """docs with the text rewritten and the columns _n_lines, _n_dropped: every line whose key is in `common` goes."""
+    """docs with the text rewritten and two more columns (free_names of COUNTS): every line whose key is in `common` goes."""
     spark = docs.sparkSession
     names = docs.columns
-    at = names.index("text")
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", _n_lines long, _n_dropped long"
+    at, more = names.index("text"), free_names(names, COUNTS)
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    schema = StructType([*docs.schema.fields, *(StructField(x, LongType()) for x in more)])
 
     def rewrite(batch: pa.RecordBatch, sets: Iterable[set[bytes]]) -> pa.RecordBatch:
-        done = [_kept(t or b"", s, min_chars) for t, s in zip(batch.column(at).cast(pa.binary()).to_pylist(), sets)]
+        done = [_kept(t.as_py() or b"", s, min_chars) for t, s in zip(batch.column(at).cast(pa.binary()), sets)]
         columns = [batch.column(i) for i in range(len(names))]
         columns[at] = pa.array([x[0] for x in done], pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays([*columns, pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64())], [*names, "_n_lines", "_n_dropped"])
+        return pa.RecordBatch.from_arrays([*columns, pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64())], [*names, *more])
 
-    docs = docs.withColumn("text", F.col("text").cast("string"))
     if common.count() <= broadcast_keys:
         rows = common.select("h1", "h2").toArrow()  # checked above: at most broadcast_keys pairs of numbers
         flat = np.stack([rows.column(i).to_numpy() for i in range(2)], axis=1).astype(">i8").tobytes()
@@ -144,20 +155,24 @@ def drop_common(docs: DataFrame, common: DataFrame, min_chars: int = 1, broadcas
         return map_batches(docs, near, schema)
 
     def hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, raw = [], bytearray()
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-            own = {k for k in line_keys(text or b"", min_chars) if k is not None}
-            ids += [i] * len(own)
+        size, raw = [], bytearray()
+        for text in batch.column(2).cast(pa.binary()):
+            own = {k for k in line_keys(text.as_py() or b"", min_chars) if k is not None}
+            size.append(len(own))
             raw += b"".join(own)
-        both = np.frombuffer(bytes(raw), ">i8").astype(np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["hit_id", "h1", "h2"])
+        ids = [pa.array(np.repeat(batch.column(i).to_numpy(), size)) for i in range(2)]
+        return pa.RecordBatch.from_arrays([*ids, *map(pa.array, _hash_columns(raw))], ["t1", "t2", "h1", "h2"])
 
-    lines = map_batches(docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("hit_id"), "text"), hashes, "hit_id long, h1 long, h2 long")
-    hits = lines.join(common, ["h1", "h2"], "left_semi").groupBy(F.col("hit_id").alias("_sw_of")).agg(F.collect_set(F.struct("h1", "h2")).alias("_sw_hits"))
-    joined = docs.withColumn("_sw_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(hits, F.col("_sw_id") == F.col("_sw_of"), "left").select(*names, "_sw_hits")
+    # A text's hits follow from the text, so equal texts share them, and each is hashed once.
+    same = [F.xxhash64(F.coalesce("text", F.lit(""))), F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")))]
+    lines = map_batches(docs.select(same[0].alias("t1"), same[1].alias("t2"), "text"), hashes, "t1 long, t2 long, h1 long, h2 long").distinct()
+    hits = lines.join(common, ["h1", "h2"], "left_semi").groupBy("t1", "t2").agg(F.collect_list(F.struct("h1", "h2")).alias("hits"))
+    t1, t2, found = free_names(names, ["t1", "t2", "hits"])
+    hits = hits.select(F.col("t1").alias(t1), F.col("t2").alias(t2), F.col("hits").alias(found))
+    joined = docs.withColumn(t1, same[0]).withColumn(t2, same[1]).join(hits, [t1, t2], "left").select(*map(named, names), found)
 
     def far(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = ({np.array([(x["h1"], x["h2"])], ">i8").tobytes() for x in hit or []} for hit in batch.column(len(names)).to_pylist())
+        sets = ({np.array([(x["h1"], x["h2"])], ">i8").tobytes() for x in hit.as_py() or []} for hit in batch.column(len(names)))
         return rewrite(batch, sets)
 
     return map_batches(joined, far, schema)
@@ -177,14 +192,14 @@ def _unpacked(label: str, flat: bytes) -> set[bytes]:
 def common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = BATCHES) -> DataFrame:
     """(h1, h2) of the lines found in at least min_docs rows of docs, fed to the runs batch by batch."""
     runs = LineRuns(docs.sparkSession, min_docs, min_chars)
-    deal = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(batches))
+    deal = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(batches))
     for b in range(batches):
         runs.add(docs.where(deal == b))
     return materialize(runs.common(), "line-common")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = BATCHES, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """docs, all columns, with every common line gone from its text, and _n_lines, _n_dropped."""
+    """docs, all columns, with every common line gone from its text, and two more: free_names of COUNTS."""
     return drop_common(docs, common_lines(docs, min_docs, min_chars, batches), min_chars, broadcast_keys)
 
 
