@@ -6,14 +6,17 @@ inflections of a toxic stem share evidence. A form's log-odds has an informative
 proportional to the form's background rate. Forms whose log-odds is significant (z above Z_LEAST) carry their log-odds as
 score; every other word costs DRIFT. The form statistics come from four fifths of the sample.
 
-Scoring is one linear scan of each text (all maximal segments, kept on a stack). The best segment's score is normalised
-by the extreme-value (Gumbel) law that maximal segments of the clean texts of the other fifth follow: location in
-proportion to the logarithm of the length, so long texts get no bonus for chance. Segments below the significance level
-PASSAGE_P are passages; the document's score is the calibrated probability of the label given the best normalised score.
+Scoring is one linear scan of each text (all maximal segments, kept on a stack). Segment scores are normalised by the
+extreme-value (Gumbel) law that best segments of the clean texts of the other fifth follow: location in proportion to the
+logarithm of the length, so long texts get no bonus for chance. Segments below the significance level PASSAGE_P are
+passages. A document's evidence aggregates its segments: the law of the sum of the r best normalised scores says how
+unlikely that sum is for chance, each further segment has its price, and the least likely r counts. The document's score
+is the calibrated probability of the label given the evidence.
 
 Defined cases: null and empty texts have no words and score as texts without evidence; labels with a null part are left
-out of training; without toxic or without clean labels nothing is toxic (score 0); repeated rows are scored each; an
-empty table gives an empty result; other columns are kept by reject_toxic and ignored by the contract query.
+out of training, and a text that has both labels counts as toxic; without toxic or without clean labels nothing is toxic
+(score 0); repeated rows are scored each; an empty table gives an empty result; other columns are kept by reject_toxic,
+and by score, whose two columns get underscores more where such a name is taken, and ignored by the contract query.
 """
 
 from __future__ import annotations
@@ -27,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from sievework.llm.common import hash_sample, map_batches, text_of
+from sievework.llm.common import free_names, hash_sample, map_batches, named, text_of
 
 #: Labelled rows that training reads at most.
 SAMPLE = 16_000
@@ -40,6 +44,12 @@ PRIOR = 20.0
 DRIFT = 0.08
 #: Chance below which a maximal segment counts as a toxic passage.
 PASSAGE_P = 0.01
+#: Segments that a document's evidence sums at most; further ones add less than their price.
+SUMMED = 32
+#: Words that a worker remembers, and the longest of them.
+MEMO, MEMO_WORD = 300_000, 64
+#: Columns that score adds.
+ADDED = ["_score", "_passages"]
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -70,24 +80,42 @@ def maximal_segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[
     """All maximal-scoring segments (score, first, last) of a sequence that scores hits and -drift everywhere else.
 
     Linear in the number of hits: candidates wait on a stack with the running totals at their left and right ends, and a
-    new one is merged with those that it extends.
+    new one is merged with those that it extends. Each knows the nearest candidate before it with a smaller left total, so
+    what lies between is not looked at again.
     """
-    stack: list[tuple[float, float, int, int]] = []  # total before, total after, first, last
+    stack: list[tuple[float, float, int, int, int]] = []  # total before, total after, first, last, nearest smaller before
     total, at = 0.0, -1
     for place, score in hits:
         total -= drift * (place - at - 1)
         left, right, first = total, total + score, place
         total, at = right, place
+        j = len(stack) - 1
         while True:
-            j = len(stack) - 1
             while j >= 0 and stack[j][0] >= left:
-                j -= 1
+                j = stack[j][4]
             if j < 0 or stack[j][1] >= right:
                 break
-            left, first = stack[j][0], stack[j][2]
+            left, _, first, _, before = stack[j]
             del stack[j:]
-        stack.append((left, right, first, place))
-    return [(r - l, a, b) for l, r, a, b in stack]
+            j = before
+        stack.append((left, right, first, place, j))
+    return [(r - l, a, b) for l, r, a, b, _ in stack]
+
+
+def evidence(normals: list[float]) -> float:
+    """How unlikely a document's normalised segment scores are for chance, as a negative logarithm.
+
+    The sum x of the r best of independent Gumbel scores exceeds x with a chance of about exp(-x) x^(r-1) / (r! (r-1)!);
+    choosing r costs a factor of two for each segment beyond the first. One segment alone counts as its own score.
+    """
+    best = top = max(normals)
+    x = logs = 0.0
+    for r, one in enumerate(sorted((v for v in normals if v > 0), reverse=True)[:SUMMED], 1):
+        x += one
+        if r > 1:
+            logs += math.log(r) + math.log(r - 1)
+            best = max(best, x - (r - 1) * math.log(x) + logs - (r - 1) * math.log(2)) if x > r - 1 else best
+    return max(top, best)
 
 
 def _hits(text: str, score_of: dict[str, float], model: Model) -> tuple[list[tuple[int, float]], int]:
@@ -97,25 +125,30 @@ def _hits(text: str, score_of: dict[str, float], model: Model) -> tuple[list[tup
     for i, w in enumerate(words):
         s = score_of.get(w)
         if s is None:
-            if len(score_of) > 300_000:
-                score_of.clear()
-            s = score_of[w] = model.word_score(w)
+            s = model.word_score(w)
+            if len(w) <= MEMO_WORD:
+                if len(score_of) > MEMO:
+                    score_of.clear()
+                score_of[w] = s
         if s:
             hits.append((i, s))
     return hits, len(words)
 
 
 def raw_score(text: str, memo: dict[str, float], model: Model) -> tuple[float, float, list[tuple[float, int, int]]]:
-    """(best segment's score, its Gumbel-normalised value, significant passages)."""
+    """(best segment's score, the evidence of all segments, significant passages)."""
     hits, n = _hits(text, memo, model)
-    if not hits:
-        return 0.0, -(model.base + model.per_log * math.log(n + 1)) / model.beta, []
-    segments = maximal_segments(hits, DRIFT)
+    return weighed(maximal_segments(hits, DRIFT), n, model)
+
+
+def weighed(segments: list[tuple[float, int, int]], n: int, model: Model) -> tuple[float, float, list[tuple[float, int, int]]]:
+    """The same of the segments of a text of n words."""
     centre = model.base + model.per_log * math.log(n + 1)
+    if not segments:
+        return 0.0, -centre / model.beta, []
     chance = lambda s: -math.expm1(-math.exp(min(50.0, -(s - centre) / model.beta)))
     passages = [x for x in segments if chance(x[0]) <= PASSAGE_P]
-    best = max(x[0] for x in segments)
-    return best, (best - centre) / model.beta, passages
+    return max(x[0] for x in segments), evidence([(x[0] - centre) / model.beta for x in segments]), passages
 
 
 def probability(model: Model, normal: float) -> float:
@@ -133,7 +166,8 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     some = hash_sample(clean, "doc_id", sample)
     joined = docs.select("doc_id", text_of().cast("string").alias("text")).join(F.broadcast(some), "doc_id")
     keyed = joined.withColumn("key", F.xxhash64("text"))
-    return keyed.dropDuplicates(["key"]).select("text", "toxic", (F.pmod(F.col("key"), F.lit(5)) < 4).alias("fit"))
+    once = keyed.groupBy("key").agg(F.any_value("text").alias("text"), F.max("toxic").alias("toxic"))
+    return once.select("text", "toxic", (F.pmod(F.col("key"), F.lit(5)) < 4).alias("fit"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
@@ -163,26 +197,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     forms = {r.form: round(r.odds, 6) for r in scored.where((F.col("z") >= Z_LEAST) & (F.col("odds") > 1.0)).select("form", "odds").collect()}
     first = Model(forms, 0.0, 0.0, 1.0, 1.0, 0.0)
 
-    def best(batch: pa.RecordBatch) -> pa.RecordBatch:
-        memo: dict[str, float] = {}
-        out = []
+    memo: dict[str, float] = {}
+
+    def top(batch: pa.RecordBatch) -> pa.RecordBatch:
+        scores, sizes = [], []
         for text in batch.column(0).to_pylist():
             hits, n = _hits(text, memo, first)
-            out.append((max((x[0] for x in maximal_segments(hits, DRIFT)), default=0.0), n))
-        return pa.RecordBatch.from_arrays([batch.column(1), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.int64())], ["toxic", "best", "n"])
+            scores.append(sorted((x[0] for x in maximal_segments(hits, DRIFT)), reverse=True)[:SUMMED])
+            sizes.append(n)
+        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(scores, pa.list_(pa.float64())), pa.array(sizes, pa.int64())], ["toxic", "top", "n"])
 
-    # Two numbers for each row of the bounded sample.
-    seen = map_batches(rows.where("not fit").select("text", F.col("toxic").cast("int")), best, "toxic int, best double, n long").collect()
+    # At most SUMMED + 2 numbers for each row of the bounded sample.
+    seen = map_batches(rows.where("not fit").select("text", F.col("toxic").cast("int")), top, "toxic int, top array<double>, n long").collect()
     rows.unpersist()
-    y = np.array([r.toxic for r in seen], float)
-    s = np.array([r.best for r in seen], float)
-    logs = np.log(np.array([r.n for r in seen], float) + 1)
-    return _calibrated(forms, y, s, logs)
+    return _calibrated(forms, np.array([r.toxic for r in seen], float), [r.top for r in seen], [r.n for r in seen])
 
 
-def _calibrated(forms: dict[str, float], y: np.ndarray, s: np.ndarray, logs: np.ndarray) -> Model:
+def _calibrated(forms: dict[str, float], y: np.ndarray, tops: list[list[float]], sizes: list[int]) -> Model:
     """The Gumbel law from clean rows (moments about a line in log length), then a logistic curve by Newton's method."""
     clean = y == 0
+    logs, s = np.log(np.array(sizes, float) + 1), np.array([max(t, default=0.0) for t in tops])
     if clean.sum() >= 2:
         x = logs[clean]
         per_log = max(0.0, float(np.cov(x, s[clean])[0, 1] / max(x.var(ddof=1), 1e-9)))
@@ -191,9 +225,10 @@ def _calibrated(forms: dict[str, float], y: np.ndarray, s: np.ndarray, logs: np.
         base = float(rest.mean() - 0.5772156649015329 * beta)
     else:
         per_log, beta, base = 0.0, 1.0, 0.0
-    normal = (s - base - per_log * logs) / beta
+    law = Model(forms, base, per_log, beta, 1.0, -3.0)
+    normal = np.array([weighed([(v, 0, 0) for v in t], n, law)[1] for t, n in zip(tops, sizes)])
     if y.min(initial=1.0) == y.max(initial=0.0):
-        return Model(forms, base, per_log, beta, 1.0, -3.0)
+        return law
     n1, n0 = y.sum(), (1 - y).sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     z = np.clip(normal, -20, 20)
@@ -212,25 +247,28 @@ def _calibrated(forms: dict[str, float], y: np.ndarray, s: np.ndarray, logs: np.
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs, all columns, with _score double, _passages array<struct<score, first, last>> (words from 0) of toxic passages."""
+    """docs, all columns, with the score (double) and the toxic passages, array<struct<score, first, last>> (words from 0);
+    names are free_names of ADDED."""
     names = docs.columns
-    at = names.index("text")
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", _score double, _passages array<struct<score:double,first:int,last:int>>"
+    at, more = names.index("text"), free_names(names, ADDED)
+    passage = StructType([StructField("score", DoubleType()), StructField("first", IntegerType()), StructField("last", IntegerType())])
+    schema = StructType([*docs.schema.fields, StructField(more[0], DoubleType()), StructField(more[1], ArrayType(passage))])
     kind = pa.list_(pa.struct([("score", pa.float64()), ("first", pa.int32()), ("last", pa.int32())]))
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    memo: dict[str, float] = {}  # each task has its own
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m, memo = sent.value, {}
+        m = sent.value
         scores, passages = [], []
         for text in batch.column(at).to_pylist():
             if m is None:
                 scores.append(0.0)
                 passages.append([])
                 continue
-            _, normal, found = raw_score(text or "", memo, m)
-            scores.append(probability(m, max(-20.0, min(20.0, normal))))
+            _, weight, found = raw_score(text or "", memo, m)
+            scores.append(probability(m, max(-20.0, min(20.0, weight))))
             passages.append([{"score": s, "first": a, "last": b} for s, a, b in found])
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(passages, kind)], [*names, "_score", "_passages"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(passages, kind)], [*names, *more])
 
     return map_batches(docs, one, schema)
 
@@ -238,7 +276,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs, all columns, without the documents that score at or above the threshold."""
     names = docs.columns
-    return score(docs, train(docs, labels)).where(F.col("_score") < threshold).select(*names)
+    kept = named(free_names(names, ADDED)[0]) < threshold
+    return score(docs, train(docs, labels)).where(kept).select(*map(named, names))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
