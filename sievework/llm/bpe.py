@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Callable
 from functools import cache
 
@@ -33,8 +34,10 @@ from sievework.llm.common import map_batches
 
 #: The rank file; a parameter of every function that needs one.
 RANKS = "byte_bpe_50k.tiktoken"
-#: Entries that a worker remembers before it starts afresh.
-MEMO = 300_000
+#: Entries of each half of what a worker remembers, and the code points of the longest.
+MEMO, MEMO_LONGEST = 400_000, 48
+#: A space without a blank on either side.
+LONE = re.compile(r" (?<=\S )(?=\S)")
 
 
 @cache
@@ -92,44 +95,46 @@ def merged_pieces(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return fold(word, ranks) if len(word) < 200 else fold_long(word, ranks)
 
 
+class Memo(dict):
+    """What `make` gives for a key, remembered for short keys. When it is full it becomes the older half, of which only what
+    is asked for again comes back, so that its bytes are bounded and frequent keys stay."""
+
+    def __init__(self, make: Callable[[str], object], entries: int = MEMO, longest: int = MEMO_LONGEST):
+        super().__init__()
+        self.make, self.entries, self.longest, self.older = make, entries, longest, {}
+
+    def __missing__(self, key: str) -> object:
+        found = self.older.pop(key, None)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.entries:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 class Encoder:
-    """Applies `make` to the pieces of texts between lone spaces, remembering what it gave."""
+    """Applies `make` to the stretches of texts between lone spaces, remembering what it gave."""
 
-    def __init__(self, make: Callable[[str], object], memo: int = MEMO):
-        self.make, self.memo, self.known = make, memo, {}
+    def __init__(self, make: Callable[[str], object]):
+        self.head, self.rest = Memo(make), Memo(lambda x: make(" " + x))
 
     def __call__(self, text: str) -> list:
         """What `make` gives for each stretch of the text, in order."""
-        known, out = self.known, []
-        if len(known) > self.memo:
-            known.clear()
-        for stretch in stretches(text):
-            found = known.get(stretch)
-            if found is None:
-                found = known[stretch] = self.make(stretch)
-            out.append(found)
+        if not text:
+            return []
+        cut = LONE.split(text)
+        out = list(map(self.rest.__getitem__, cut))
+        out[0] = self.head[cut[0]]
         return out
 
 
 def stretches(text: str) -> list[str]:
     """The text cut before each space that has no blank on either side."""
-    cut = text.split(" ")
-    if len(cut) == 1:
-        return [text] if text else []
-    out = [cut[0]] if cut[0] else []
-    # A stretch may be cut off before if what stands before the space and after it is not blank.
-    open_end = not cut[0] or cut[0][-1].isspace()
-    for i in range(1, len(cut)):
-        x = cut[i]
-        if open_end or not x or x[0].isspace():
-            if out:
-                out[-1] += " " + x
-            else:
-                out.append(" " + x)
-        else:
-            out.append(" " + x)
-        open_end = not x or x[-1].isspace()
-    return out
+    cut = LONE.split(text)
+    return [x for x in (cut[0], *(" " + x for x in cut[1:])) if x]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -141,19 +146,14 @@ def digests(path: str) -> Encoder:
         ranks, words = load_ranks(path), regex.compile(public_tokenizers.PATTERN)
         piece_of = {i: p for p, i in ranks.items()}
 
-        known: dict[str, tuple[str, bytes]] = {}
+        def fresh(word: str) -> tuple[str, bytes]:
+            ids = [ranks[p] for p in merged_pieces(word.encode(), ranks)]
+            return " ".join(map(str, ids)), b"".join([piece_of[i] for i in ids])
 
-        def of(word: str) -> tuple[str, bytes]:
-            found = known.get(word)
-            if found is None:
-                if len(known) > MEMO:
-                    known.clear()
-                ids = [ranks[p] for p in merged_pieces(word.encode(), ranks)]
-                found = known[word] = " ".join(map(str, ids)), b"".join([piece_of[i] for i in ids])
-            return found
+        of = Memo(fresh)
 
         def make(stretch: str) -> tuple[str, bytes]:
-            pairs = [of(w) for w in words.findall(stretch)]
+            pairs = [of[w] for w in words.findall(stretch)]
             return pairs[0] if len(pairs) == 1 else (" ".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs]))
 
         _ENCODERS[path] = Encoder(make)
@@ -175,8 +175,8 @@ def coded(docs: DataFrame, path: str) -> DataFrame:
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder = digests(path)
         n, ids, back = [], [], []
-        for text in batch.column(1).to_pylist():
-            pairs = encoder(text or "")
+        for text in batch.column(1):
+            pairs = encoder(text.as_py() or "")
             joined = " ".join([p[0] for p in pairs])
             n.append(joined.count(" ") + 1 if joined else 0)
             ids.append(hashlib.sha256(joined.encode()).hexdigest())
