@@ -10,20 +10,24 @@ hash of doc_id, equal texts once), fits on three quarters of them, and calibrate
 logistic curve.
 
 Defined cases: a null or empty text has no words, counts 0 everywhere, and fails; labels with a null part are left out of
-training; if a label is missing from the sample the classifier passes everything; repeated rows are judged each; an empty
-table gives an empty result; other columns are kept by keep_good and ignored by the contract query.
+training, and a text that has both labels counts as bad; if a label is missing from the sample the classifier passes
+everything; repeated rows are judged each; very long texts are hashed block by block; an empty table gives an empty
+result; other columns are kept by keep_good, and by judge, whose columns get underscores more where such a name is taken,
+and ignored by the contract query.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from sievework.llm.common import hash_sample, map_batches, text_of
+from sievework.llm.common import free_names, hash_sample, map_batches, named, text_of
 
 #: Labelled rows that training reads at most.
 SAMPLE = 4_000
@@ -32,6 +36,10 @@ SLOTS = 2 * WORD_SLOTS + 2 * CHAR_SLOTS
 THRESHOLD = 0.5
 MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
+#: Bytes of a text that are hashed at once.
+BLOCK = 1 << 18
+#: Columns that judge adds.
+ADDED = ["_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words", "_base_failed", "_quality", "_kept"]
 
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
@@ -72,30 +80,59 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, int(_IS_SYMBOL[data].sum()), len(lines) - len(set(lines)), repeated_words(words)
 
 
-def features(text: bytes) -> list[np.ndarray]:
-    """Slots of the text's n-grams, one array for each of the four kinds."""
+def _words_of_blocks(data: np.ndarray, block: int) -> Iterator[np.ndarray]:
+    """The hash of every word, block by block: a sum over its bytes, so a word may go on in the next block."""
+    begun, size = np.uint64(0), 0  # what the open word has so far, and of how many bytes
+    for at in range(0, len(data), block):
+        part = data[at : at + block]
+        inside = ~_IS_BLANK[part]
+        starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+        ended = size and not inside[0]
+        first = np.array([begun] if ended else [], np.uint64)
+        if not len(starts):
+            if ended:
+                yield first * _MIX
+                begun, size = np.uint64(0), 0
+            continue
+        place = np.arange(len(part))
+        place[starts[0] :] -= np.repeat(starts, np.diff(np.append(starts, len(part))))
+        goes_on = size and inside[0]
+        if goes_on:
+            place[: starts[1] if len(starts) > 1 else len(part)] += size
+        sums = np.add.reduceat(np.where(inside, (part.astype(np.uint64) + np.uint64(1)) * _PLACE[place & 63], np.uint64(0)), starts)
+        if goes_on:
+            sums[:1] += begun
+        if inside[-1]:
+            begun, size = sums[-1], len(part) - int(starts[-1]) + (size if goes_on and len(starts) == 1 else 0)
+            sums = sums[:-1]
+        else:
+            begun, size = np.uint64(0), 0
+        yield np.concatenate([first, sums]) * _MIX
+    if size:
+        yield np.array([begun]) * _MIX
+
+
+def features(text: bytes, block: int = BLOCK) -> Iterator[tuple[int, np.ndarray]]:
+    """(kind, slots) of the text's n-grams, of the four kinds in turn, block by block."""
     data = np.frombuffer(text, np.uint8)
-    out = [np.empty(0, np.int64)] * 4
-    if not len(data):
-        return out
-    blank = _IS_BLANK[data]
-    inside = ~blank
-    starts = np.flatnonzero(inside & np.concatenate([[True], blank[:-1]]))
-    if len(starts):
-        place = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data)))) if starts[0] == 0 else np.arange(len(data)) - np.concatenate([np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(np.append(starts, len(data))))])
-        parts_ = np.where(inside, (data.astype(np.uint64) + np.uint64(1)) * _PLACE[place & 63], np.uint64(0))
-        words = np.add.reduceat(parts_, starts) * _MIX
-        out[0] = ((words >> _SHIFT) % np.uint64(WORD_SLOTS)).astype(np.int64)
-        pairs = (words[:-1] ^ (words[1:] * np.uint64(3) + np.uint64(1))) * _MIX
-        out[1] = ((pairs >> _SHIFT) % np.uint64(WORD_SLOTS)).astype(np.int64) + WORD_SLOTS
-    wide = data.astype(np.uint64)
-    if len(data) >= 3:
-        three = (wide[:-2] << np.uint64(16) | wide[1:-1] << np.uint64(8) | wide[2:]) * _MIX
-        out[2] = ((three >> _SHIFT) % np.uint64(CHAR_SLOTS)).astype(np.int64) + 2 * WORD_SLOTS
-    if len(data) >= 5:
-        five = (wide[:-4] << np.uint64(32) | wide[1:-3] << np.uint64(24) | wide[2:-2] << np.uint64(16) | wide[3:-1] << np.uint64(8) | wide[4:]) * _MIX
-        out[3] = ((five >> _SHIFT) % np.uint64(CHAR_SLOTS)).astype(np.int64) + 2 * WORD_SLOTS + CHAR_SLOTS
-    return out
+    before = np.empty(0, np.uint64)
+    for words in _words_of_blocks(data, block):
+        if not len(words):
+            continue
+        yield 0, ((words >> _SHIFT) % np.uint64(WORD_SLOTS)).astype(np.int64)
+        run = np.concatenate([before, words])
+        pairs = (run[:-1] ^ (run[1:] * np.uint64(3) + np.uint64(1))) * _MIX
+        yield 1, ((pairs >> _SHIFT) % np.uint64(WORD_SLOTS)).astype(np.int64) + WORD_SLOTS
+        before = words[-1:]
+    for at in range(0, len(data), block):
+        wide = data[at : at + block + 4].astype(np.uint64)
+        for kind, n in ((2, 3), (3, 5)):
+            many = min(len(wide) - n + 1, block)
+            if many > 0:
+                grams = wide[:many]
+                for j in range(1, n):
+                    grams = grams << np.uint64(8) | wide[j : j + many]
+                yield kind, ((grams * _MIX >> _SHIFT) % np.uint64(CHAR_SLOTS)).astype(np.int64) + 2 * WORD_SLOTS + (kind - 2) * CHAR_SLOTS
 
 
 @dataclass(frozen=True)
@@ -108,19 +145,21 @@ class Model:
     offset: float
 
     def probability(self, text: bytes) -> float:
-        total = self.bias
-        for slots in features(text):
-            if len(slots):
-                total += float(self.weights[slots].mean())
+        sums, many = [0.0] * 4, [0] * 4
+        for kind, slots in features(text):
+            sums[kind] += float(self.weights[slots].sum())
+            many[kind] += len(slots)
+        total = self.bias + sum(x / n for x, n in zip(sums, many) if n)
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * total + self.offset, -60, 60)))
 
 
 def _dense(text: bytes) -> np.ndarray:
-    out = np.zeros(SLOTS, np.float32)
-    for slots in features(text):
-        if len(slots):
-            out += np.bincount(slots, minlength=SLOTS).astype(np.float32) / len(slots)
-    return out
+    counts, many = np.zeros(SLOTS, np.int64), [0] * 4
+    for kind, slots in features(text):
+        counts += np.bincount(slots, minlength=SLOTS)
+        many[kind] += len(slots)
+    sizes = np.repeat(np.maximum(many, 1), [WORD_SLOTS, WORD_SLOTS, CHAR_SLOTS, CHAR_SLOTS])
+    return counts.astype(np.float32) / sizes.astype(np.float32)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int) -> tuple[np.ndarray, float]:
@@ -141,14 +180,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     """The classifier, from at most `sample` labelled rows; None if either label is missing."""
     clean = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = hash_sample(clean, "doc_id", sample)
-    rows = docs.select("doc_id", text_of().cast("string").alias("text")).join(F.broadcast(some), "doc_id").withColumn("key", F.xxhash64("text")).dropDuplicates(["key"])
+    rows = docs.select("doc_id", text_of().cast("string").alias("text")).join(F.broadcast(some), "doc_id")
+    rows = rows.groupBy(F.xxhash64("text").alias("key")).agg(F.any_value("text").alias("text"), F.min("quality").alias("quality"))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [_dense(x or b"").astype(np.float16).tobytes() for x in batch.column(0).cast(pa.binary()).to_pylist()]
         return pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), batch.column(1), batch.column(2)], ["x", "y", "key"])
 
     # `sample` rows of SLOTS two-byte numbers at most: 49 MB at the default.
-    got = map_batches(rows.select("text", F.col("quality").cast("int"), "key"), one, "x binary, y int, key long").toArrow().sort_by("key")
+    got = map_batches(rows.select("text", F.col("quality").cast("int").alias("quality"), "key"), one, "x binary, y int, key long").toArrow().sort_by("key")
     if not got.num_rows:
         return None
     x = np.empty((got.num_rows, SLOTS), np.float32)
@@ -190,11 +230,13 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def judge(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs, all columns, with _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words, _base_failed, _quality and _kept."""
+    """docs, all columns, with the five counts, whether the base rules fail it, its quality and whether it is kept; names
+    are free_names of ADDED."""
     names = docs.columns
-    at = names.index("text")
-    counts = ["_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words"]
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + "".join(f", {c} long" for c in counts) + ", _base_failed boolean, _quality double, _kept boolean"
+    at, more = names.index("text"), free_names(names, ADDED)
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    kinds = [LongType()] * 5 + [BooleanType(), DoubleType(), BooleanType()]
+    schema = StructType([*docs.schema.fields, *(StructField(x, k) for x, k in zip(more, kinds))])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -204,15 +246,16 @@ def judge(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, mi
         m = sent.value
         quality = [1.0 if m is None else m.probability(x) for x in texts]
         columns = [pa.array([b[i] for b in base], pa.int64()) for i in range(5)]
-        more = [pa.array(failed, pa.bool_()), pa.array(quality, pa.float64()), pa.array([not f and q >= threshold for f, q in zip(failed, quality)], pa.bool_())]
-        return pa.RecordBatch.from_arrays([*batch.columns, *columns, *more], [*names, *counts, "_base_failed", "_quality", "_kept"])
+        verdicts = [pa.array(failed, pa.bool_()), pa.array(quality, pa.float64()), pa.array([not f and q >= threshold for f, q in zip(failed, quality)], pa.bool_())]
+        return pa.RecordBatch.from_arrays([*batch.columns, *columns, *verdicts], [*names, *more])
 
-    return map_batches(docs.withColumn("text", F.col("text").cast("string")), one, schema)
+    return map_batches(docs, one, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs, all columns, without the documents that the rules or the classifier reject."""
-    return judge(docs, train(docs, labels)).where("_kept").select(*docs.columns)
+    kept = named(free_names(docs.columns, ADDED)[-1])
+    return judge(docs, train(docs, labels)).where(kept).select(*map(named, docs.columns))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
