@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import drop, map_batches, materialize, parts, raw_texts
+from sievework.llm.common import drop, keep_least, map_batches, materialize, parts, raw_texts, row_hash
 
 SEED = 42
 #: Members of a group that one task gathers; larger groups are dealt again by more blocks.
@@ -60,13 +60,14 @@ def simhash(text: bytes, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fingerprint bigint): one row for each row of docs."""
+    """(doc_id, row, fingerprint bigint) of every row of docs; row is the hash of all its columns."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values = np.array([simhash(t, shingle) for t in raw_texts(batch.column(1))], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["doc_id", "fingerprint"])
+        values = np.array([simhash(t, shingle) for t in raw_texts(batch.column(2))], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values)], ["doc_id", "row", "fingerprint"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), one, "doc_id long, fingerprint long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(docs).alias("row"), F.col("text").cast("string").alias("text"))
+    return map_batches(rows, one, "doc_id long, row long, fingerprint long")
 
 
 def _signed(x: int) -> int:
@@ -326,24 +327,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, cap: int =
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 6) -> DataFrame:
-    """docs without the near-duplicates: of each component the row with the smallest doc_id stays, once.
+    """docs, all columns, of which each component keeps one row: that of the smallest doc_id, then of the smallest hash.
 
-    Rows that share a doc_id count as one document; the first text in order stays. All columns of docs are kept.
+    Rows that share a doc_id, or have none, are documents each.
     """
-    return keep_first(docs, near_duplicates(docs, shingle, bits))
-
-
-def keep_first(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """docs of which `marked` (doc_id, component_id) gives the doc_id as its component's smallest, each once."""
-    stay = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id")).distinct()
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    stay = stay.select(F.coalesce("stay_id", F.lit(-(1 << 63))).alias("_stay"))
-    kept = docs.withColumn("_key", key)
-    return kept.join(stay, F.col("_key") == F.col("_stay"), "left_semi").dropDuplicates(["_key"]).drop("_key")
+    own = materialize(fingerprints(docs, shingle), "simhash")
+    roots = linked(own.select("fingerprint").distinct(), bits)
+    return keep_least(docs, own.join(roots, "fingerprint", "left").select("doc_id", "row", F.coalesce("root", "fingerprint").alias("root")))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     """Contract query: three-word shingles, links at two or fewer differing bits, over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = near_duplicates(docs, shingle=3, bits=2)
+    found = near_duplicates(docs.select("doc_id", "text"), shingle=3, bits=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
