@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.buckets import LEVELS
@@ -88,6 +88,16 @@ LEAD_DANGLING = r"(?i)^\s*[—–\-,]?\s*(?:and|but|so|then|in fact)\b[\s,]*"
 LEAD_PUNCT = r"^[\s.,;:!—–\-]+"
 AUDIT_RESTATED = r"(?i)^\s*(THE MOVE\s*:|The move is\b|This is the move\b|Play\s+\S+\.|Consider\s+\S+\.|Let'?s play\b|The move to (?:play|learn|focus)\b|I'?d play\b)"
 AUDIT_DANGLING = r"(?i)^\s*[—\-–]\s*(and|but|so|then|in fact)\b"
+#: Ratings of each level, and plies that a short answer may narrate.
+LEVEL_RATINGS = {"beginner": (1000, 1200, 2), "intermediate": (1300, 1600, 4), "advanced": (1700, 2000, 6)}
+#: What a short answer advises in each phase, and otherwise.
+PHASE_ADVICE = {"endgame": "activate your king and keep your pieces coordinated", "opening": "develop toward the center and get your king safe", "middlegame": "improve your worst-placed piece and watch your opponent's ideas"}
+OTHER_ADVICE = "make a purposeful, safe improving move"
+SHORT_ASK = "Recommend exactly ONE move that is genuinely sound AND the most instructive for a {level} player{why} Keep any concrete line within {plies} plies."
+SHORT_FORM = (
+    "Format your reply as plain prose in exactly this shape:\nStart with \"I'd play <MOVE>.\" where <MOVE> is one move in standard algebraic notation (e.g. Nf3, exd5, O-O). Then give one short sentence of coaching in "
+    "plain, encouraging language. End with one line \"Takeaway: <one transferable sentence>.\" Do not output JSON, bullet lists, headers, or long move-number sequences."
+)
 # ---- end of fixed values ----
 
 
@@ -318,6 +328,22 @@ def parsed_prompt(prompt: Column) -> dict[str, Column]:
     }
 
 
+def short_rows(rows: DataFrame, board: Column, side: Column) -> DataFrame:
+    """Rows (level, fen, san, uci, student, phase, action) whose provenance is complete, with user and target of a short
+    answer without an engine's data: the position and what was played; the move, one sentence, and the phase's advice."""
+    known = F.coalesce(F.col("fen") != "", F.lit(False)) & F.col("level").isin(*LEVELS) & F.coalesce(F.col("san") != "", F.lit(False)) & F.coalesce(F.col("uci") != "", F.lit(False))
+    student = F.nullif("student", F.lit(""))
+    of = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in LEVEL_RATINGS.items() for x in (k, str(v[i]))]), F.col("level"))
+    advice = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in PHASE_ADVICE.items() for x in kv]), F.coalesce("phase", F.lit("middlegame"))), F.lit(OTHER_ADVICE))
+    lead = F.when((F.coalesce("action", F.lit("")) == "endorse") | F.coalesce(student == F.col("san"), F.lit(False)), F.concat("san", F.lit(" is a sound, level-appropriate choice here.")))
+    lead = lead.when(student.isNotNull(), F.concat("san", F.lit(" is a clearer and sounder try than "), student, F.lit("."))).otherwise(F.concat("san", F.lit(" keeps your position solid and is easy to follow at your level.")))
+    ask = filled(SHORT_ASK, {"level": F.col("level"), "why": F.when(student.isNotNull(), ", and coach them on why it is a better choice.").otherwise("."), "plies": of(2)})
+    head = F.concat(F.lit("Student rating tier: "), F.col("level"), F.lit(" ("), of(0), F.lit("-"), of(1), F.lit(")."))
+    user = F.concat_ws("\n", head, F.concat(F.lit("FEN: "), F.col("fen")), F.concat(F.lit("Board:\n"), board), F.concat(side, F.lit(" to move.")), F.concat(F.lit("The student played "), student, F.lit(".")), F.lit(""), ask, F.lit(""), F.lit(SHORT_FORM))
+    target = F.concat(F.lit("I'd play "), F.col("san"), F.lit(". "), lead, F.lit(" Takeaway: When you are unsure, "), advice, F.lit("."))
+    return rows.where(known).withColumn("user", user).withColumn("target", target)
+
+
 def chat_row(system: Column, user: Column, assistant: Column) -> Column:
     return F.array(*[F.struct(F.lit(role).alias("role"), text.alias("content")) for role, text in (("system", system), ("user", user), ("assistant", assistant))])
 

@@ -289,14 +289,6 @@ def profile_top_tags(spark, sf) -> DataFrame:
     return tags.groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(25)
 
 
-@query(f"""WITH {FACT}, p AS (SELECT item, level, mode() WITHIN GROUP (ORDER BY pick) AS pick, count(DISTINCT pick) AS kinds FROM fact GROUP BY ALL HAVING count(*) = 1), w AS (SELECT item, count(*) AS levels, count(DISTINCT pick) AS moves FROM p GROUP BY item)
-  SELECT levels, moves, count(*) AS n FROM w GROUP BY ALL""")
-def audit_modal_picks(spark, sf) -> DataFrame:
-    single = fact(spark, sf).groupBy("item", "level").agg(F.max("pick").alias("pick"), F.count("*").alias("k")).where("k = 1")
-    wide = single.groupBy("item").agg(F.count("*").alias("levels"), F.countDistinct("pick").alias("moves"))
-    return wide.groupBy("levels", "moves").agg(F.count("*").alias("n"))
-
-
 @query(f"""WITH {FACT}, {_CELLS}, x AS (SELECT a.item, a.model, bool_or(b.fit > a.fit OR b.sound > a.sound) AS loses, bool_or(b.fit < a.fit OR b.sound < a.sound) AS wins FROM cells a JOIN cells b ON a.item = b.item AND a.model <> b.model GROUP BY ALL)
   SELECT model, count(*) FILTER (WHERE wins) AS wins, count(*) FILTER (WHERE loses) AS losses FROM x GROUP BY model""")
 def any_rival_flags(spark, sf) -> DataFrame:

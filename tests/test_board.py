@@ -45,6 +45,19 @@ def test_recommendations(text, uci):
     assert claims.recommendation("nothing", OPEN, "d2d4", ["f1b5"]) == ("f1b5", "fallback")
 
 
+KINGS = "8/8/4k2p/1R6/7P/rp3KP1/8/8 b - - 5 46"
+
+
+@pytest.mark.parametrize("text,fen,student,uci", [
+    ("I'd play Kd6. Play Kd6 again, it is calm. Run a checklist before a forcing-looking move like ...b2+. It leads to Kd6 rather than rushing into checks.", KINGS, "e6d6", "e6d6"),
+    ("Play Kd6 again.", KINGS, "e6d6", "e6d6"), ("You could try b2+. Play Kd6 again!", KINGS, "e6d6", "e6d6"), ("Your Nc3 is playable, but I'd play Bb5 instead.", OPEN, "b1c3", "f1b5"),
+    ("Instead of a slow move such as Nc3, Na3, the move is Bb5.", OPEN, "d2d4", "f1b5"), ("Nothing like Rg1, Be2, or even Bd3: Bb5 is better.", OPEN, None, "f1b5"), ("If Black waits, you have Bc4 as a follow-up. Bb5 then.", OPEN, None, "f1b5"),
+    ("Control the d4 square first. The plan Bb5 develops.", OPEN, None, "f1b5"), ("A pawn goes to d4; Bb5.", OPEN, None, "f1b5"), ("Be2 was fine. Bb5!", OPEN, None, "f1b5"), ("Look: d4 opens lines.", OPEN, "d2d4", "d2d4"), ("Never Ba6.", OPEN, None, None),
+])
+def test_manner_of_mention(text, fen, student, uci):
+    assert claims.recommendation(text, fen, student)[0] == uci
+
+
 def test_facts():
     p = Position.of(OPEN)
     f = facts.move_facts(p, p.parse_uci("f1b5"))
