@@ -1,13 +1,17 @@
 """Best-fit packing of token sequences, bulk-synchronous.
 
 Documents longer than a sequence are cut from their end into full pieces; only the first piece may be shorter. Pieces are
-dealt and sorted into ranges by length, so that a piece is known by its length and its rank within it; gaps (the room
-left in open sequences) are kept in the same order, as runs of equal gaps with consecutive sequence numbers. A sweep
-matches all pieces of a length with their successors, the smallest gaps that hold them: the piece of rank r takes the
-r-th gap, so no two pieces want the same one; the gaps it used move to their new place in the order, and sweeps repeat
-until no gap holds the length; what is left opens sequences. Lengths go from the longest down. A sweep works on runs, not
-on pieces: there are at most `size` lengths and each sweep splits at most one run, so the plan of all sweeps has a bound
-that does not depend on the corpus (about 2 * size * size rows). The distributed work is to cut, rank and look up.
+sorted by length and ranked within it, so a piece is known by (length, rank); gaps, the room left in open sequences, are
+sorted the same way. Both are kept as runs: pieces of one length with consecutive ranks, equal gaps with consecutive
+sequence numbers. So the tables that the rounds move are bounded by the sequence length, not by the corpus.
+
+A round deals pieces and gaps into ranges of size and sweeps each range upwards, as brackets are matched: a piece opens,
+and a gap closes the longest waiting piece that it holds, which makes that gap the piece's successor. Where several pieces
+of a length and several equal gaps meet, the piece of rank r takes the r-th gap, so no two want the same one. A gap takes
+one piece a round, or several equal ones where it holds them MANY times. Used gaps shrink and are dealt anew; a gap that
+found nothing in its range goes to the next lower one; pieces longer than every gap open sequences, the longest first, as
+many as the rest needs at least. Rounds repeat until no piece is left. Lengths come in bands, the long ones first, so that
+short pieces fill what long ones leave. The plan is joined to the ranked pieces.
 
 Defined cases: a null or empty text is the end token alone; rows that share a doc_id are packed each (their pieces tie by
 length and checksum); the string of an added token is that token (<|endoftext|> is one id); an empty table gives an empty
@@ -16,29 +20,31 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-import bisect
 import json
 import zlib
-from functools import cache
+from collections.abc import Iterator
+from functools import cache, reduce
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievework.llm.bpe import RANKS, Encoder, load_ranks
-from sievework.llm.common import map_batches, materialize, parts
+from sievework.llm.bpe import RANKS, load_ranks
+from sievework.llm.common import drop, find_edge, map_batches, materialize, parts
 
 SIZE, END = 1024, 2
+#: Bands of lengths end at the size divided by these; ranges that each band is dealt into; how many times a gap must hold a
+#: piece to take several.
+BANDS, RANGES, MANY = (2, 4, 16), 4, 4
+#: Rows of the plan that are broadcast at most (48 bytes each).
+BROADCAST_PLAN = 200_000
 
 #: The tokenizer whose ids the contract fixes.
 TOKENIZER = "byte_bpe_50k.json"
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 @cache
 def _library(path: str):
     """The tokenizers library on a tokenizer file, and the strings of its added tokens."""
@@ -49,19 +55,16 @@ def _library(path: str):
     return Tokenizer.from_file(path), added
 
 
-def id_bytes(path: str) -> Encoder:
-    """An encoder whose pieces are ids as little-endian unsigned 32-bit numbers.
+@cache
+def _ranked(path: str):
+    """The ranks as a tiktoken encoding.
 
     The rank file and the tokenizer file hold one vocabulary (a test compares their ids); ranks encode several times
     faster. They know no added tokens: text_ids() has those.
     """
-    if path not in _ENCODERS:
-        import tiktoken
+    import tiktoken
 
-        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})
-        plain = own.encode_ordinary
-        _ENCODERS[path] = Encoder(lambda stretch: np.array(plain(stretch), "<u4").tobytes())
-    return _ENCODERS[path]
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})
 
 
 def text_ids(text: str, path: str) -> bytes:
@@ -69,7 +72,7 @@ def text_ids(text: str, path: str) -> bytes:
     library, added = _library(public_tokenizers.path(TOKENIZER))
     if any(x in text for x in added):
         return np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    return b"".join(id_bytes(path)(text))
+    return np.array(_ranked(path).encode_ordinary(text), "<u4").tobytes()
 
 
 def cut(length: int, size: int = SIZE) -> list[tuple[int, int]]:
@@ -84,8 +87,8 @@ def tokenized(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> D
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids = memoryview(text_ids(text or "", path) + tail)
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ids = memoryview(text_ids(text.as_py() or "", path) + tail)
             out += [(doc, i, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)])) for i, (at, n) in enumerate(cut(len(ids) // 4, size))]
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -95,53 +98,104 @@ def tokenized(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> D
     return map_batches(rows, one, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def sweeps(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int]]:
-    """The plan: (length, first rank, how many, first sequence, offset); the pieces take consecutive sequences."""
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs (first sequence, how many)
-    order: list[int] = []  # gaps that have runs, sorted
-    plan, fresh = [], 0
-
-    def put(gap: int, run: tuple[int, int]) -> None:
-        if gap:
-            if gap not in gaps:
-                gaps[gap] = []
-                bisect.insort(order, gap)
-            gaps[gap].append(run)
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            i = bisect.bisect_left(order, length)
-            if i == len(order):
-                # No gap holds the length: open sequences for what is left, each with as many as it takes.
-                each = size // length
-                opened = -(-left // each)
-                first, fresh = fresh, fresh + opened
-                for j in range(each):
-                    n = min(opened, left)
-                    if not n:
-                        # The sequences were all filled so far: they stand at this gap.
-                        put(size - j * length, (first, opened))
-                        break
-                    plan.append((length, rank, n, first, j * length))
-                    rank, left = rank + n, left - n
-                    if n < opened:
-                        put(size - j * length, (first + n, opened - n))
-                        opened = n
-                else:
-                    put(size - each * length, (first, opened))
-                break
-            gap = order[i]
-            first, n = gaps[gap].pop()
-            if not gaps[gap]:
-                del gaps[gap], order[i]
-            used = min(n, left)
-            plan.append((length, rank, used, first, size - gap))
-            rank, left = rank + used, left - used
-            put(gap - length, (first, used))
-            if used < n:
-                put(gap, (first + used, n - used))
-    return plan
+PIECE, GAP, PLACED = 0, 1, 2
+#: Runs: kind, length of pieces or room of gaps, the size that it is dealt by, first rank or sequence, how many; of placed
+#: pieces also the first sequence and the offset.
+RUNS = "kind int, size long, at long, first long, many long, sequence long, offset long"
+
+
+def _swept(batches: Iterator[pa.RecordBatch], size: int, low: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Over runs sorted by (range, at, kind): what is left of the pieces, the gaps after the sweep, and what was placed."""
+    out: list[tuple] = []
+    stack: list[list[int]] = []  # pieces that wait: length, first rank, how many
+    where = None
+
+    def close() -> None:
+        out.extend((PIECE, n, n, first, many, None, None) for n, first, many in stack)
+        stack.clear()
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["range"] != where:
+                close()
+                where = row["range"]
+            n, first, many = row["size"], row["first"], row["many"]
+            if row["kind"] == PIECE:
+                stack.append([n, first, many])
+                continue
+            while many and stack:
+                top = stack[-1]
+                each = min(n // top[0], top[2]) if n >= MANY * top[0] else 1
+                used = min(many, top[2] // each)
+                out.extend((PLACED, top[0], None, top[1] + j * used, used, first, size - n + j * top[0]) for j in range(each))
+                out.append((GAP, n - each * top[0], n - each * top[0], first, used, None, None))
+                top[1], top[2] = top[1] + each * used, top[2] - each * used
+                first, many = first + used, many - used
+                if not top[2]:
+                    stack.pop()
+            if many:
+                out.append((GAP, n, low + where * width, first, many, None, None))
+    close()
+    if out:
+        names = ("kind", "size", "at", "first", "many", "sequence", "offset")
+        kinds = (pa.int32(), *[pa.int64()] * 6)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], list(names))
+
+
+def plan_of(spark: SparkSession, counts: dict[int, int], size: int = SIZE) -> DataFrame:
+    """(length, first_rank, many, sequence, offset): `many` pieces of the length, from a rank on, go to consecutive
+    sequences from `sequence` on, each at the offset. `counts` has how many pieces there are of each length."""
+    fresh = counts.get(size, 0)
+    own = [(PLACED, size, None, 0, fresh, 0, 0)] if fresh else []  # what the driver places: full pieces and openings
+    tables: list[DataFrame] = []
+    gaps: DataFrame | None = None
+    high = size - 1
+    for low in [size // x for x in BANDS] + [0]:
+        width = max(1, -(-(high - low) // RANGES))
+        pieces = {n: (0, many) for n, many in counts.items() if low < n <= high and many}
+        reset, top = True, high
+        while pieces:
+            # Pieces that are longer than every gap that is still dealt: the longest open sequences.
+            unfit = sum(many for n, (_, many) in pieces.items() if n > top or gaps is None)
+            if unfit:
+                long = sum(many for n, (_, many) in pieces.items() if 2 * n > size)
+                left = min(unfit, max(long, -(-sum(n * many for n, (_, many) in pieces.items()) // size)))
+            else:
+                left = 0
+            opened = []
+            for n in sorted(pieces, reverse=True):
+                if not left:
+                    break
+                first, many = pieces.pop(n)
+                used = min(left, many)
+                own.append((PLACED, n, None, first, used, fresh, 0))
+                opened.append((GAP, size - n, size - n, fresh, used, None, None))
+                fresh, left = fresh + used, left - used
+                if many > used:
+                    pieces[n] = (first + used, many - used)
+            rows = spark.createDataFrame([(PIECE, n, n, first, many, None, None) for n, (first, many) in pieces.items()] + opened, RUNS).coalesce(1)
+            if gaps is not None:
+                rows = rows.unionByName(gaps.withColumn("at", F.col("size")) if reset else gaps)
+            # A gap is dealt by the longest length of pieces, of those there are, that it holds; without one it waits.
+            lengths = sorted(pieces)
+            at = F.coalesce(F.get(F.array(F.lit(0), *map(F.lit, lengths)), find_edge(lengths, F.col("at"))), F.lit(0)).cast("long")
+            rows = rows.withColumn("at", at).withColumn("range", F.when(F.col("at") > 0, F.floor((F.col("at") - low - 1) / width)).otherwise(-1).cast("int"))
+            dealt = rows.where("range >= 0").repartition(RANGES, "range").sortWithinPartitions("range", "at", "kind", "size", "first")
+            swept = dealt.mapInArrow(lambda it, low=low, width=width: _swept(it, size, low, width), RUNS)
+            seen = Observation()
+            out = swept.unionByName(rows.where("range < 0").drop("range")).observe(seen, F.max(F.when(F.col("kind") == GAP, F.col("at"))).alias("top"))
+            out = materialize(out, "pack-round")
+            tables.append(out)
+            # One run of pieces for each length: at most `size` rows.
+            pieces = {r.size: (r.first, r.many) for r in out.where(F.col("kind") == PIECE).collect()}
+            gaps, reset, top = out.where((F.col("kind") == GAP) & (F.col("size") > 0)), False, seen.get["top"] or 0
+        high = low
+    placed = spark.createDataFrame(own, RUNS).coalesce(1)
+    placed = reduce(lambda a, b: a.unionByName(b), [placed, *(t.where(F.col("kind") == PLACED) for t in tables)])
+    done = materialize(placed.select(F.col("size").alias("length"), F.col("first").alias("first_rank"), "many", "sequence", "offset").coalesce(1), "pack-plan")
+    for t in tables:
+        drop(t)
+    return done
 
 
 def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
@@ -151,14 +205,15 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     dealt = materialize(pieces.withColumn("deal", deal), "pieces")
     counts = dealt.groupBy("length", "deal").agg(F.count("*").alias("n"))
     per_length = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
-    plan = spark.createDataFrame(sweeps(per_length, size) or [(0, 0, 0, 0, 0)], "plan_length long, first_rank long, many long, first_sequence long, offset long").coalesce(1)
+    plan = plan_of(spark, per_length, size).withColumnRenamed("length", "plan_length")
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST_PLAN else plan
     before = Window.partitionBy("length").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(F.col("length").alias("l"), F.col("deal").alias("d"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     place = Window.partitionBy("length", "deal").orderBy("doc_id", "piece", "ids_crc32")
     ranked = dealt.withColumn("place", F.row_number().over(place) - 1)
     ranked = ranked.join(bases, (F.col("length") == F.col("l")) & (F.col("deal") == F.col("d"))).withColumn("rank", F.col("base") + F.col("place"))
-    found = ranked.join(F.broadcast(plan), (F.col("length") == F.col("plan_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("many")))
-    return found.select(*pieces.columns, (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset")
+    found = ranked.join(plan, (F.col("length") == F.col("plan_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("many")))
+    return found.select(*pieces.columns, (F.col("sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int = END) -> DataFrame:

