@@ -34,3 +34,15 @@ def test_materialized_tables_can_be_dropped(spark):
     assert kept.count() == 5
     common.drop(kept)
     assert not spark.sparkContext._jvm.org.apache.hadoop.fs.Path(kept._sievework_path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(kept._sievework_path))
+
+
+def test_slices_hold_bounded_bytes_and_all_rows():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = ["x" * rng.choice([0, 10, 900, 5000]) for _ in range(500)] + [None, "y" * 50_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(502)), pa.array(texts)], ["i", "t"])
+    parts = list(common.slices(batch, 10_000))
+    assert pa.Table.from_batches(parts).to_pydict() == pa.Table.from_batches([batch]).to_pydict() and len(parts) > 50
+    assert all(sum(len(t or "") for t in p.column(1).to_pylist()) <= 15_000 or p.num_rows == 1 or "y" * 50_000 in p.column(1).to_pylist() for p in parts)
+    assert common.free_names(["a", "_a", "B"], ["a", "b", "c"]) == ["__a", "_b", "c"]

@@ -109,3 +109,78 @@ def test_quality_edges(spark):
     got = {(r.doc_id, r._n_words, r._base_failed, r._kept) for r in Q.judge(d, model).collect()}
     assert got == {(1, 0, True, False), (2, 0, True, False), (3, 60, True, False), (None, 70, False, True)}
     assert Q.judge(d.limit(0), model).collect() == []
+
+
+def test_columns_with_the_same_names_are_kept(spark):
+    docs, labels = corpus(200, 3)
+    d = spark.createDataFrame([(*x, 5, "k", 1.5, "p") for x in docs], "doc_id long, text string, lang string, source string, n_chars long, _n_words int, _kept string, _score double, _Passages string")
+    seen = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    judged = Q.judge(d, Q.train(d, seen))
+    assert judged.columns[: len(d.columns)] == d.columns and "__n_words" in judged.columns and "__kept" in judged.columns
+    kept, civil = Q.keep_good(d, seen), X.reject_toxic(d, seen)
+    assert kept.columns == civil.columns == d.columns and {r._kept for r in kept.collect()} == {"k"} and {r._score for r in civil.collect()} == {1.5}
+    assert X.score(d, None).columns[-2:] == ["__score", "__passages"]
+
+
+def test_conflicting_labels_of_equal_texts(spark):
+    docs, labels = corpus(300, 4)
+    twice = docs + [(1000 + i, t, "en", "s", 1) for i, t, *_ in docs[:60]]
+    opposite = labels + [(1000 + i, 1 - q, 1 - t) for i, q, t in labels[:60]]
+    models = []
+    for n in (2, 7):
+        d = spark.createDataFrame(twice, "doc_id long, text string, lang string, source string, n_chars long").repartition(n)
+        seen = spark.createDataFrame(opposite, "doc_id long, quality int, toxic int").repartition(n)
+        models.append((X.train(d, seen), Q.train(d, seen)))
+    assert models[0][0] == models[1][0]
+    assert (models[0][1].weights == models[1][1].weights).all()
+
+
+def test_features_do_not_depend_on_blocks():
+    import numpy as np
+
+    rng = random.Random(5)
+    for _ in range(60):
+        text = "".join(rng.choice(["a", "b ", "\n", "é", "abc def ", "\x0b", "xyzw"]) for _ in range(rng.randint(0, 90))).encode()
+        seen = []
+        for block in (1, 2, 7, Q.BLOCK):
+            kinds = [[] for _ in range(4)]
+            for kind, slots in Q.features(text, block):
+                kinds[kind] += slots.tolist()
+            seen.append([sorted(x) for x in kinds])
+        assert all(x == seen[-1] for x in seen)
+    long = ("word" * 2_000_000 + " and more " * 300_000).encode()
+    assert Q.Model(np.ones(Q.SLOTS), 0.0, 1.0, 0.0).probability(long) > 0.5 and Q.base_counts(long)[0] == 600_001
+
+
+def test_segment_scan_is_linear():
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        assert len(X.maximal_segments([(i * 50, 1.0) for i in range(n)], 0.08)) == n  # no two ever join
+        return time.process_time() - began
+
+    assert seconds(200_000) < 3.0
+
+
+def test_evidence_of_several_passages():
+    assert X.evidence([5.0]) == 5.0 and X.evidence([-2.0, -3.0]) == -2.0
+    assert X.evidence([5.0, 4.5, 4.0]) > 5.0 and X.evidence([5.0, 0.2, 0.1]) == 5.0
+
+
+def test_held_out_scores_order_documents(spark, tmp_path):
+    docs, labels = corpus(900, 6)
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = X.op6_toxicity(spark, str(tmp_path)).collect()
+    import zlib
+
+    truth = {i: t for i, _, t in labels}
+    assert len(got) == 900 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == (r.score >= 0.3) for r in got)
+    toxic = [r.score for r in got if r.held_out and truth[r.doc_id]]
+    clean = [r.score for r in got if r.held_out and not truth[r.doc_id]]
+    area = sum((a > b) + 0.5 * (a == b) for a in toxic for b in clean) / (len(toxic) * len(clean))
+    assert area > 0.97
+    kept = Q.op4_quality_rules(spark, str(tmp_path)).collect()
+    good = {i: q for i, q, _ in labels}
+    assert sum(r.kept == bool(good[r.doc_id]) for r in kept) / 900 > 0.97 and all(r.n_words == len(t.split()) for r in kept for t in [dict((d[0], d[1]) for d in docs)[r.doc_id]])

@@ -53,3 +53,12 @@ def test_query_anti_joins_later_batches_with_settled_keys(spark, tmp_path, monke
     got = sorted((tuple(r) for r in D.op7_line_dedup(spark, str(tmp_path)).collect()), key=str)
     assert got == brute(rows, 10, 1)
     assert any(settled)
+
+
+def test_added_columns_avoid_taken_names_both_ways(spark):
+    rows = [(None, "same\nown %d" % i, 7, "t", "h") for i in range(12)] + [(None, None, 7, "t", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _n_lines int, t1 string, hits string")
+    for bound in (10**6, 0):
+        done = D.dedup_lines(docs, 10, 1, 3, bound)
+        assert done.columns == [*docs.columns, "__n_lines", "_n_dropped"]
+        assert sorted((r.text, r._n_lines, r["__n_lines"], r._n_dropped) for r in done.collect()) == sorted([("own %d" % i, 7, 2, 1) for i in range(12)] + [("", 7, 1, 0)])
