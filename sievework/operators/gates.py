@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def with_reasons(rows: DataFrame, tests: list[tuple[str, Column]]) -> DataFrame:
@@ -22,14 +21,18 @@ def staged_reasons(rows: DataFrame, first: list[tuple[str, Column]], second: lis
 def first_clean(rows: DataFrame, key: list[str], order: list[str], duplicate: str = "duplicate") -> DataFrame:
     """Marks later clean rows of a key as duplicates; only clean rows take part. Expects reasons; adds kept.
 
-    Clean and failing rows of a key are ranked apart, so failing rows never shadow clean ones.
+    The first of each key comes from a combined aggregate and is joined back, so a key with many rows is never in one
+    task. The order must tell a key's rows apart; rows of a null key are one group.
     """
     clean = F.size("reasons") == 0
-    place = F.row_number().over(Window.partitionBy(*key, "_clean").orderBy(*order))
-    marked = rows.withColumn("_clean", clean).withColumn("_place", place)
-    late = F.col("_clean") & (F.col("_place") > 1)
-    out = marked.withColumn("reasons", F.when(late, F.array(F.lit(duplicate))).otherwise(F.col("reasons"))).withColumn("kept", F.col("_clean") & ~late)
-    return out.drop("_clean", "_place")
+    first = rows.where(clean).groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(F.min(F.struct(*order)).alias("_first"))
+    same = F.lit(True)
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    marked = rows.join(first, same, "left")
+    late = clean & (F.struct(*order) != F.col("_first"))
+    out = marked.withColumn("kept", clean & ~late).withColumn("reasons", F.when(late, F.array(F.lit(duplicate))).otherwise(F.col("reasons")))
+    return out.drop("_first", *[f"_k{i}" for i in range(len(key))])
 
 
 def dedup_key(mode: str, board: str, level: str, move: str) -> list[str]:

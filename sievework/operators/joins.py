@@ -45,17 +45,15 @@ def with_fallback(left: DataFrame, right: DataFrame, key: list[str], value: str,
 def best_other(rows: DataFrame, item: str, member: str, score: list[str]) -> DataFrame:
     """For each row the best other member of its item: (score..., member down); ties go to the smallest member.
 
-    Two aggregations of the two best per item, not a self-join of all pairs.
+    The two best of an item are read in one pass over it; no self-join of pairs.
     """
     order = F.struct(*[F.col(c) for c in score], (-F.col(member)).alias("_m"))
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(item).orderBy(order.desc())))
-    top = ranked.where("_r <= 2").groupBy(item).agg(
-        F.max(F.when(F.col("_r") == 1, F.col(member))).alias("_m1"), F.max(F.when(F.col("_r") == 1, F.struct(*score))).alias("_s1"),
-        F.max(F.when(F.col("_r") == 2, F.col(member))).alias("_m2"), F.max(F.when(F.col("_r") == 2, F.struct(*score))).alias("_s2"))
-    joined = rows.join(top, item)
-    mine = F.col(member) == F.col("_m1")
-    out = joined.withColumn("rival", F.when(mine, F.col("_m2")).otherwise(F.col("_m1"))).withColumn("rival_score", F.when(mine, F.col("_s2")).otherwise(F.col("_s1")))
-    return out.drop("_m1", "_s1", "_m2", "_s2")
+    w = Window.partitionBy(item).orderBy(order.desc())
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = F.struct(F.col(member).alias("m"), F.struct(*score).alias("s"))
+    out = rows.withColumn("_r", F.row_number().over(w)).withColumn("_first", F.first(own).over(whole)).withColumn("_second", F.nth_value(own, 2).over(whole))
+    rival = F.when(F.col("_r") == 1, F.col("_second")).otherwise(F.col("_first"))
+    return out.withColumn("rival", rival["m"]).withColumn("rival_score", rival["s"]).drop("_r", "_first", "_second")
 
 
 def ranked_labels(rows: DataFrame, ranking: str, names: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievework.functions.buckets import wilson
+from sievework.operators.sampling import places
 
 
 def rate(flag: str | Column) -> Column:
@@ -20,7 +21,7 @@ def dense(rates: DataFrame, *frames: DataFrame) -> DataFrame:
     grid = frames[0]
     for f in frames[1:]:
         grid = grid.crossJoin(f)
-    return grid.join(rates, grid.columns, "left")
+    return grid.coalesce(1).join(rates, grid.columns, "left")
 
 
 def with_all(rows: DataFrame, by: str, aggregates: list[Column], name: str = "ALL") -> DataFrame:
@@ -130,10 +131,10 @@ def three_rules(votes: DataFrame, item: str) -> DataFrame:
 def upper_median(rows: DataFrame, by: str, value: str, quantiles: dict[str, float] | None = None) -> DataFrame:
     """The value at place n // 2 of the sorted values, and at int(q * n): not interpolated.
 
-    Places come from ranks, so no group is gathered into one row.
+    Places come from cells of the value and ranks inside them, so no group is in one task.
     """
-    w = Window.partitionBy(by).orderBy(value)
-    ranked = rows.withColumn("_r", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(by)))
+    sizes = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))
+    ranked = places(rows, [by], value, [], "_r").join(sizes, F.col(by).eqNullSafe(F.col("_by"))).withColumn("_r", F.col("_r") - 1)
     at = lambda place: F.max(F.when(F.col("_r") == place, F.col(value)))
     named = {name: at(F.least(F.col("_n") - 1, F.floor(F.col("_n") * q))) for name, q in (quantiles or {}).items()}
     return ranked.groupBy(by).agg(at(F.floor(F.col("_n") / 2)).alias("median"), *[c.alias(n) for n, c in named.items()])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievework.functions.buckets import hash_fraction
-from sievework.operators.sampling import exact_first
+from sievework.operators.sampling import hash_limit, hash_order, places
 
 
 @dataclass(frozen=True)
@@ -57,10 +57,9 @@ def mixed(rows: DataFrame, recipe: Recipe, group: str, klass: str, level: str, d
         kept = kept.where(~((F.col(klass) == "collapse_BA") & (F.col(level) == "intermediate")))
     if recipe.native_only:
         kept = kept.where(F.col(native))
-    groups = rows.select(group).distinct()
-    split = exact_first(groups, group, max(1, int(groups.count() * recipe.valid_fraction)), seed)
-    joined = kept.join(split, group)
-    dropped = ~F.col("is_valid") & (F.col(klass) == "all_same") & (hash_fraction(F.col(group).cast("string")) < recipe.drop_same)
+    limit, _ = hash_limit(rows.select(group).distinct(), group, None, recipe.valid_fraction, seed)
+    joined = kept.withColumn("is_valid", hash_order(group, seed) <= F.lit(limit))
+    dropped = ~F.col("is_valid") & (F.col(klass) == "all_same") & (hash_fraction(F.coalesce(F.col(group).cast("string"), F.lit(""))) < recipe.drop_same)
     copies = 1 + F.when(F.col(klass) == "full", recipe.full_boost).otherwise(0) + F.when(F.col(discriminating), recipe.discriminating_boost).otherwise(0)
     return replicated(joined.where(~dropped), F.when(F.col("is_valid"), 1).otherwise(copies))
 
@@ -68,8 +67,8 @@ def mixed(rows: DataFrame, recipe: Recipe, group: str, klass: str, level: str, d
 def cyclic_oversample(rows: DataFrame, order: str, factor: float, n: int) -> DataFrame:
     """rows, and round((factor - 1) * n) more taken in order over and over; n is how many rows there are."""
     extra = round((factor - 1) * n)
-    ranked_ = rows.withColumn("_p", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)) - 1) if extra % n else rows.withColumn("_p", F.lit(0))
-    copies = 1 + extra // n + (F.col("_p") < extra % n).cast("int")
+    ranked_ = places(rows, [], order, [], "_p") if extra % n else rows.withColumn("_p", F.lit(1))
+    copies = 1 + extra // n + (F.col("_p") <= extra % n).cast("int")
     return replicated(ranked_, copies).drop("_p")
 
 
@@ -83,8 +82,8 @@ def capped_class(groups: DataFrame, key: str, is_capped: Column, share: float, s
     """groups with at most int(share * others) of the capped class, whole groups, chosen by hash."""
     marked = groups.withColumn("_c", is_capped)
     others = marked.where("not _c").count()
-    keep = exact_first(marked.where("_c").select(key), key, int(share * others), seed).where("is_valid").select(key)
-    return marked.where("not _c").drop("_c").unionByName(marked.where("_c").drop("_c").join(keep, key, "left_semi"))
+    limit, _ = hash_limit(marked.where("_c").select(key).distinct(), key, int(share * others), seed=seed)
+    return marked.where(~F.col("_c") | (hash_order(key, seed) <= F.lit(limit))).drop("_c")
 
 
 def contrastive_plan(picks: DataFrame, item: str, level: str, pick: str) -> DataFrame:
@@ -120,7 +119,8 @@ def preference_pairs(rows: DataFrame, item: str, level: str, pick: str, text: st
 def balanced_pairs(pairs: DataFrame, level: str, cell: list[str], weight: str, key: str, target: int) -> DataFrame:
     """target / 3 pairs of each level, round robin over the cells, heaviest first."""
     inner = pairs.withColumn("_p", F.row_number().over(Window.partitionBy(level, *cell).orderBy(F.col(weight).desc(), key)))
-    outer = inner.withColumn("_q", F.row_number().over(Window.partitionBy(level).orderBy("_p", *cell)))
+    near = inner.where(F.col("_p") <= target // 3)  # no cell gives more, so this bounds what a level's window sees
+    outer = near.withColumn("_q", F.row_number().over(Window.partitionBy(level).orderBy("_p", *cell)))
     return outer.where(F.col("_q") <= target // 3).drop("_p", "_q")
 
 

@@ -68,29 +68,67 @@ def ratio_split(rows: DataFrame, key: str, fraction: float, seed: int = 0) -> Da
     return rest.unionByName(edge).drop("_h", "_cell")
 
 
-def group_split(rows: DataFrame, group: str, fraction: float, seed: int = 0) -> DataFrame:
-    """Adds is_valid so that no group straddles: max(1, int(n * fraction)) groups are valid."""
-    groups = rows.select(group).distinct()
-    n = groups.count()
-    want = max(1, int(n * fraction))
-    split = exact_first(groups, group, want, seed)
-    return rows.join(split, group)
+def hash_limit(keys: DataFrame, key: str, want: int | None, fraction: float = 0.0, seed: int = 0, near: int = 10_000) -> tuple[str, int]:
+    """(limit, n): the distinct keys whose hash_order is at or below the limit are exactly `want` (or max(1, int(n *
+    fraction)) where want is None); n is how many keys there are.
 
+    Counts of hash prefixes find the prefix that the limit lies in, longer prefixes narrow it until it holds at most
+    `near` keys, and those are looked at: nothing that grows with the table comes to the driver.
+    """
+    marked = keys.select(hash_order(key, seed).alias("h"))
+    prefix, below, n = "", 0, None
+    while True:
+        digits = len(prefix) + 3
+        cells = {r.cell: r.n for r in marked.where(F.startswith("h", F.lit(prefix))).groupBy(F.substring("h", 1, digits).alias("cell")).agg(F.count("*").alias("n")).collect()}  # at most 4096
+        if n is None:
+            n = sum(cells.values())
+            want = max(1, int(n * fraction)) if want is None else want
+            if want <= 0 or not n:
+                return "", n
+            if want >= n:
+                return "g", n
+        for cell in sorted(cells):
+            if below + cells[cell] >= want:
+                break
+            below += cells[cell]
+        prefix = cell
+        if cells[cell] <= near:
+            found = sorted(r.h for r in marked.where(F.startswith("h", F.lit(prefix))).collect())
+            return found[want - below - 1], n
 
-def exact_first(rows: DataFrame, key: str, want: int, seed: int = 0) -> DataFrame:
-    """(key, is_valid): exactly `want` of the distinct keys, the first by hash."""
-    marked = rows.withColumn("_h", hash_order(key, seed)).withColumn("_cell", F.substring("_h", 1, 3))
-    cells = {r["_cell"]: r["n"] for r in marked.groupBy("_cell").agg(F.count("*").alias("n")).collect()}  # at most 4096
-    below, straddling = 0, "g"
-    for cell in sorted(cells):
-        if below + cells[cell] > want:
-            straddling = cell
-            break
-        below += cells[cell]
-    place = F.row_number().over(Window.partitionBy("_cell").orderBy("_h", key))
-    edge = marked.where(F.col("_cell") == straddling).withColumn("is_valid", place <= want - below)
-    rest = marked.where(F.col("_cell") != straddling).withColumn("is_valid", F.col("_cell") < straddling)
-    return rest.unionByName(edge).select(key, "is_valid")
+
+def group_split(rows: DataFrame, group: str, fraction: float, seed: int = 0) -> DataFrame:
+    """Adds is_valid so that no group straddles: max(1, int(n * fraction)) groups are valid. Null is a group.
+
+    A group's hash decides against one limit, so rows are not shuffled.
+    """
+    limit, _ = hash_limit(rows.select(group).distinct(), group, None, fraction, seed)
+    return rows.withColumn("is_valid", hash_order(group, seed) <= F.lit(limit))
+
+
+def value_cells(rows: DataFrame, order: str, cells: int = 256, per_cell: int = 16) -> Column:
+    """The cell of each row: how many of at most `cells` sampled values of the order are at or below it."""
+    n = rows.count()
+    some = rows.where(F.pmod(F.xxhash64(order), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * cells * per_cell / max(n, 1))) + 1) if n > cells * per_cell else rows
+    values = sorted(r[0] for r in some.select(order).where(F.col(order).isNotNull()).distinct().limit(4 * cells * per_cell).collect())
+    edges = sorted({values[i * len(values) // cells] for i in range(1, cells)}) if values else []
+    if not edges:
+        return F.lit(0)
+    return F.when(F.col(order).isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(order))))
+
+
+def places(rows: DataFrame, by: list[str], order: str, ties: list[str], name: str) -> DataFrame:
+    """Adds name: the place, from 1, by order within each group, without a group in one task: rows are ranked in cells of
+    the order, and counts of cells (a small table) say where each cell begins."""
+    marked = rows.withColumn("_cell", value_cells(rows, order))
+    counts = marked.groupBy(*by, "_cell").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*[F.col(c) for c in by] or [F.lit(0)]).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], F.col("_cell").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    same = F.col("_cell") == F.col("_c")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_b{i}"))
+    ranked_ = marked.withColumn("_inside", F.row_number().over(Window.partitionBy(*by, "_cell").orderBy(order, *ties)))
+    return ranked_.join(bases, same).withColumn(name, F.col("_base") + F.col("_inside")).drop("_cell", "_inside", "_c", "_base", *[f"_b{i}" for i in range(len(by))])
 
 
 def stratified_split(rows: DataFrame, by: list[str], key: str, fraction: Column, seed: int = 0) -> DataFrame:

@@ -13,27 +13,38 @@ from sievework.operators import joins as J
 from sievework.plans.registry import query
 from sievework.session import table
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Blanks that both dialects know alike.
+BLANKS = r"[\t\n\x0B\f\r ]+"
+
+
+def lowered(text: F.Column) -> F.Column:
+    """Blanks squeezed, A-Z lower-cased."""
+    return F.translate(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, " ")), UPPER, LOWER)
+
+
 def gated(spark, sf) -> DataFrame:
-    """Documents with the reasons of a gate stack, ASCII text squeezed, and a key."""
+    """Documents with the reasons of a gate stack on their whole texts, and a digest of the squeezed, lowered text as key."""
     docs = table(spark, sf, "documents")
-    clean = T.squeezed(F.regexp_replace("text", r"[^\x00-\x7F]+", ""))
-    rows = docs.select("doc_id", "lang", "source", clean.alias("body")).withColumn("words", F.size(F.split("body", " "))).withColumn("key", F.lower("body"))
-    symbols = F.length("body") - F.length(F.regexp_replace("body", r"[#*$%&|<>]+", ""))
-    return G.with_reasons(rows, [("too_short", F.col("words") < 30), ("symbols", symbols * 20 > F.length("body")), ("shouting", F.length(F.regexp_replace("body", "[^A-Z]+", "")) * 2 > F.length("body")),
-                                 ("table", F.size(F.split("body", r" \| ")) > 10), ("abuse", F.col("body").rlike(r"(?i)(^|[^a-z])(stupid|trash|idiot|moron)([^a-z]|$)"))])
+    body = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), BLANKS, " "))
+    rows = docs.select("doc_id", "lang", "source", body.alias("body")).withColumn("words", F.size(F.split("body", " "))).withColumn("low", F.translate("body", UPPER, LOWER)).withColumn("key", F.md5("low"))
+    symbols = F.length("body") - F.length(F.translate("body", "#*$%&|<>", ""))
+    return G.with_reasons(rows, [("too_short", F.col("words") < 30), ("symbols", symbols * 20 > F.length("body")), ("shouting", (F.length("body") - F.length(F.translate("body", UPPER, ""))) * 2 > F.length("body")),
+                                 ("table", F.size(F.split("body", r" \| ")) > 10), ("abuse", F.col("low").rlike(r"(^|[^a-z])(stupid|trash|idiot|moron)([^a-z]|$)"))])
 
 
-_GATED = r"""g0 AS (SELECT doc_id, lang, source, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '', 'g'), '\s+', ' ', 'g')) AS body FROM documents),
-  g1 AS (SELECT *, lower(body) AS key, len(string_split(body, ' ')) AS words FROM g0),
+_LOWERED = r"translate(trim(regexp_replace(coalesce(text, ''), '[\t\n\x0B\f\r ]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_GATED = rf"""g0 AS (SELECT doc_id, lang, source, trim(regexp_replace(coalesce(text, ''), '[\t\n\x0B\f\r ]+', ' ', 'g'), ' ') AS body, {_LOWERED} AS key FROM documents),
+  g1 AS (SELECT *, len(string_split(body, ' ')) AS words FROM g0),
   gated AS (SELECT *, list_filter([CASE WHEN words < 30 THEN 'too_short' END, CASE WHEN (length(body) - length(translate(body, '#*$%&|<>', ''))) * 20 > length(body) THEN 'symbols' END,
     CASE WHEN length(regexp_replace(body, '[^A-Z]', '', 'g')) * 2 > length(body) THEN 'shouting' END, CASE WHEN len(string_split(body, ' | ')) > 10 THEN 'table' END,
-    CASE WHEN regexp_matches(body, '(?i)(^|[^a-z])(stupid|trash|idiot|moron)([^a-z]|$)') THEN 'abuse' END], lambda x: x IS NOT NULL) AS reasons FROM g1)"""
-_HELD = r"held AS (SELECT DISTINCT lower(trim(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), '\s+', ' ', 'g'))) AS key FROM benchmark)"
+    CASE WHEN regexp_matches(key, '(^|[^a-z])(stupid|trash|idiot|moron)([^a-z]|$)') THEN 'abuse' END], lambda x: x IS NOT NULL) AS reasons FROM g1)"""
+_HELD = f"held AS (SELECT DISTINCT {_LOWERED} AS key FROM benchmark)"
 _CLEAN = """clean AS (SELECT *, CASE WHEN len(reasons) = 0 AND row_number() OVER (PARTITION BY key, len(reasons) = 0 ORDER BY doc_id) > 1 THEN ['duplicate'] ELSE reasons END AS why FROM gated)"""
 
 
 def held_keys(spark, sf) -> DataFrame:
-    return table(spark, sf, "benchmark").select(F.lower(T.squeezed(F.regexp_replace("text", r"[^\x00-\x7F]+", ""))).alias("key")).distinct()
+    return table(spark, sf, "benchmark").select(F.md5(lowered(F.col("text"))).alias("key")).distinct()
 
 
 @query(f"""WITH {_GATED}, {_CLEAN}, {_HELD}, left_ AS (SELECT c.* FROM clean c ANTI JOIN held USING (key)),
@@ -77,11 +88,12 @@ def leak_intersection(spark, sf) -> DataFrame:
     return gated(spark, sf).select("key").intersect(held_keys(spark, sf)).agg(F.count("*").alias("n"))
 
 
-@query("SELECT source, lang, count(*) AS n FROM (SELECT source, lang FROM documents WHERE doc_id % 2 = 0 UNION SELECT source, lang FROM documents WHERE doc_id % 3 = 0) GROUP BY ALL")
+@query("SELECT source, lang, count(*) AS n FROM (SELECT source, lang FROM documents JOIN labels USING (doc_id) WHERE quality = 0 UNION SELECT source, lang FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) GROUP BY ALL")
 def union_of_exclusion_keys(spark, sf) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    keys = docs.where("doc_id % 2 = 0").select("source", "lang").union(docs.where("doc_id % 3 = 0").select("source", "lang")).distinct()
-    return keys.groupBy("source", "lang").agg(F.count("*").alias("n"))
+    """Keys of documents that either label excludes."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    of = lambda test: docs.join(labels.where(test), "doc_id", "left_semi").select("source", "lang")
+    return of("quality = 0").union(of("toxic = 1")).distinct().groupBy("source", "lang").agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_custkey AS key FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_nationkey < 20")

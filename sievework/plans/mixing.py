@@ -106,10 +106,10 @@ def weighted_expand(spark, sf) -> DataFrame:
     return X.weighted_expand(docs(spark, sf), "doc_id", F.when(F.col("lang") == "en", 1.5).when(F.col("lang") == "de", 0.25).otherwise(1.0)).select("doc_id", "copy")
 
 
-@query("WITH n AS (SELECT count(*) AS n FROM nation), r AS (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS p FROM nation) SELECT n_nationkey, CAST(unnest(range(1, 2 + CAST(round_even(1.3 * n, 0) AS BIGINT) // n + CASE WHEN p < CAST(round_even(1.3 * n, 0) AS BIGINT) % n THEN 1 ELSE 0 END)) AS INTEGER) AS copy FROM r, n")
+@query("WITH n AS (SELECT count(*) AS n FROM customer), r AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS p FROM customer) SELECT c_custkey, CAST(unnest(range(1, 2 + CAST(round_even(1.3 * n, 0) AS BIGINT) // n + CASE WHEN p < CAST(round_even(1.3 * n, 0) AS BIGINT) % n THEN 1 ELSE 0 END)) AS INTEGER) AS copy FROM r, n")
 def cyclic_oversample(spark, sf) -> DataFrame:
-    nations = table(spark, sf, "nation").select("n_nationkey")
-    return X.cyclic_oversample(nations, "n_nationkey", 2.3, nations.count()).select("n_nationkey", "copy")
+    rows = table(spark, sf, "customer").select("c_custkey")
+    return X.cyclic_oversample(rows, "c_custkey", 2.3, rows.count()).select("c_custkey", "copy")
 
 
 @query("WITH g AS (SELECT o_orderkey AS k, o_orderstatus = 'F' AS c FROM orders), r AS (SELECT k, row_number() OVER (ORDER BY sha256('0|' || k), k) AS p FROM g WHERE c) SELECT k FROM g WHERE NOT c UNION ALL SELECT k FROM r WHERE p <= (SELECT CAST(floor(0.12 * count(*)) AS BIGINT) FROM g WHERE NOT c)")

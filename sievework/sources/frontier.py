@@ -33,18 +33,30 @@ class _Reader(DataSourceReader):
         paths = [p for p in self.options.get("paths", "").split(",") if p]
         return [InputPartition(p) for p in paths[: int(self.options.get("budget", len(paths)))]]
 
+    def _request(self, path: str, asked: list[int]) -> tuple[int, float, list[str]]:
+        """(status, seconds to wait, lines): a path that `refuse` names answers 429 so many times."""
+        refuse = dict(x.rsplit(":", 1) for x in self.options.get("refuse", "").split(",") if x)
+        asked.append(1)
+        if len(asked) <= int(refuse.get(path, 0)):
+            return 429, float(self.options.get("wait", 0)), []
+        with open(path, encoding="utf-8") as lines:
+            return 200, 0.0, list(lines)
+
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, encoding="utf-8") as lines:
-            for line in lines:
-                try:
-                    row = json.loads(line)
-                except ValueError:
-                    continue
-                yield tuple(row.get(f.name) for f in self.schema.fields)
+        asked: list[int] = []
+        for line in with_retries(lambda: self._request(partition.value, asked), int(self.options.get("retries", 3))):
+            try:
+                row = json.loads(line)
+            except ValueError:
+                continue
+            yield tuple(row.get(f.name) for f in self.schema.fields)
 
 
 class NdjsonSource(DataSource):
-    """spark.read.format("ndjson_stub").schema(...).option("paths", "a,b").option("budget", 2): a request is a file."""
+    """spark.read.format("ndjson_stub").schema(...).option("paths", "a,b").option("budget", 2): a request is a file.
+
+    Refused requests (option refuse, "path:times,...") are made again, at most `retries` times, after the wait they ask for.
+    """
 
     @classmethod
     def name(cls) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -56,16 +58,19 @@ def manifest(spark: SparkSession, path: str, schema: str | StructType, key: str
     return last_per_key(rows, [key], "_at")
 
 
+def _with_position(rows: DataFrame) -> DataFrame:
+    """Adds _at: file, where the split starts in it, and the row in the split; so order holds however files are split."""
+    return rows.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")).alias("_at"))
+
+
 def union_first_wins(spark: SparkSession, path: str, schema: str | StructType, key: list[str]) -> DataFrame:
     """Several files in the order of their names; the first row of each key stays."""
-    rows = spark.read.schema(_schema(schema)).json(path).withColumn("_file", F.input_file_name()).withColumn("_at", F.monotonically_increasing_id())
-    return first_per_key(rows, key, ["_file", "_at"]).drop("_file", "_at")
+    return first_per_key(_with_position(spark.read.schema(_schema(schema)).json(path)), key, ["_at"]).drop("_at")
 
 
 def union_last_wins(spark: SparkSession, path: str, schema: str | StructType, key: list[str]) -> DataFrame:
     """Later files and lines override earlier ones."""
-    rows = spark.read.schema(_schema(schema)).json(path).withColumn("_o", F.struct(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("a")))
-    return last_per_key(rows, key, "_o")
+    return last_per_key(_with_position(spark.read.schema(_schema(schema)).json(path)), key, "_at")
 
 
 def key_list(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -79,8 +84,22 @@ def stored_bytes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_atomic(rows: DataFrame, path: str) -> None:
-    """Overwrites with one committed job: readers see the old rows or the new ones."""
-    rows.write.mode("overwrite").json(path)
+    """Replaces a folder of JSON lines by a whole new one: rows are written beside it, then the folders change names.
+
+    A failed write leaves the old rows. Between the two renames the path is missing for a moment; no reader sees a part.
+    """
+    spark = rows.sparkSession
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = to(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    new, old = to(f"{path}.new-{uuid.uuid4().hex}"), to(f"{path}.old-{uuid.uuid4().hex}")
+    rows.write.json(new.toString())
+    had = fs.exists(to(path)) and fs.rename(to(path), old)
+    if not fs.rename(new, to(path)):
+        if had:
+            fs.rename(old, to(path))
+        raise OSError(f"cannot rename {new} to {path}")
+    if had:
+        fs.delete(old, True)
 
 
 def append_log(rows: DataFrame, path: str) -> None:

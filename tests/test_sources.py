@@ -43,6 +43,10 @@ def test_sinks(spark, tmp_path):
     out = str(tmp_path / "out")
     jsonl.write_atomic(rows, out)
     jsonl.write_atomic(rows.limit(1), out)
+    assert jsonl.read_tolerant(spark, out, SCHEMA).count() == 1 and [x.name for x in tmp_path.iterdir()] == ["out"]
+    with pytest.raises(Exception):
+        jsonl.write_atomic(rows.select(F.raise_error(F.lit("x")).alias("id")), out)
+    assert jsonl.read_tolerant(spark, out, SCHEMA).count() == 1
     jsonl.append_log(rows, out)
     assert jsonl.read_tolerant(spark, out, SCHEMA).count() == 3
     jsonl.write_manifest(rows, "name", "id", str(tmp_path / "man"))
@@ -111,3 +115,22 @@ def test_streams(spark, tmp_path):
         q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
         q.awaitTermination()
         assert spark.table(name).count() == 4
+
+
+def test_refused_requests_are_made_again(spark, tmp_path):
+    frontier.register(spark)
+    paths = [write(tmp_path / f"{i}.ndjson", f'{{"id": {i}, "name": "n"}}\n') for i in range(3)]
+    rows = spark.read.format("ndjson_stub").schema(SCHEMA).option("paths", ",".join(paths)).option("refuse", f"{paths[0]}:2,{paths[1]}:9").option("retries", "3").load()
+    assert sorted(r.id for r in rows.collect()) == [0, 2]
+
+
+def test_position_holds_in_split_files(spark, tmp_path):
+    write(tmp_path / "big" / "a.jsonl", "".join(json.dumps({"id": i % 50, "name": str(i)}) + "\n" for i in range(20000)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        path = str(tmp_path / "big" / "*.jsonl")
+        assert sorted((r.id, r.name) for r in jsonl.union_last_wins(spark, path, SCHEMA, ["id"]).collect()) == [(i, str(19950 + i)) for i in range(50)]
+        assert sorted((r.id, r.name) for r in jsonl.union_first_wins(spark, path, SCHEMA, ["id"]).collect()) == [(i, str(i)) for i in range(50)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
