@@ -99,11 +99,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
-def find_edge(edges: list, value: Column) -> Column:
-    """How many of the sorted edges are <= value, by binary search over an array literal."""
+def find_edge(edges: list, value: Column, made: Callable[[object], Column] = F.lit) -> Column:
+    """How many of the sorted edges are <= value, by binary search over an array literal; `made` makes one edge a column."""
     if not edges:
         return F.lit(0)
-    table, steps = F.array(*[F.lit(x) for x in edges]), len(edges).bit_length()
+    table, steps = F.array(*map(made, edges)), len(edges).bit_length()
     start = F.struct(F.lit(0).alias("lo"), F.lit(len(edges)).alias("hi"))
 
     def step(s: Column, _: Column) -> Column:
@@ -118,7 +118,7 @@ def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     """At most n rows, the first by the hash of the key.
 
     A threshold on the hash, from the number of rows, leaves little more than n of them, so that no task sends n rows to
-    the last one. All rows are used if there are at most n.
+    the last one (unless one key has most rows; then each still sends n at most). All rows are used if there are at most n.
     """
     total = rows.count()
     if total > n:

@@ -1,21 +1,26 @@
 """URL filters as a sort-merge range join of canonical keys against nested prefix rules.
 
-The canonical key of a host is its labels in reverse, each closed by U+0001, so that a rule's host and all its subdomains
-are one interval of keys, and any two intervals nest or are disjoint. Pages and rules are dealt by ranges of that key
-(and, within one host, by path and a hash, so that a host with a third of all pages is split), sorted, and swept once:
-the sweep carries the stack of rules whose interval is open, which every rule's row brings along, and each page keeps the
-longest of the open rules that its path starts with. Everything is DataFrame functions; the sweep is a window.
+The canonical key of a host is its labels in reverse, each closed by U+0001; that of a rule is its host's key, U+0000 and
+its path. All paths that a rule fits on its own host are one interval of keys, and any two rules' intervals nest or are
+disjoint. A page is a point on its own host and on each host around it (as many points as it has labels, and one), so
+rules are never copied to the hosts below them. Points and rules are dealt by ranges of the key (points also by a hash, so
+that a host with a third of all pages is split), sorted, and swept once. Each rule's row brings the stack of the rules that
+are open where it begins, itself on top; the sweep hands the last one on, and a point takes the topmost rule that its path
+starts with. A range begins with the stack that the ranges before it leave open. A page then takes the longest of its
+points' rules. Stacks are as deep as rules of one host nest; they come from joining the rules to the prefixes of their own
+paths. Everything is DataFrame functions; the sweep is a window.
 
 Defined cases: a null url, or one without "://", has an empty host and an empty path and fits no rule with a host;
 repeated pages are judged each on their own; null page_ids are kept; an empty table gives an empty result; other columns
 of pages are ignored. A rule with an empty host fits every page whose path starts with the rule's. Rules are
-(host, path, verdict); of equal (host, path) rules the first verdict in order holds.
+(rule_no, host, path, verdict); of equal (host, path) rules the first in order holds, and so for rules of equal length.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from sievework.llm.common import ascii_lower, find_edge, hash_sample, parts
@@ -45,44 +50,54 @@ def rules_table(spark: SparkSession, rules: tuple[tuple[str, str, str], ...] = B
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rules)], "rule_no long, host string, path string, verdict string").coalesce(1)
 
 
+RULE = "struct<size:int,order:bigint,key:string,path:string,rule:string,verdict:string>"
+
+
+def around(key: Column) -> Column:
+    """The keys of a host and of all hosts around it, the empty one first."""
+    labels = F.split(key, "\u0001")
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(labels) - 1), lambda n: F.when(n == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(labels, 1, n), "\u0001"), F.lit("\u0001")))))
+
+
 def _stacks(rules: DataFrame) -> DataFrame:
-    """(key, stack): for each host that has rules, its own rules and those of the hosts around it."""
-    named = rules.select("rule_no", host_key(F.col("host")).alias("key"), F.col("path").alias("rule_path"), F.concat("host", "path").alias("rule"), "verdict")
-    one = F.struct(F.length("rule").alias("size"), (-F.col("rule_no")).alias("order"), "key", "rule_path", "rule", "verdict")
-    at = named.groupBy("key").agg(F.collect_list(one).alias("own"))
-    labels = F.split("key", "\u0001")
-    around = F.transform(F.sequence(F.lit(0), F.size(labels) - 1), lambda n: F.when(n == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(labels, 1, n), "\u0001"), F.lit("\u0001"))))
-    up = at.select("key", F.explode(F.array_distinct(around)).alias("outer"))
-    outer = at.select(F.col("key").alias("outer"), F.col("own").alias("theirs"))
-    return up.join(outer, "outer").groupBy("key").agg(F.flatten(F.collect_list("theirs")).alias("stack"))
+    """(place, stack): for each (host, path) that has a rule, this rule and those of the same host that it lies in."""
+    one = F.struct(F.length(F.concat("host", "path")).alias("size"), (-F.col("rule_no")).alias("order"), "key", "path", F.concat("host", "path").alias("rule"), "verdict").cast(RULE)
+    named = rules.withColumn("key", host_key(F.col("host"))).select("key", "path", one.alias("one")).groupBy("key", "path").agg(F.max("one").alias("one"))
+    heads = F.transform(F.sequence(F.lit(0), F.length("path")), lambda n: F.substring("path", F.lit(1), n))
+    within = named.select("key", F.col("path").alias("inner"), F.explode(heads).alias("path")).join(named, ["key", "path"])
+    return within.groupBy("key", "inner").agg(F.collect_list("one").alias("stack")).select(F.concat("key", F.lit("\u0000"), "inner").alias("place"), "stack")
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT) -> DataFrame:
     """(page_id, host, path, rule, verdict): one row for each row of pages; `rules` has (rule_no, host, path, verdict)."""
     spark = pages.sparkSession
-    seen = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    tail = F.concat("path", F.lit("\u0001"), F.hex(F.xxhash64("page_id", "host", "path")))
-    seen = seen.withColumn("key", host_key(F.col("host"))).withColumn("place", F.concat("key", F.lit("\u0000"), tail))
+    seen = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    tail = F.concat("path", F.lit("\u0001"), F.hex(F.xxhash64("page_id", "host", "path", "row")))
+    points = seen.withColumn("outer", F.explode(around(host_key(F.col("host"))))).withColumn("place", F.concat("outer", F.lit("\u0000"), tail))
     ranges = RANGES_PER_PARTITION * parts(spark)
     # A bounded sample of places gives the edges of the ranges, as in any range partitioning.
-    sampled = hash_sample(seen.select("place"), "place", ranges * SAMPLED_PER_RANGE)
-    places = sorted(r.place for r in sampled.collect())
+    places = sorted(r.place for r in hash_sample(points.select("place"), "place", ranges * SAMPLED_PER_RANGE).collect())
     edges = sorted({places[i * len(places) // ranges] for i in range(1, ranges)}) if places else []
-    pages_in = seen.select(find_edge(edges, F.col("place")).alias("range"), "place", F.lit(1).alias("kind"), "page_id", "host", "path", "key", F.lit(None).cast("array<struct<size:int,order:bigint,key:string,rule_path:string,rule:string,verdict:string>>").alias("stack"))
-    stacks = _stacks(rules).select(find_edge(edges, F.col("key")).alias("range"), F.col("key").alias("place"), F.col("stack").cast(dict(pages_in.dtypes)["stack"]).alias("stack"))
-    rules_in = stacks.select("range", "place", F.lit(0).alias("kind"), F.lit(None).cast(dict(pages.dtypes)["page_id"]).alias("page_id"), F.lit("").alias("host"), F.lit("").alias("path"), F.lit("").alias("key"), "stack")
-    # The stack that is open where a range begins: the last one that began in an earlier range.
-    last = stacks.groupBy("range").agg(F.max_by("stack", "place").alias("stack"))
-    every = spark.range(len(edges) + 1).select(F.col("id").cast("int").alias("range")).coalesce(1)
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    open_ = every.join(last, "range", "left").select("range", F.last("stack", ignorenulls=True).over(before).alias("stack")).where(F.col("stack").isNotNull())
-    open_ = open_.select("range", F.lit("").alias("place"), F.lit(-1).alias("kind"), F.lit(None).cast(dict(pages.dtypes)["page_id"]).alias("page_id"), F.lit("").alias("host"), F.lit("").alias("path"), F.lit("").alias("key"), "stack")
+    page = StructType([StructField("row", LongType()), *(pages.schema["page_id"],), StructField("host", StringType()), StructField("path", StringType())])
+    no_page = [F.lit(None).cast(f.dataType).alias(f.name) for f in page.fields]
+    stacks = _stacks(rules).withColumn("range", find_edge(edges, F.col("place")))
+    # What is open where a range begins: the last rule of the ranges before it, found among as many keys as there are ranges.
+    last = {r.range: r.place for r in stacks.groupBy("range").agg(F.max("place").alias("place")).collect()}
+    carried, now = [], None
+    for i in range(len(edges) + 1):
+        if now is not None:
+            carried.append((i, now))
+        now = last.get(i, now)
+    begins = spark.createDataFrame(carried, "at int, place string").coalesce(1)
+    open_ = begins.join(stacks.drop("range"), "place").select(F.col("at").alias("range"), F.lit("").alias("place"), F.lit(-1).alias("kind"), *no_page, "stack")
+    rules_in = stacks.select("range", "place", F.lit(0).alias("kind"), *no_page, "stack")
+    points_in = points.select(find_edge(edges, F.col("place")).alias("range"), "place", F.lit(1).alias("kind"), "row", "page_id", "host", "path", F.lit(None).cast(f"array<{RULE}>").alias("stack"))
     sweep = Window.partitionBy("range").orderBy("place", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = pages_in.unionByName(rules_in).unionByName(open_).withColumn("open", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1")
-    fits = F.filter("open", lambda r: F.startswith(F.col("key"), r["key"]) & F.startswith(F.col("path"), r["rule_path"]))
-    best = F.array_max(fits)
-    judged = swept.withColumn("best", best)
-    return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    swept = points_in.unionByName(rules_in).unionByName(open_).withColumn("open", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1")
+    # The last rule may be another host's; the place says on which host the point lies.
+    fits = F.filter("open", lambda r: F.startswith(F.col("path"), r["path"]) & (r["key"] == F.substring_index("place", "\u0000", 1)))
+    best = swept.withColumn("best", F.array_max(fits)).groupBy("row", "page_id", "host", "path").agg(F.max("best").alias("best"))
+    return best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

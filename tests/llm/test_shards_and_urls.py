@@ -48,7 +48,7 @@ def brute(page, url, rules):
         n = min([i for i in (rest.find(c) for c in "/?#") if i >= 0], default=len(rest))
         host, rest = rest[:n].translate(LOW), rest[n:]
         path = rest[: min([i for i in (rest.find(c) for c in "?#") if i >= 0], default=len(rest))]
-    fit = [(len(h + p), -i, h + p, v) for i, (h, p, v) in enumerate(rules) if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    fit = [(len(h + p), -i, h + p, v) for i, (h, p, v) in enumerate(rules) if (h == "" or host == h or host.endswith("." + h)) and path.startswith(p)]
     best = max(fit, default=None)
     return page, host, path, best and best[2], best[3] if best else "allow"
 
@@ -63,3 +63,17 @@ def test_urls_match_brute_force(spark):
     got = sorted((tuple(r) for r in U.judge(pages, U.rules_table(spark, rules)).collect()), key=str)
     assert got == sorted((brute(*r, rules) for r in rows), key=str)
     assert U.judge(pages.limit(0), U.rules_table(spark)).collect() == []
+
+
+def test_nested_rules_many_hosts_and_a_hot_one(spark):
+    rng = random.Random(9)
+    parts = ["a", "b", "c", "d"]
+    rules = [("", "/ad", "block"), ("com", "/", "allow"), ("com", "/a", "block"), ("com", "/a/b", "allow"), ("com", "/a/b", "block")]
+    for _ in range(150):
+        host = ".".join(rng.choice(parts) for _ in range(rng.randint(0, 2))).strip(".")
+        rules.append((f"{host}.com".strip(".") if rng.random() < 0.7 else host, "/" + "/".join(rng.choice(parts) for _ in range(rng.randint(0, 3))), rng.choice(["allow", "block"])))
+    host = lambda: rng.choice(["hot.com", ".".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) + ".com"])
+    rows = [(i, f"http://{host()}/{'/'.join(rng.choice(parts) for _ in range(rng.randint(0, 5)))}") for i in range(1500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").repartition(6)
+    got = sorted((tuple(r) for r in U.judge(pages, U.rules_table(spark, tuple(rules))).collect()), key=str)
+    assert got == sorted((brute(*r, rules) for r in rows), key=str)
