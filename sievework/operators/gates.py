@@ -25,7 +25,8 @@ def first_clean(rows: DataFrame, key: list[str], order: list[str], duplicate: st
     task. The order must tell a key's rows apart; rows of a null key are one group.
     """
     clean = F.size("reasons") == 0
-    first = rows.where(clean).groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(F.min(F.struct(*order)).alias("_first"))
+    # Not a filter on clean: it would be pushed down and have the tests' columns computed once for each use.
+    first = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(F.min(F.when(clean, F.struct(*order))).alias("_first"))
     same = F.lit(True)
     for i, k in enumerate(key):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))

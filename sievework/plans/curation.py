@@ -18,19 +18,27 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = r"[\t\n\x0B\f\r ]+"
 
 
+def low(text: F.Column) -> F.Column:
+    """A-Z lower-cased; lower() does the same, faster, where there are only ASCII characters."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
 def lowered(text: F.Column) -> F.Column:
     """Blanks squeezed, A-Z lower-cased."""
-    return F.translate(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, " ")), UPPER, LOWER)
+    return low(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, " ")))
 
 
 def gated(spark, sf) -> DataFrame:
     """Documents with the reasons of a gate stack on their whole texts, and a digest of the squeezed, lowered text as key."""
     docs = table(spark, sf, "documents")
     body = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), BLANKS, " "))
-    rows = docs.select("doc_id", "lang", "source", body.alias("body")).withColumn("words", F.size(F.split("body", " "))).withColumn("low", F.translate("body", UPPER, LOWER)).withColumn("key", F.md5("low"))
-    symbols = F.length("body") - F.length(F.translate("body", "#*$%&|<>", ""))
-    return G.with_reasons(rows, [("too_short", F.col("words") < 30), ("symbols", symbols * 20 > F.length("body")), ("shouting", (F.length("body") - F.length(F.translate("body", UPPER, ""))) * 2 > F.length("body")),
-                                 ("table", F.size(F.split("body", r" \| ")) > 10), ("abuse", F.col("low").rlike(r"(^|[^a-z])(stupid|trash|idiot|moron)([^a-z]|$)"))])
+    rows = docs.select("doc_id", "lang", "source", body.alias("body")).withColumn("low", low(F.col("body"))).withColumn("key", F.md5("low"))
+    held = lambda part: F.floor((F.length("body") - F.length(F.replace("body", F.lit(part), F.lit("")))) / len(part))
+    words = ("stupid", "trash", "idiot", "moron")
+    named = F.contains("low", F.lit(words[0])) | F.contains("low", F.lit(words[1])) | F.contains("low", F.lit(words[2])) | F.contains("low", F.lit(words[3]))  # cheap, so that few texts are matched
+    symbols = F.length("body") - F.length(F.regexp_replace("body", r"[#*$%&|<>]+", ""))
+    return G.with_reasons(rows, [("too_short", held(" ") + 1 < 30), ("symbols", symbols * 20 > F.length("body")), ("shouting", F.length(F.regexp_replace("body", "[^A-Z]+", "")) * 2 > F.length("body")),
+                                 ("table", held(" | ") + 1 > 10), ("abuse", named & F.col("low").rlike(rf"(^|[^a-z])({'|'.join(words)})([^a-z]|$)"))])
 
 
 _LOWERED = r"translate(trim(regexp_replace(coalesce(text, ''), '[\t\n\x0B\f\r ]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
