@@ -6,12 +6,14 @@ at blanks, and shingled by five words (a shorter text is one shingle). A text's
 followed by its sketch; equal texts have equal fingerprints.
 
 All work is DataFrame functions. The edited text needs the next document by descending doc_id: documents are dealt by
-ranges of doc_id (edges from approximate percentiles), each range's first row is also sent, as a guest, to the range
-that comes before it, and one window inside each range reads the next row. The texts are shuffled once.
+ranges of (doc_id, hash of the text), whose edges come from a sample, so that a doc_id with many rows is split too; each
+range's first row is also sent, as a guest, to the range that comes before it, and one window inside each range reads the
+next row. The texts are shuffled once.
 
 Defined cases: a null or empty text has no words, an empty sketch, and the fingerprint of no words; likeness of two
-empty sketches is 1 if the fingerprints are equal and else 0; rows that share a doc_id follow each other by text, null
-doc_ids come last; a single document is its own next; an empty table gives an empty result; other columns are ignored.
+empty sketches is 1 if the fingerprints are equal and else 0; rows that share a doc_id follow each other by a hash of the
+text, null doc_ids come last; a single document is its own next; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -20,12 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievework.llm.common import BLANKS, find_edge, parts, text_of
+from sievework.llm.common import BLANKS, find_edge, hash_sample, parts, text_of
 
 SHINGLE = 5
 #: One hash in this many is retained.
 ONE_IN = 4
-RANGES_PER_PARTITION = 8
+#: Ranges for each shuffle partition, and rows sampled for each range; they only steer the dealing.
+RANGES_PER_PARTITION, SAMPLED_PER_RANGE = 8, 8
 LEAST = -(1 << 63)
 
 
@@ -80,17 +83,19 @@ def _sketched(df: DataFrame, text: str, to: str) -> DataFrame:
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, next_text, own_s, own_p, next_s, next_p): each row with the next one by descending doc_id."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("string").alias("text")).withColumn("k", F.coalesce("doc_id", F.lit(LEAST)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("string").alias("text"))
+    rows = rows.withColumn("k", F.struct(F.coalesce("doc_id", F.lit(LEAST)).alias("id"), F.xxhash64("text").alias("text")))
     ranges = RANGES_PER_PARTITION * parts(spark)
-    keys = rows.select("k")
-    got = keys.agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("edges")).first()
-    edges = sorted(set(got.edges or []))
-    placed = rows.withColumn("range", find_edge(edges, F.col("k")))
-    # The greatest key of each range that has rows: as many numbers as there are ranges.
-    tops = {r.range: r.top for r in placed.groupBy("range").agg(F.max("k").alias("top")).collect()}
+    keys = sorted((r.k.id, r.k.text) for r in hash_sample(rows.select("k"), "k", ranges * SAMPLED_PER_RANGE).collect())
+    edges = sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
+    kind = "struct<id:bigint,text:bigint>"
+    placed = rows.withColumn("range", find_edge(edges, F.col("k"), lambda e: F.struct(F.lit(e[0]).alias("id"), F.lit(e[1]).alias("text"))))
+    # The greatest key of each range that has rows: as many pairs of numbers as there are ranges.
+    tops = {r.range: (r.top.id, r.top.text) for r in placed.groupBy("range").agg(F.max("k").alias("top")).collect()}
     filled = sorted(tops)
     above = {r: filled[(i + 1) % len(filled)] for i, r in enumerate(filled)}
-    top = F.array(*[F.lit(tops.get(i)).cast("long") for i in range(len(edges) + 1)])
+    pair = lambda e: F.lit(None).cast(kind) if e is None else F.struct(F.lit(e[0]).cast("long").alias("id"), F.lit(e[1]).cast("long").alias("text"))
+    top = F.array(*[pair(tops.get(i)) for i in range(len(edges) + 1)])
     to = F.array(*[F.lit(above.get(i)).cast("int") for i in range(len(edges) + 1)])
     own = F.struct(F.col("range").alias("range"), F.lit(0).alias("guest"))
     also = F.struct(F.get(to, F.col("range")).alias("range"), F.lit(1).alias("guest"))
