@@ -2,12 +2,12 @@
 
 Texts are lower-cased (A-Z alone) and cut into words of digits, a-z and anything beyond ASCII. Rolling hashes of k words
 are joined to the places of the same k words in the templates (a constant table, so the join is a broadcast one); each
-hit votes for the diagonal, place in the text less place in the template. Hits are checked word for word where they are
-found, so hash collisions never vote. Votes are counted by diagonal; neighbouring diagonals (words put in or left out)
+hit votes for the diagonal, place in the text less place in the template. Each k-gram brings its own words along, so hits
+are checked word for word where they are found, hash collisions never vote, and the work is linear in a text's length. Votes are counted by diagonal; neighbouring diagonals (words put in or left out)
 are merged; and a merged span is verified by the share of the template that it covers.
 
 Two sorts of templates: the base phrases, k = 2, of which every place must be a whole match on one diagonal; and the
-notices, k = 3, that need COVERED of their k-grams. A score is the best coverage, 1 for a base phrase.
+notices, k = 3 (found by the hash of the first two), that need COVERED of their k-grams. A score is the best coverage, 1 for a base phrase.
 
 Defined cases: null and empty texts have no words, no places, empty labels and score 0; repeated rows, also with one
 doc_id, are scanned each; an empty table gives an empty result; other columns are ignored.
@@ -62,12 +62,7 @@ def _templates(spark: SparkSession) -> DataFrame:
         k = BASE_K if base else NOTICE_K
         rows += [(words[i : i + k], n, label, base, i, len(words) - k + 1) for i in range(len(words) - k + 1)]
     table = spark.createDataFrame(rows, "gram_words array<string>, template int, label string, base boolean, t_pos int, t_grams int").coalesce(1)
-    return table.withColumn("gram", _gram([F.xxhash64(F.get("gram_words", F.lit(j))) for j in range(BASE_K)], F.when(F.col("base"), F.lit(None)).otherwise(F.xxhash64(F.get("gram_words", F.lit(NOTICE_K - 1))))))
-
-
-def _gram(hashes: list[Column], last: Column | None = None) -> Column:
-    """The rolling hash of k word hashes; a null last one leaves the hash of the others (xxhash64 passes nulls over)."""
-    return F.xxhash64(*hashes, *([last] if last is not None else []))
+    return table.withColumn("gram", F.xxhash64(*[F.xxhash64(F.get("gram_words", F.lit(j))) for j in range(BASE_K)]))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -75,12 +70,14 @@ def scan(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), words_of(text_of().cast("string")).alias("words"))
     rows = rows.withColumn("h", F.transform("words", lambda w: F.xxhash64(w))).withColumn("n", F.size("words"))
-    grams = lambda k: F.when(F.col("n") >= k, F.transform(F.sequence(F.lit(0), F.col("n") - k), lambda i: F.struct(i.alias("pos"), _gram([F.get("h", i + j) for j in range(k)]).alias("g")))).otherwise(F.array().cast("array<struct<pos:int,g:bigint>>"))
-    none = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("g")))
-    placed = rows.select("row", "doc_id", "words", "n", F.explode(F.concat(none, grams(BASE_K), grams(NOTICE_K))).alias("at"))
-    placed = placed.select("row", "doc_id", "words", "n", F.col("at.pos").alias("pos"), F.col("at.g").alias("g"))
+    # Pairs of words are hashed and joined, for both sorts of templates; a place brings the words that a notice compares.
+    one = lambda i: F.struct(i.alias("pos"), F.xxhash64(*[F.get("h", i + j) for j in range(BASE_K)]).alias("g"), F.slice("words", i + 1, NOTICE_K).alias("own"))
+    grams = F.when(F.col("n") >= BASE_K, F.transform(F.sequence(F.lit(0), F.col("n") - BASE_K), one)).otherwise(F.array().cast("array<struct<pos:int,g:bigint,own:array<string>>>"))
+    none = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("g"), F.lit(None).cast("array<string>").alias("own")))
+    placed = rows.select("row", "doc_id", "n", F.explode(F.concat(none, grams)).alias("at"))
+    placed = placed.select("row", "doc_id", "n", F.col("at.pos").alias("pos"), F.col("at.g").alias("g"), F.col("at.own").alias("own"))
     table = F.broadcast(_templates(spark))
-    same = F.slice("words", F.col("pos") + 1, F.size("gram_words")) == F.col("gram_words")
+    same = F.slice("own", F.lit(1), F.size("gram_words")) == F.col("gram_words")
     hits = placed.join(table, (placed.g == table.gram) & same, "left").where(F.col("template").isNotNull() | (F.col("pos") < 0))
     hits = hits.select("row", "doc_id", "n", "template", "label", "base", "t_pos", "t_grams", "pos", (F.col("pos") - F.col("t_pos")).alias("diagonal"))
     voted = hits.groupBy("row", "doc_id", "n", "template", "label", "base", "t_grams", "diagonal").agg(F.collect_set("t_pos").alias("covers"), F.min("pos").alias("first"), F.max("pos").alias("last"))

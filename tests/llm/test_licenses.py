@@ -31,3 +31,10 @@ def test_base_places_match_brute_force(spark):
 
 def test_empty_table(spark):
     assert L.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_long_text_is_scanned_once(spark):
+    words = ["w%d" % (i % 997) for i in range(200_000)]
+    words[5:7] = words[199_000:199_002] = ["MIT", "license"]
+    (row,) = L.scan(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")).collect()
+    assert (row.n_words, row.n_base, row.first_word, row.last_word) == (200_000, 2, 5, 199_000)
