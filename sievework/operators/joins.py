@@ -81,3 +81,9 @@ def identical_rows(left: DataFrame, right: DataFrame, key: str, fields: list[str
     both = left.join(r, F.col(key) == F.col("_k"))
     sums = both.agg(*[F.count_if(~F.col(f).eqNullSafe(F.col(f"_{f}"))).alias(f) for f in fields])
     return sums.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("differing")) for f in fields])))
+
+
+def compared(old: DataFrame, new: DataFrame, key: str, was: str, now: str, by: Column, name: str) -> DataFrame:
+    """Counts by `by` over the full join of stored and new values: same, changed, new, gone. old has o, new has f, both true."""
+    joined = old.join(new, key, "full_outer").withColumn("_by", by)
+    return joined.groupBy(F.col("_by").alias(name)).agg(F.count_if(F.col(was) == F.col(now)).alias("same"), F.count_if(F.col(was) != F.col(now)).alias("changed"), F.count_if(F.col("o").isNull()).alias("new"), F.count_if(F.col("f").isNull()).alias("gone"))

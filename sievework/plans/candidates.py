@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from sievework.functions import text as T
 from sievework.operators import candidates as N
 from sievework.operators import gates as G
-from sievework.plans.coaching import BOARDS, _at, _case, _NAMES, _R, rows
+from sievework.plans.coaching import _at, _case, _NAMES, _R, rows
 from sievework.plans.registry import query
+from sievework.plans.sqltext import clause_sql, lead_sql, quoted, run_sql
 
 UCIS = ("g1f3", "e2e4", "f1b5", "e2b5", "")
 POOLS = (("g1f3", "e2e4", "f1b5"), ("F1B5", "e2b5"), ())
@@ -67,36 +68,13 @@ def bank_gate_strip(spark, sf) -> DataFrame:
     return out.select("k", "coaching", F.array_join("reasons", ",").alias("reasons"))
 
 
-def _quoted(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
-
-
-def lead_sql(column: str) -> str:
-    """clean_lead as SQL: the same passes of the fixed patterns."""
-    out = f"trim({column})"
-    for _ in range(3):  # the dealt sentences are clean after three passes
-        for pattern in (T.LEAD_RESTATED, T.LEAD_DANGLING, T.AUDIT_RESTATED, T.AUDIT_DANGLING, T.LEAD_PUNCT):
-            out = f"regexp_replace({out}, {_quoted(pattern)}, '')"
-        out = f"trim({out})"
-    return f"(SELECT upper(x[1]) || x[2:] FROM (SELECT {out} AS x))"
-
-
 def _scrub(column: str) -> str:
     out = column
     for pattern, plain in T.SCRUBS:
-        out = f"regexp_replace({out}, {_quoted(pattern)}, '{plain}', 'g')"
+        out = f"regexp_replace({out}, {quoted(pattern)}, '{plain}', 'g')"
     return f"CASE WHEN tier = 'beginner' THEN {out} ELSE {column} END"
 
 
-def _clause() -> str:
-    """The clause of the body's first principle by priority, else of the concept (open file), as SQL."""
-    clause = lambda f: _quoted(T.CLAUSES[f][0])
-    families, out = dict(T.PRINCIPLES), "CASE "
-    for f in T.PRIORITY:
-        out += f"WHEN {'true' if T.CLAUSES[f][1] else chr(39) + 'beginner' + chr(39) + ' <> tier'} AND regexp_matches(lead, {_quoted(families[f])}) THEN {clause(f)} "
-    return out + f"ELSE {clause('open_file_rook')} END"
-
-
 _MADE = "regexp_replace({0}, '  +', ' ', 'g')"
 _TARGET = "trim(trim('I''d play ' || san || '. ' || lead) || CASE WHEN method <> '' THEN ' How to find it: ' || method ELSE '' END || ' Takeaway: ' || {0})"
 _FIRST = [("empty_coaching", "coaching = ''"), ("missing_method", "method = ''"), ("empty_takeaway", "takeaway = ''")]
@@ -105,15 +83,8 @@ _LEAD = [("format_lead", "NOT starts_with(target, 'I''d play ' || san || '.')"),
 _RUN = "run_of_target > cap"
 
 
-def _run_sql(column: str) -> str:
-    """Longest run of move tokens: numbers are transparent, other words break it."""
-    token = "'^(?:O-O(?:-O)?|[KQRBN]?[a-h]?[1-8]?x?[a-h][1-8](?:=[QRBN])?)[+#]?$'"
-    return f"""(SELECT coalesce(max(n), 0) FROM (SELECT count(*) FILTER (WHERE mv) AS n FROM (SELECT mv, sum(CASE WHEN mv THEN 0 ELSE 1 END) OVER (ORDER BY i) AS grp FROM
-      (SELECT i, regexp_matches(t, {token}) AS mv FROM (SELECT generate_subscripts(w, 1) AS i, regexp_replace(regexp_replace(regexp_replace(regexp_replace(unnest(w), '^[()\\[\\]{{}}"'']+|[()\\[\\]{{}}"'']+$', '', 'g'), '^\\d+\\.+$', ''), '[.,;:!?]+$', ''), '^\\d+\\.+', '') AS t FROM (SELECT string_split_regex({column}, '\\s+') AS w)) WHERE t <> '')) GROUP BY grp))"""
-
-
 @query(f"""WITH {_CAND}, c3 AS (SELECT *, {lead_sql('coaching')} AS lead, {_NAMES.format('takeaway')} AS native FROM c2),
-  c4 AS (SELECT *, {_MADE.format('(' + _scrub(_MADE.format(_TARGET.format('takeaway'))) + ')')} AS target FROM c3), c5 AS (SELECT *, {_run_sql('target')} AS run_of_target, {_case(T.BAD_HEURISTICS, 'target')} AS bad FROM c4),
+  c4 AS (SELECT *, {_MADE.format('(' + _scrub(_MADE.format(_TARGET.format('takeaway'))) + ')')} AS target FROM c3), c5 AS (SELECT *, {run_sql('target')} AS run_of_target, {_case(T.BAD_HEURISTICS, 'target')} AS bad FROM c4),
   c6 AS (SELECT *, {_listed([*_FIRST, ('missing_move', "uci = ''"), ('tier_move_mismatch', "uci <> '' AND uci <> known"), ('soundness', "uci <> '' AND NOT sound"), ('illegal_move', 'NOT legal')])} AS one,
     list_filter([CASE WHEN {_LEAK.format('target')} THEN 'engine_speak' END, CASE WHEN {_RUN} THEN 'ply_cap' END, CASE WHEN NOT starts_with(target, 'I''d play ' || san || '.') THEN 'format_lead' END, CASE WHEN NOT native THEN 'no_principle_in_takeaway' END,
       CASE WHEN bad IS NOT NULL THEN 'bad_heuristic:' || bad END, CASE WHEN fen <> '' AND ((s = 4 AND b <> 1) OR s = 3) THEN 'faithfulness_ext' END], lambda x: x IS NOT NULL) AS two FROM c5)
@@ -130,22 +101,22 @@ def _grounded(target: str, run: str) -> str:
   SELECT k, target, array_to_string(CASE WHEN len(one) > 0 THEN one ELSE two END, ',') AS reasons FROM c6"""
 
 
-@query(f"""WITH {_CAND}, c3a AS (SELECT *, {lead_sql('coaching')} AS lead FROM c2), c3 AS (SELECT *, CASE WHEN {_NAMES.format('takeaway')} THEN takeaway ELSE trim({_clause()} || CASE WHEN takeaway = '' THEN '.' ELSE '. ' || takeaway END) END AS own FROM c3a),
-  {_grounded(_MADE.format('(' + _scrub(_MADE.format(_TARGET.format('own'))) + ')'), _run_sql('target'))}""")
+@query(f"""WITH {_CAND}, c3a AS (SELECT *, {lead_sql('coaching')} AS lead FROM c2), c3 AS (SELECT *, CASE WHEN {_NAMES.format('takeaway')} THEN takeaway ELSE trim({clause_sql('open_file_rook')} || CASE WHEN takeaway = '' THEN '.' ELSE '. ' || takeaway END) END AS own FROM c3a),
+  {_grounded(_MADE.format('(' + _scrub(_MADE.format(_TARGET.format('own'))) + ')'), run_sql('target'))}""")
 def grounded_gate_augmented(spark, sf) -> DataFrame:
     out = N.grounded_gate(candidates(spark, sf))
     return out.select("k", "target", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(f"""WITH {_CAND}, c3 AS (SELECT *, trim(CASE WHEN san <> '' THEN regexp_replace(coaching, '(?i)^\\s*(?:i[''’]?d\\s+play|let[''’]?s\\s+play|play|consider|go\\s+with)\\s+' || san || '\\b[\\s.:,;!\\-]*', '') ELSE regexp_replace(coaching, '(?i)^\\s*(?:play|consider)\\s+\\b[\\s.:,;!\\-]*', '') END) AS lead FROM c2),
-  {_grounded(_TARGET.format('takeaway'), _run_sql("coaching || ' ' || method"))}""")
+  {_grounded(_TARGET.format('takeaway'), run_sql("coaching || ' ' || method"))}""")
 def grounded_gate_plain(spark, sf) -> DataFrame:
     out = N.grounded_gate(candidates(spark, sf), augment=False)
     return out.select("k", "target", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(f"""WITH {_CAND}, c3 AS (SELECT *, coaching AS lead FROM c2), c4 AS (SELECT *, CASE WHEN k % 8 = 0 THEN coaching ELSE {_TARGET.format('takeaway')} END AS target FROM c3)
-  SELECT k, starts_with(target, 'I''d play ' || san || '.') AND contains(target, 'Takeaway:') AND NOT {_LEAK.format('target')} AND {_run_sql('target')} <= cap AND false_ = 0 AS passes FROM c4""")
+  SELECT k, starts_with(target, 'I''d play ' || san || '.') AND contains(target, 'Takeaway:') AND NOT {_LEAK.format('target')} AND {run_sql('target')} <= cap AND false_ = 0 AS passes FROM c4""")
 def target_gate_passes(spark, sf) -> DataFrame:
     rows_ = N.tidy(candidates(spark, sf))
     made = T.rendered_target(F.col("rec_san"), F.col("coaching"), F.col("method"), F.col("takeaway"))

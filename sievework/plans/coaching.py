@@ -10,6 +10,7 @@ from sievework.functions import buckets as B
 from sievework.functions import text as T
 from sievework.operators import gates as G
 from sievework.plans.registry import query
+from sievework.plans.sqltext import run_sql
 from sievework.session import table
 
 BODIES = (
@@ -66,9 +67,8 @@ def vocabulary_leaks(spark, sf) -> DataFrame:
     return rows(spark, sf).select("k", (F.size(T.leaks(F.col("body"))) > 0).alias("leak"))
 
 
-@query(f"""WITH {_R} SELECT k, CAST(CASE WHEN k % 10 = 9 THEN 5 WHEN k % 10 IN (0, 1, 4) THEN 1 WHEN k % 10 = 2 THEN 1 ELSE 0 END AS INTEGER) AS plies FROM r""")
+@query(f"""WITH {_R} SELECT k, CAST({run_sql('body')} AS INTEGER) AS plies FROM r""")
 def longest_move_runs(spark, sf) -> DataFrame:
-    """The oracle states the runs of the ten fixed sentences."""
     return rows(spark, sf).select("k", T.longest_move_run(F.col("body")).alias("plies"))
 
 
@@ -133,7 +133,9 @@ def three_phase_rules(spark, sf) -> DataFrame:
     return rows(spark, sf).select("k", B.phase_by_material(f).alias("by_material"), B.phase_by_count(f).alias("by_count"), B.phase_by_queens(f).alias("by_queens"))
 
 
-# Rows that need the rules of the game: tests hold them against hand-made boards and published counts.
+# Rows that need the rules of the game: tests hold them against hand-made boards and published counts. The SQL has what was
+# read off the dealt boards by hand: their legal moves, and which dealt sentences are false on them.
+_LEGAL = "moves(b, san, uci) AS (VALUES (0, 'Nf3', 'g1f3'), (0, 'e4', 'e2e4'), (1, 'Bb5', 'f1b5'), (3, 'Bb5', 'e2b5'))"
 
 
 def _distinct(spark, sf) -> DataFrame:
@@ -141,7 +143,7 @@ def _distinct(spark, sf) -> DataFrame:
     return rows(spark, sf).select("fen", "move", "body").distinct()
 
 
-@query()
+@query(f"WITH {_R}, {_LEGAL} SELECT k, uci IS NOT NULL AS legal, uci FROM (SELECT *, (k // 13) % 6 AS own FROM r) LEFT JOIN moves ON b = own AND san = move")
 def move_legality(spark, sf) -> DataFrame:
     judged = _distinct(spark, sf).select("fen", "move").distinct().withColumn("l", C.move_is_legal("fen", F.lit(None).cast("string"), "move"))
     return rows(spark, sf).join(judged, ["fen", "move"]).select("k", "l.legal", "l.uci")
@@ -159,7 +161,8 @@ def move_fact_sheet(spark, sf) -> DataFrame:
     return judged.select("fen", "move", C.move_facts("fen", F.col("l.uci")).alias("f"), C.fact_sheet("fen", F.array("l.uci")).alias("sheet"), C.plain_coaching("fen", F.col("l.uci")).alias("text")).select("fen", "move", "f.*", "sheet", "text")
 
 
-@query()
+@query(f"""WITH {_R}, f AS (SELECT k, body, k % 10 = 4 AND (k // 13) % 6 <> 1 AS narrow, k % 10 = 3 AS only_wide FROM r)
+  SELECT k, narrow::INT AS narrow, (narrow OR only_wide)::INT AS wide, array_to_string(list_filter(string_split(body, '. '), lambda x: NOT ((narrow AND contains(x, 'knight on c6')) OR only_wide)), '. ') || CASE WHEN narrow THEN '.' ELSE '' END AS clean FROM f""")
 def claim_verification(spark, sf) -> DataFrame:
     none = F.lit(None).cast("string")
     judged = _distinct(spark, sf).select("fen", "body").distinct().select("fen", "body", C.verify_text("body", "fen", none).alias("a"), C.verify_text_extended("body", "fen", none).alias("b"))
@@ -173,7 +176,8 @@ def recommendation_pick(spark, sf) -> DataFrame:
     return rows(spark, sf).join(judged, ["fen", "body"]).select("k", "r.uci", "r.how")
 
 
-@query()
+@query("""WITH t AS (SELECT event_id, '{not json} then {"event_id":' || event_id || ',"event_type":"' || event_type || '"} and {more' AS text FROM events)
+  SELECT event_id, replace(replace(list_filter(regexp_extract_all(text, '\\{[^{}]*\\}'), lambda x: json_valid(x))[1], ':', ': '), ',', ', ') AS found FROM t""")
 def first_balanced_object(spark, sf) -> DataFrame:
     text = F.concat(F.lit("{not json} then "), F.to_json(F.struct("event_id", "event_type")), F.lit(" and {more"))
     return table(spark, sf, "events").select("event_id", C.first_json_object(text).alias("found"))

@@ -205,9 +205,13 @@ def left_join_with_fallback(spark, sf) -> DataFrame:
     return J.with_fallback(table(spark, sf, "orders"), right, ["o_custkey"], "target", F.col("c_acctbal") > 0, F.col("o_orderstatus"), F.lit("none")).select("o_orderkey", "target")
 
 
-@query(f"""WITH {FACT}, g AS (SELECT model, count(*) FILTER (WHERE fit <> (pick = best)) AS changed, count(*) FILTER (WHERE grade IS NULL) AS missing, count(*) AS n FROM fact GROUP BY model) SELECT * FROM g""")
+@query("""WITH old AS (SELECT doc_id, quality FROM labels), fresh AS (SELECT doc_id, lang, (n_chars >= 400)::INT AS quality FROM documents WHERE lang IS NOT NULL), j AS (SELECT coalesce(f.lang, 'gone') AS lang, o.doc_id AS o, f.doc_id AS f, o.quality AS was, f.quality AS now FROM old o FULL JOIN fresh f USING (doc_id))
+  SELECT lang, count(*) FILTER (WHERE was = now) AS same, count(*) FILTER (WHERE was <> now) AS changed, count(*) FILTER (WHERE o IS NULL) AS new, count(*) FILTER (WHERE f IS NULL) AS gone FROM j GROUP BY lang""")
 def old_vs_new_labels(spark, sf) -> DataFrame:
-    return fact(spark, sf).groupBy("model").agg(F.count_if(F.col("fit") != (F.col("pick") == F.col("best"))).alias("changed"), F.count_if(F.col("grade").isNull()).alias("missing"), F.count("*").alias("n"))
+    """Labels made anew joined to the stored ones: the same, changed, only new, only stored."""
+    old = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("was"), F.lit(True).alias("o"))
+    fresh = table(spark, sf, "documents").where("lang is not null").select("doc_id", "lang", (F.col("n_chars") >= 400).cast("int").alias("now"), F.lit(True).alias("f"))
+    return J.compared(old, fresh, "doc_id", "was", "now", F.coalesce("lang", F.lit("gone")), "lang")
 
 
 @query(f"""WITH {FACT}, a AS (SELECT item, model, row_number() OVER (PARTITION BY item ORDER BY sha256('11|' || item || '|' || model), model) AS p FROM (SELECT DISTINCT item, model FROM fact)) SELECT item, model, chr(CAST(64 + p AS INTEGER)) AS label FROM a""")
@@ -223,8 +227,13 @@ def ranking_label_resolution(spark, sf) -> DataFrame:
     return J.ranked_labels(rows, "ranking", "names").select("item", "rank", F.col("member").alias("model"))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT p_partkey, list_filter(string_split(p_name, ' '), lambda x: x IN ('ring', 'small', 'red', 'widget')) AS tags FROM part), d AS (SELECT *, row_number() OVER (ORDER BY p_partkey) AS n FROM c WHERE len(tags) > 0),
+  s AS (SELECT 0::BIGINT AS n, 20 AS ring, 30 AS small, 25 AS red, 15 AS widget, NULL::BIGINT AS p_partkey, NULL::VARCHAR AS tag
+    UNION ALL
+    SELECT m, ring - (t = 'ring' AND t IS NOT NULL)::INT, small - (t = 'small' AND t IS NOT NULL)::INT, red - (t = 'red' AND t IS NOT NULL)::INT, widget - (t = 'widget' AND t IS NOT NULL)::INT, pk, t FROM
+      (SELECT s.*, d.n AS m, d.p_partkey AS pk, coalesce(list_filter(d.tags, lambda x: CASE x WHEN 'ring' THEN ring > 0 WHEN 'small' THEN small > 0 WHEN 'red' THEN red > 0 ELSE widget > 0 END)[1], '') AS t FROM s JOIN d ON d.n = s.n + 1 WHERE ring + small + red + widget > 0))
+  SELECT p_partkey, tag FROM s WHERE tag <> ''""")
 def greedy_tag_quota(spark, sf) -> DataFrame:
-    """Sequential by nature; a test compares it with a plain loop."""
+    """Sequential by nature: each row in order takes the first of its tags that has quota left."""
     rows = table(spark, sf, "part").select("p_partkey", F.split("p_name", " ").alias("tags"))
     return P.greedy_quota(rows, "tags", "p_partkey", {"ring": 20, "small": 30, "red": 25, "widget": 15})

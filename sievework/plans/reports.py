@@ -14,6 +14,7 @@ from sievework.plans.banding import _TRIAD
 from sievework.plans.coaching import _NAMES, _R, rows
 from sievework.plans.fixtures import FACT, POOL, fact, pool
 from sievework.plans.registry import query
+from sievework.plans.sqltext import clause_sql, lead_sql
 from sievework.session import table
 
 _CELLS = "cells AS (SELECT item, model, bool_or(fit) AS fit, bool_or(sound) AS sound, bool_and(fabricated) AS fabricated FROM fact GROUP BY ALL)"
@@ -89,39 +90,53 @@ def display_level(spark, sf) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", F.coalesce(B.first_that(items, lambda t: t["x"], lambda t: t["y"])["l"], F.lit("a")).alias("level"))
 
 
-@query("""SELECT page_id, page_id % 3000 + 100 AS n, CASE WHEN page_id % 4 = 0 THEN 600 + page_id % 900 WHEN page_id % 4 = 1 THEN 1000 + page_id % 500 WHEN page_id % 4 = 2 THEN (1000 + page_id % 100 + 1300) // 2 END::INT AS rating FROM pages""")
+@query(r"""WITH t AS (SELECT page_id, page_id % 3000 + 100 AS n, CASE page_id % 5 WHEN 0 THEN 'Game at ' || (600 + page_id % 900) || '+ Elo' WHEN 1 THEN 'Rated: ' || (1000 + page_id % 500) || ' climb' WHEN 2 THEN 'From ' || (1000 + page_id % 100) || ' – 1300' WHEN 3 THEN 'Episode 12 of 20' ELSE 'In ' || (page_id % 4000) || ' games, ' || (700 + page_id % 90) || ' wins' END AS title FROM pages),
+  x AS (SELECT *, nullif(regexp_extract(title, '(?i)\b(\d{3,4})\+?\s*(?:elo|rated|rating)\b', 1), '')::INT AS a, nullif(regexp_extract(title, '(?i)\b(?:elo|rated|rating)\s*:?\s*(\d{3,4})\b', 1), '')::INT AS b, regexp_extract(title, '\b(\d{3,4})\s*[-–]\s*(\d{3,4})\b', ['u', 'v']) AS r, list_filter(list_transform(regexp_extract_all(title, '\b(\d{3,4})\b', 1), lambda y: y::INT), lambda y: y BETWEEN 600 AND 2800)[1] AS bare FROM t)
+  SELECT page_id, n, coalesce(a, b, CASE WHEN r.u <> '' THEN (TRY_CAST(r.u AS INT) + TRY_CAST(r.v AS INT)) // 2 END, bare)::INT AS rating FROM x""")
 def rating_from_title(spark, sf) -> DataFrame:
-    p, m = F.col("page_id"), F.col("page_id") % 4
-    title = F.when(m == 0, F.concat(F.lit("Game at "), 600 + p % 900, F.lit(" Elo"))).when(m == 1, F.concat(F.lit("Rated "), 1000 + p % 500, F.lit(" climb"))).when(m == 2, F.concat(F.lit("From "), 1000 + p % 100, F.lit("-1300"))).otherwise(F.lit("Episode 12"))
+    p, m = F.col("page_id"), F.col("page_id") % 5
+    title = F.when(m == 0, F.concat(F.lit("Game at "), 600 + p % 900, F.lit("+ Elo"))).when(m == 1, F.concat(F.lit("Rated: "), 1000 + p % 500, F.lit(" climb"))).when(m == 2, F.concat(F.lit("From "), 1000 + p % 100, F.lit(" – 1300"))).when(m == 3, F.lit("Episode 12 of 20"))
+    title = title.otherwise(F.concat(F.lit("In "), p % 4000, F.lit(" games, "), 700 + p % 90, F.lit(" wins")))
     return table(spark, sf, "pages").select("page_id", (p % 3000 + 100).alias("n"), T.rating_of_title(title).alias("rating"))
 
 
-@query(f"""WITH {_R}, c AS (SELECT k, CASE k % 10 WHEN 0 THEN 'It develops the knight toward e5 and d4.' WHEN 4 THEN 'It pins the knight on c6.' WHEN 9 THEN body ELSE body END AS lead FROM r) SELECT k, lead FROM c""")
+@query(f"""WITH {_R} SELECT k, {lead_sql('body')} AS lead FROM r""")
 def cleaned_leads(spark, sf) -> DataFrame:
     return rows(spark, sf).select("k", T.clean_lead(F.col("body")).alias("lead"))
 
 
-@query(f"""WITH {_R}, f AS (SELECT k, takeaway, level, {_NAMES.format('takeaway')} AS named FROM r) SELECT k, named, NOT named AS augmented, takeaway = '' AS was_empty FROM f""")
+@query(f"""WITH {_R}, f AS (SELECT k, takeaway, level AS tier, body AS lead, {_NAMES.format('takeaway')} AS named FROM r)
+  SELECT k, named, CASE WHEN named THEN takeaway ELSE trim({clause_sql('space')} || CASE WHEN takeaway = '' THEN '.' ELSE '. ' || takeaway END) END AS takeaway FROM f""")
 def takeaway_augmentation(spark, sf) -> DataFrame:
-    _, a = T.takeaway_with_principle(F.col("takeaway"), F.col("body"), F.array(F.lit("space")), F.col("level"))
-    return rows(spark, sf).select("k", (~a).alias("named"), a.alias("augmented"), (F.col("takeaway") == "").alias("was_empty"))
+    longer, a = T.takeaway_with_principle(F.col("takeaway"), F.col("body"), F.array(F.lit("space")), F.col("level"))
+    return rows(spark, sf).select("k", (~a).alias("named"), longer.alias("takeaway"))
 
 
-@query("""SELECT doc_id, 'level ' || lang AS body, 'take ' || source AS takeaway, 'think ' || doc_id AS tail FROM documents""")
+@query(r"""WITH t AS (SELECT doc_id, 'level ' || lang || ['  Takeaway: ', ' TAKEAWAY:', chr(10) || 'takeaway:  '][1 + doc_id % 3] || 'take ' || source || chr(10) || 'more Takeaway: x' AS t, CASE WHEN doc_id % 2 = 0 THEN '<think>a' || chr(10) || 'b</think>' ELSE '<THINK>' || lang || '</Think> <think>c</think>' END || 'hmm' || CASE WHEN doc_id % 5 = 0 THEN '</think>' ELSE '' END || ' think ' || doc_id AS x FROM documents),
+  p AS (SELECT *, strpos(lower(t), 'takeaway:') AS cut FROM t)
+  SELECT doc_id, trim(t[:cut - 1], E' \n') AS body, trim(regexp_extract(t[cut + 9:], '^\s*([^\n]*)', 1)) AS takeaway, trim(regexp_replace(regexp_replace(x, '(?is)<think>.*?</think>', '', 'g'), '(?is)^.*</think>', '')) AS tail FROM p""")
 def split_and_strip(spark, sf) -> DataFrame:
-    body, take = T.split_target(F.concat(F.lit("level "), "lang", F.lit("  Takeaway: take "), "source", F.lit("\nmore")))
-    tail = T.strip_thinking(F.concat(F.lit("<think>a\nb</think>hmm</think> think "), F.col("doc_id").cast("string")))
-    return table(spark, sf, "documents").select("doc_id", body.alias("body"), take.alias("takeaway"), tail.alias("tail"))
+    d = F.col("doc_id")
+    mark = F.when(d % 3 == 0, "  Takeaway: ").when(d % 3 == 1, " TAKEAWAY:").otherwise("\ntakeaway:  ")
+    body, take = T.split_target(F.concat(F.lit("level "), "lang", mark, F.lit("take "), "source", F.lit("\nmore Takeaway: x")))
+    thought = F.when(d % 2 == 0, "<think>a\nb</think>").otherwise(F.concat(F.lit("<THINK>"), "lang", F.lit("</Think> <think>c</think>")))
+    tail = T.strip_thinking(F.concat(thought, F.lit("hmm"), F.when(d % 5 == 0, "</think>").otherwise(""), F.lit(" think "), d.cast("string")))
+    return table(spark, sf, "documents").select("doc_id", F.regexp_replace(body, r"\n+$", "").alias("body"), take.alias("takeaway"), tail.alias("tail"))
 
 
-@query("""SELECT doc_id, 'about ' || lang AS guide, 'k: ' || source AS header, 'rest ' || doc_id AS body FROM documents""")
+@query(r"""WITH t AS (SELECT doc_id, '## Intro' || chr(10) || 'x' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '## Next' || chr(10) || 'y' || chr(10) ELSE '' END || '## The Beginner tier' || chr(10) || 'about ' || lang || chr(10) || chr(10) || source || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '## Last' || chr(10) || 'z' ELSE '' END AS m,
+    CASE WHEN doc_id % 4 <> 0 THEN '---' || chr(10) || 'k: ' || source || chr(10) || 'l: 1' || chr(10) || '---' || chr(10) ELSE '' END || 'rest ' || doc_id AS f FROM documents),
+  s AS (SELECT *, list_filter(string_split(chr(10) || m, chr(10) || '## '), lambda x: contains(lower(string_split(x, chr(10))[1]), 'beginner'))[1] AS part, strpos(f[5:], chr(10) || '---' || chr(10)) AS cut FROM t)
+  SELECT doc_id, trim(part[strpos(part, chr(10)) + 1:], E' \n') AS guide, CASE WHEN starts_with(f, '---' || chr(10)) THEN f[5:cut + 3] END AS header, CASE WHEN starts_with(f, '---' || chr(10)) THEN f[cut + 9:] ELSE f END AS body FROM s""")
 def markdown_sections(spark, sf) -> DataFrame:
-    guide = T.section_of(F.concat(F.lit("## Intro\nx\n## The beginner tier\nabout "), "lang", F.lit("\n\n## Next\ny")), "beginner")
-    header, body = T.front_matter(F.concat(F.lit("---\nk: "), "source", F.lit("\n---\nrest "), F.col("doc_id").cast("string")))
+    d, empty = F.col("doc_id"), F.lit("")
+    guide = T.section_of(F.concat(F.lit("## Intro\nx\n"), F.when(d % 3 == 0, "## Next\ny\n").otherwise(empty), F.lit("## The Beginner tier\nabout "), "lang", F.lit("\n\n"), "source", F.when(d % 2 == 0, "\n## Last\nz").otherwise(empty)), "beginner")
+    header, body = T.front_matter(F.concat(F.when(d % 4 != 0, F.concat(F.lit("---\nk: "), "source", F.lit("\nl: 1\n---\n"))).otherwise(empty), F.lit("rest "), d.cast("string")))
     return table(spark, sf, "documents").select("doc_id", guide.alias("guide"), header.alias("header"), body.alias("body"))
 
 
-@query("""SELECT l_orderkey AS gid, count(*) AS n, CAST(max(l_linenumber) AS BIGINT) AS top, 'beginner' AS level, 'White' AS side FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY 1""")
+@query("""WITH l AS (SELECT DISTINCT l_orderkey AS gid, l_linenumber AS n FROM lineitem), p AS (SELECT gid, count(*) AS n, max(n)::BIGINT AS top, string_agg('  - m' || n || ' (eval ' || n || 'cp) idea: e4 e5', chr(10) ORDER BY n) AS pool, string_agg('  - m' || n || ': ' || n * 10 || '%', chr(10) ORDER BY n) FILTER (WHERE place <= 6) AS human FROM (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY n) AS place FROM l) GROUP BY gid)
+  SELECT gid, n, top, 'beginner' AS level, 'White' AS side, least(n, 6) AS likely, array_to_string(['Student rating tier: beginner (1000-1200).', 'Board:', '. .', 'White to move.', 'Engine-sound candidate moves [internal reference — never quote these numbers]:', pool, 'Human-likelihood at this tier (Maia):', human, '', 'Recommend exactly ONE move from the sound list. Ply cap: 2.'], chr(10)) AS prompt FROM p""")
 def prompt_round_trip(spark, sf) -> DataFrame:
     """A prompt is rendered from nested arrays and read back."""
     moves = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct()
@@ -129,7 +144,7 @@ def prompt_round_trip(spark, sf) -> DataFrame:
     nested = moves.groupBy(F.col("l_orderkey").alias("gid")).agg(F.array_sort(F.collect_list(item)).alias("pool"))
     prompt = T.rendered_prompt(F.lit("beginner"), F.lit(1000), F.lit(1200), F.lit(". ."), F.lit("White"), F.col("pool"), F.col("pool"), F.lit(2))
     back = T.parsed_prompt(prompt)
-    return nested.select("gid", F.size(back["pool"]).cast("long").alias("n"), F.substring(F.element_at(back["pool"], -1), 2, 9).cast("long").alias("top"), back["level"].alias("level"), back["side"].alias("side"))
+    return nested.select("gid", F.size(back["pool"]).cast("long").alias("n"), F.substring(F.element_at(back["pool"], -1), 2, 9).cast("long").alias("top"), back["level"].alias("level"), back["side"].alias("side"), F.size(back["human"]).cast("long").alias("likely"), prompt.alias("prompt"))
 
 
 @query("""SELECT doc_id, list_filter([CASE WHEN doc_id % 2 = 0 THEN 'f' || doc_id END, CASE WHEN doc_id % 3 = 0 THEN 'g' || doc_id END], lambda x: x IS NOT NULL) AS found, lang AS level, CASE WHEN doc_id % 4 = 0 THEN [lang, source] ELSE [source] END AS concepts FROM documents""")
@@ -147,16 +162,18 @@ def renamed_and_defaulted_maps(spark, sf) -> DataFrame:
     return table(spark, sf, "events").select("event_id", K.value_or(named, F.lit("m1")).alias("m1"), K.value_or(named, F.lit("m9")).alias("m9"))
 
 
-@query(f"""WITH {_R} SELECT k, [{{'role': 'system', 'content': 'coach'}}, {{'role': 'user', 'content': level}}, {{'role': 'assistant', 'content': body}}][3].content AS said, 3::BIGINT AS n FROM r""")
+@query(f"""WITH {_R} SELECT k, x.i::INT AS place, ['system', 'user', 'assistant'][x.i] AS role, CASE x.i WHEN 1 THEN 'coach' WHEN 2 THEN level || ': ' || move ELSE body END AS content FROM r, range(1, 4) x(i)""")
 def chat_row_build(spark, sf) -> DataFrame:
-    out = rows(spark, sf).withColumn("messages", T.chat_row(F.lit("coach"), F.col("level"), F.col("body")))
-    return out.select("k", F.get("messages", F.lit(2))["content"].alias("said"), F.size("messages").cast("long").alias("n"))
+    out = rows(spark, sf).withColumn("messages", T.chat_row(F.lit("coach"), F.concat("level", F.lit(": "), "move"), F.col("body")))
+    return out.select("k", F.posexplode("messages").alias("at", "m")).select("k", (F.col("at") + 1).alias("place"), "m.role", "m.content")
 
 
-@query()
+@query(f"""WITH {_R}, i AS (SELECT DISTINCT k // 15 AS item, level, move, 'I''d play ' || move || '. Good.' || CASE WHEN k % 2 = 0 THEN ' Not ' || move || '+ but ' || move ELSE '' END AS text FROM r),
+  j AS (SELECT a.item, a.level, a.text AS chosen, a.move, b.move AS rejected_move, regexp_replace(a.text, '(^|[^\\w+#=\\-])' || a.move || '($|[^\\w+#=\\-])', '\\1' || b.move || '\\2', 'g') AS rejected FROM i a JOIN i b ON a.item = b.item AND a.level <> b.level AND a.move <> b.move)
+  SELECT item, level, chosen, rejected, move, rejected_move FROM j WHERE rejected <> chosen AND NOT contains(chosen, rejected_move)""")
 def swapped_preference_pairs(spark, sf) -> DataFrame:
-    """Look-around has no SQL counterpart; a test holds it against hand-made pairs."""
     from sievework.operators.mix import preference_pairs
 
-    items = rows(spark, sf).select(F.floor(F.col("k") / 15).alias("item"), "level", "move", F.concat(F.lit("I'd play "), "move", F.lit(". Good.")).alias("text")).distinct()
-    return preference_pairs(items, "item", "level", "move", "text")
+    more = F.when(F.col("k") % 2 == 0, F.concat(F.lit(" Not "), "move", F.lit("+ but "), "move")).otherwise("")
+    items = rows(spark, sf).select(F.floor(F.col("k") / 15).alias("item"), "level", "move", F.concat(F.lit("I'd play "), "move", F.lit(". Good."), more).alias("text")).distinct()
+    return preference_pairs(items, "item", "level", "move", "text").withColumnRenamed("rejected_pick", "rejected_move")
