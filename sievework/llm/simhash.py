@@ -1,14 +1,18 @@
 """SimHash near-duplicates by a Gray-order hierarchical index.
 
-Every text becomes a 64-bit fingerprint. Fingerprints that differ in at most `bits` places link. The 64 places are cut
-into blocks; two linked fingerprints agree on at least (blocks - bits) whole blocks, so each distinct fingerprint is
-dealt once for each choice of that many blocks, and a link is sure to meet in one of the groups. Inside a group an index
-is built: members are sorted by Gray rank, runs of neighbours become nodes that hold the bits all their members share,
-runs of nodes become upper nodes, and pairs of nodes whose shared bits already differ in too many places are pruned
-with everything below them. A group's links are reduced to one edge from each member to the smallest of its part, so no
-group emits its pairs. Groups above a cap are not gathered: their members are dealt again by more blocks, until the
-places left free bound the group. Components of the edges come from label joins and pointer jumps over tables in the
-shared folder.
+Every text becomes a 64-bit fingerprint. Fingerprints that differ in at most `bits` places link. To spread the search, the
+64 places are cut into blocks; two linked fingerprints agree on at least (blocks - bits) whole blocks, so each distinct
+fingerprint is dealt once for each choice of that many blocks, and a link is sure to meet in one of the groups.
+
+The search itself is the index. Members are sorted by (group, Gray rank); runs of up to FANOUT neighbours become nodes that
+hold the bits all their members share, runs of nodes become upper nodes, up to one root for each group. All groups of a
+batch form one forest, which is descended from the pairs (root, root): a pair of nodes whose shared bits already differ in
+too many places is pruned with everything below it. Links feed a union-find as they come, so they are never held, and a
+group's links are reduced to one edge from each member to the smallest of its part; no group emits its pairs.
+
+Groups above a cap are not gathered: their members are dealt again by more blocks, and again, until the places left free
+bound a group by 2^16 members. Components of the edges come from label joins and pointer jumps over tables in the shared
+folder.
 
 Defined cases: a null or empty text has no words and fingerprint zero, and links like any other; fewer words than a
 shingle has make one shingle; repeated rows share their fingerprint and so their component; an empty table gives an
@@ -31,12 +35,12 @@ from sievework.llm.common import drop, keep_least, map_batches, materialize, par
 SEED = 42
 #: Members of a group that one task gathers; larger groups are dealt again by more blocks.
 GROUP_CAP = 8192
-#: Members of a group that is searched together with others, without an index of its own.
-SMALL = 16
 #: Masks that go first where there are many.
 FIRST_MASKS = 8
-#: Children of a node in the index.
-FANOUT = 16
+#: Children of a node in the index; pairs of nodes that are looked at at once.
+FANOUT, CHUNK = 16, 1 << 20
+#: Free places that bound a group well enough to gather it.
+FREE = 16
 
 
 def simhash(text: bytes, shingle: int) -> int:
@@ -84,11 +88,14 @@ def _masks(free: list[int], bits: int, extra: int) -> list[int]:
     return [sum(c) for c in combinations(blocks, n - bits)]
 
 
-def _dealt(bits: int) -> dict[int, list[int]]:
-    """Masks of the first deal under key 0, and for each of them those of the second."""
-    extra = 2 if bits <= 3 else 3
-    first = _masks(list(range(64)), bits, extra)
-    return {0: first} | {m: [m | x for x in _masks([p for p in range(64) if not m >> p & 1], bits, 2)] for m in first}
+def first_masks(bits: int) -> list[int]:
+    """Masks of the first deal."""
+    return _masks(list(range(64)), bits, 2 if bits <= 3 else 3)
+
+
+def finer_masks(mask: int, bits: int) -> list[int]:
+    """Masks of the next deal of a group that agrees on the mask's places."""
+    return [mask | x for x in _masks([p for p in range(64) if not mask >> p & 1], bits, 2)]
 
 
 def gray_rank(values: np.ndarray) -> np.ndarray:
@@ -99,82 +106,88 @@ def gray_rank(values: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _levels(sorted_values: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The index, leaves first: the pattern and the mask of shared places of each node."""
-    levels = [(sorted_values, np.full(len(sorted_values), ~np.uint64(0)))]
-    while len(levels[-1][0]) > 1:
-        pattern, mask = levels[-1]
-        starts = np.arange(0, len(pattern), FANOUT)
-        ones = np.bitwise_and.reduceat(pattern & mask, starts)
-        zeros = np.bitwise_and.reduceat(~pattern & mask, starts)
-        levels.append((ones, ones | zeros))
+def _forest(values: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The index of consecutive groups that begin at `starts`, leaves first: the pattern and the mask of shared places of
+    each node, where its children begin on the level below, and how many they are. The last level has a root a group."""
+    sizes = np.diff(np.append(starts, len(values)))
+    none = np.empty(0, np.int64)
+    levels = [(values, np.full(len(values), ~np.uint64(0)), none, none)]
+    while len(levels) == 1 or (sizes > 1).any():
+        pattern, mask = levels[-1][:2]
+        many = -(-sizes // FANOUT)
+        ends = np.cumsum(many)
+        inside = np.arange(ends[-1]) - np.repeat(ends - many, many)
+        first = np.repeat(starts, many) + inside * FANOUT
+        ones = np.bitwise_and.reduceat(pattern & mask, first)
+        zeros = np.bitwise_and.reduceat(~pattern & mask, first)
+        levels.append((ones, ones | zeros, first, np.diff(np.append(first, len(pattern)))))
+        starts, sizes = ends - many, many
     return levels
 
 
-def links(values: np.ndarray, bits: int, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places in Gray-sorted distinct values that differ in at most `bits` bits, each once, in bounded chunks."""
-    levels = _levels(values)
-    todo = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+def links(values: np.ndarray, bits: int, starts: np.ndarray | None = None, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places, each once, of values of one group that differ in at most `bits` bits, in bounded chunks.
+
+    Values are distinct and Gray-sorted within their groups, which begin at `starts` (without it there is one group).
+    """
+    levels = _forest(values, np.zeros(1, np.int64) if starts is None else starts)
+    roots = np.arange(len(levels[-1][0]))
+    todo = [(len(levels) - 1, roots, roots)]
     while todo:
         level, a, b = todo.pop()
         if level == 0:
             yield a, b
             continue
-        below, n = level - 1, len(levels[level - 1][0])
-        step = max(1, chunk // FANOUT**2)
-        if len(a) > step:
-            todo += [(level, a[i : i + step], b[i : i + step]) for i in range(0, len(a), step)]
+        first, count = levels[level][2:]
+        total = count[a] * count[b]
+        if len(a) > 1 and total.sum() > chunk:
+            part = np.cumsum(total) // chunk
+            cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(a)]
+            todo += [(level, a[i:j], b[i:j]) for i, j in zip(cut, cut[1:])] if len(cut) > 2 else [(level, a[: len(a) // 2], b[: len(a) // 2]), (level, a[len(a) // 2 :], b[len(a) // 2 :])]
             continue
-        kids = np.arange(FANOUT)
-        left = (a[:, None, None] * FANOUT + kids[None, :, None]).repeat(FANOUT, 2).ravel()
-        right = (b[:, None, None] * FANOUT + kids[None, None, :]).repeat(FANOUT, 1).ravel()
-        good = (left < n) & (right < n) & ((left < right) if below == 0 else (left <= right))
+        k = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
+        wide = np.repeat(count[b], total)
+        left, right = np.repeat(first[a], total) + k // wide, np.repeat(first[b], total) + k % wide
+        good = left < right if level == 1 else left <= right
         left, right = left[good], right[good]
-        pattern, mask = levels[below]
-        differ = np.bitwise_count((pattern[left] ^ pattern[right]) & mask[left] & mask[right])
-        good = differ <= bits
+        pattern, mask = levels[level - 1][:2]
+        good = np.bitwise_count((pattern[left] ^ pattern[right]) & mask[left] & mask[right]) <= bits
         if good.any():
-            todo.append((below, left[good], right[good]))
-
-
-def _local_roots(values: np.ndarray, labels: np.ndarray, bits: int) -> np.ndarray:
-    """For each of the distinct values of a group, the smallest label that it reaches inside the group."""
-    order = np.argsort(gray_rank(values), kind="stable")
-    ranked, label = values[order], labels[order]
-    pairs = list(links(ranked, bits)) if len(values) <= 4096 else None
-    while True:
-        before = label.copy()
-        for a, b in pairs if pairs is not None else links(ranked, bits):
-            low = np.minimum(label[a], label[b])
-            np.minimum.at(label, a, low)
-            np.minimum.at(label, b, low)
-        if (before == label).all():
-            break
-    out = np.empty_like(values)
-    out[order] = label
-    return out
-
-
-def _small_groups(fp: np.ndarray, labels: np.ndarray, starts: np.ndarray, sizes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of many groups of at most SMALL members at once: their pairs by distance in the order, then smallest labels."""
-    rows = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-    values, left = fp[rows], np.repeat(np.cumsum(sizes), sizes) - np.arange(sizes.sum())  # members from here to the group's end
-    pairs = []
-    for step in range(1, int(sizes.max())):
-        at = np.flatnonzero(left > step)
-        at = at[np.bitwise_count(values[at] ^ values[at + step]) <= bits]
-        pairs.append((at, at + step))
-    a, b = (np.concatenate(x) for x in zip(*pairs))
-    own = labels[rows]
-    label = own.copy()
-    while True:
-        low = np.minimum(label[a], label[b])
-        if (label[a] == low).all() and (label[b] == low).all():
-            break
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-    keep = label != own
-    return own[keep], label[keep]
+            todo.append((level - 1, left[good], right[good]))
+
+
+def _joined(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The root of each of n places when the pairs are joined, chunk by chunk."""
+    parent = np.arange(n)
+
+    def roots(x: np.ndarray) -> np.ndarray:
+        up = parent[x]
+        while (up != (above := parent[up])).any():
+            up = above
+        return up
+
+    for a, b in pairs:
+        while len(a):
+            ra, rb = roots(a), roots(b)
+            apart = ra != rb
+            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+            np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
+    return roots(np.arange(n))
+
+
+def _smallest(group: np.ndarray, values: np.ndarray, labels: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(label, smaller label) of rows (group, value, label), groups together: each label and the smallest that its value
+    reaches inside its group."""
+    order = np.lexsort((gray_rank(values), group))
+    group, values, labels = group[order], values[order], labels[order]
+    once = np.concatenate([[True], (group[1:] != group[:-1]) | (values[1:] != values[:-1])])
+    group, values, labels = group[once], values[once], labels[once]
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    root = _joined(len(values), links(values, bits, starts))
+    best = labels.copy()
+    np.minimum.at(best, root, labels)
+    keep = best[root] != labels
+    return labels[keep], best[root][keep]
 
 
 def _group_edges(batches: Iterator[pa.RecordBatch], bits: int, cap: int | None) -> Iterator[pa.RecordBatch]:
@@ -182,61 +195,64 @@ def _group_edges(batches: Iterator[pa.RecordBatch], bits: int, cap: int | None)
     labels that meet in a group, or (1, member, mask) of groups above the cap."""
 
     def flush(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["kind", "a", "b"])
-
-    held: list[tuple[np.ndarray, np.ndarray]] = []  # fingerprints and labels of the group that is open
-    state = {"key": None, "size": 0, "hot": False}
-
-    def close() -> tuple[np.ndarray, np.ndarray] | None:
-        if not held:
-            return None
-        all_, labels = (np.concatenate(x) for x in zip(*held))
-        held.clear()
-        own, first = np.unique(all_, return_index=True)
-        if state["hot"] or len(own) < 2:
-            return None
-        labels = labels[first]
-        roots = _local_roots(own, labels, bits)
-        keep = roots != labels
-        return labels[keep], roots[keep]
+        both = np.unique(np.stack([a.view(np.uint64), b.view(np.uint64)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(both), kind, np.int32)), *(pa.array(np.ascontiguousarray(both[:, i]).view(np.int64)) for i in range(2))], ["kind", "a", "b"])
+
+    open_: list[tuple[np.ndarray, ...]] = []  # rows of the group that may go on in the next batch
+    key, hot = None, False
+
+    def searched(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        rows = [np.concatenate(x) for x in zip(*parts)]
+        mask, part, fp, label = rows
+        new = np.concatenate([[True], (mask[1:] != mask[:-1]) | (part[1:] != part[:-1])])
+        a, b = _smallest(np.cumsum(new), fp.view(np.uint64), label.view(np.uint64), bits)
+        if len(a):
+            yield flush(0, a, b)
 
     for batch in batches:
-        mask, part, fp, label = (np.asarray(batch.column(i)).astype(np.int64) for i in range(4))
-        label = label.view(np.uint64)
-        if not len(fp):
+        rows = tuple(np.asarray(batch.column(i)).astype(np.int64) for i in range(4))
+        mask, part, fp, _ = rows
+        if not len(mask):
             continue
-        cut = np.flatnonzero((mask[1:] != mask[:-1]) | (part[1:] != part[:-1])) + 1
-        starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(fp)]])
-        sizes = ends - starts
-        inner = np.ones(len(starts), bool)
-        inner[[0, -1]] = False  # the first and the last group may go on in other batches
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        hot: list[tuple[np.ndarray, np.ndarray]] = []
-        if (small := inner & (sizes > 1) & (sizes <= SMALL)).any():
-            found.append(_small_groups(fp.view(np.uint64), label, starts[small], sizes[small], bits))
-        for i in np.flatnonzero(~inner | (sizes > SMALL)).tolist():
-            s, e = int(starts[i]), int(ends[i])
-            key = (int(mask[s]), int(part[s]))
-            if key != state["key"]:
-                if (got := close()) is not None:
-                    found.append(got)
-                state.update(key=key, size=0, hot=False)
-            state["size"] += e - s
-            held.append((fp[s:e].view(np.uint64), label[s:e]))
-            if state["hot"] or (cap is not None and state["size"] > cap):
-                state["hot"] = True
-                all_of = np.concatenate([x for x, _ in held])
-                hot.append((all_of, np.full(len(all_of), key[0], np.int64).view(np.uint64)))
-                held.clear()
-        if found:
-            a, b = (np.concatenate(x) for x in zip(*found))
-            both = np.unique(np.stack([a, b], 1), axis=0)
-            yield flush(0, np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]))
-        if hot:
-            a, b = (np.concatenate(x) for x in zip(*hot))
-            yield flush(1, a, b)
-    if (got := close()) is not None and len(got[0]):
-        yield flush(0, *got)
+        cut = np.concatenate([[0], np.flatnonzero((mask[1:] != mask[:-1]) | (part[1:] != part[:-1])) + 1, [len(mask)]])
+        whole = []  # rows of groups that end in this batch
+        if key is not None and (mask[0], part[0]) != key:
+            if open_ and not hot:
+                whole.append(tuple(np.concatenate(x) for x in zip(*open_)))
+            open_, hot = [], False
+        last = int(cut[-2])
+        head = int(cut[1]) if len(cut) > 2 else 0
+        if head and (open_ or hot):  # the open group ends here
+            if hot:
+                yield flush(1, fp[:head], mask[:head])
+            else:
+                whole.append(tuple(np.concatenate(x) for x in zip(*open_, tuple(c[:head] for c in rows))))
+            open_, hot = [], False
+        else:
+            head = 0
+        if last > head:
+            whole.append(tuple(c[head:last] for c in rows))
+        key = (mask[last], part[last])
+        open_.append(tuple(c[last:] for c in rows))
+        if cap is not None and (hot or sum(len(x[0]) for x in open_) > cap):
+            hot = True
+            held = [np.concatenate(x) for x in zip(*open_)]
+            yield flush(1, held[2], held[0])
+            open_ = []
+        if cap is not None and whole:  # groups inside one batch may be above the cap as well
+            kept = []
+            for rows_ in whole:
+                new = np.concatenate([[True], (rows_[0][1:] != rows_[0][:-1]) | (rows_[1][1:] != rows_[1][:-1])])
+                size = np.diff(np.append(np.flatnonzero(new), len(new)))
+                large = np.repeat(size > cap, size)
+                if large.any():
+                    yield flush(1, rows_[2][large], rows_[0][large])
+                kept.append(tuple(c[~large] for c in rows_))
+            whole = [x for x in kept if len(x[0])]
+        if whole:
+            yield from searched(whole)
+    if open_ and not hot:
+        yield from searched(open_)
 
 
 def edges(labelled: DataFrame, bits: int, masks: list[int], cap: int = GROUP_CAP) -> DataFrame:
@@ -244,22 +260,27 @@ def edges(labelled: DataFrame, bits: int, masks: list[int], cap: int = GROUP_CAP
 
     With all the masks the edges connect exactly what links of at most `bits` differing bits connect.
     """
-    spark, dealt = labelled.sparkSession, _dealt(bits)
+    spark = labelled.sparkSession
 
     def search(rows: DataFrame, limit: int | None) -> DataFrame:
         keyed = rows.select("mask", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("part"), "fingerprint", "label")
         grouped = keyed.repartition(max(parts(spark), 1), "mask", "part").sortWithinPartitions("mask", "part")
-        return grouped.mapInArrow(lambda it: _group_edges(it, bits, limit), "kind int, a long, b long")
+        found = grouped.mapInArrow(lambda it: _group_edges(it, bits, limit), "kind int, a long, b long")
+        return materialize(found, "simhash-links")
 
-    first = labelled.select("fingerprint", "label", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
-    found = materialize(search(first, cap), "simhash-links")
+    found = search(labelled.select("fingerprint", "label", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask")), cap)
     out = found.where("kind = 0").select("a", "b")
-    hot = found.where("kind = 1").select(F.col("a").alias("f"), F.col("b").alias("mask")).distinct()
-    if not hot.isEmpty():
-        finer = F.create_map(*[x for m in masks for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(s)) for s in dealt[m]]))])
-        again = hot.join(labelled, F.col("f") == F.col("fingerprint")).select("fingerprint", "label", F.explode(F.element_at(finer, F.col("mask"))).alias("mask"))
-        out = out.unionByName(materialize(search(again, None), "simhash-links-2").select("a", "b"))
-    return out.distinct()
+    while True:
+        hot = found.where("kind = 1").select(F.col("a").alias("f"), F.col("b").alias("mask")).distinct()
+        again = [r.mask & (1 << 64) - 1 for r in hot.select("mask").distinct().collect()]  # some of the masks dealt last
+        if not again:
+            return out.distinct()
+        next_ = {m: finer_masks(m, bits) for m in again}
+        finer = F.create_map(*[x for m, fine in next_.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(x)) for x in fine]))])
+        rows = hot.join(labelled, F.col("f") == F.col("fingerprint")).select("fingerprint", "label", F.explode(F.element_at(finer, F.col("mask"))).alias("mask"))
+        bounded = all(64 - x.bit_count() <= FREE or x in next_ for fine in next_.values() for x in fine)
+        found = search(rows, None if bounded else cap)
+        out = out.unionByName(found.where("kind = 0").select("a", "b"))
 
 
 def linked(distinct: DataFrame, bits: int, cap: int = GROUP_CAP) -> DataFrame:
@@ -268,7 +289,7 @@ def linked(distinct: DataFrame, bits: int, cap: int = GROUP_CAP) -> DataFrame:
     Where there are many masks, a few of them go first: what they connect carries one label in the second round, so
     members of a dense group are not linked again under every mask.
     """
-    masks = _dealt(bits)[0]
+    masks = first_masks(bits)
     some = masks[:: max(1, len(masks) // FIRST_MASKS)] if len(masks) > 2 * FIRST_MASKS else masks
     rest = [m for m in masks if m not in set(some)]
     found = components(edges(distinct.select("fingerprint", F.col("fingerprint").alias("label")), bits, some, cap), "near")

@@ -61,7 +61,7 @@ def test_index_finds_every_pair_of_a_dense_group():
     near = [b ^ (np.uint64(1) << np.uint64(i)) ^ (np.uint64(1) << np.uint64(j)) for b in base for i in range(40) for j in range(i)]
     values = np.unique(np.array(near, np.uint64))
     values = values[np.argsort(simhash.gray_rank(values))]
-    got = {(int(x), int(y)) for a, b in simhash.links(values, 2, 1 << 12) for x, y in zip(a, b)}
+    got = {(int(x), int(y)) for a, b in simhash.links(values, 2, chunk=1 << 12) for x, y in zip(a, b)}
     want = {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if int(values[i] ^ values[j]).bit_count() <= 2}
     assert got == want
 
@@ -69,10 +69,47 @@ def test_index_finds_every_pair_of_a_dense_group():
 def test_masks_meet_for_any_two_within_the_bits():
     rng = random.Random(3)
     for bits in (1, 2, 6):
-        masks = simhash._dealt(bits)[0]
+        masks = simhash.first_masks(bits)
         for _ in range(200):
             differ = sum(1 << p for p in rng.sample(range(64), bits))
-            assert any(not differ & m for m in masks)
+            met = [m for m in masks if not differ & m]
+            assert met and all(any(not differ & x for x in simhash.finer_masks(m, bits)) for m in met)
+
+
+def test_forest_of_many_groups_finds_every_pair_once():
+    rng = np.random.default_rng(6)
+    for bits in (1, 2, 5):
+        groups, values = [], []
+        for g, n in enumerate([1, 2, 3, 16, 17, 40, 300, 1, 5]):
+            base = rng.integers(0, 1 << 63, max(1, n // 20), dtype=np.uint64)
+            flips = [np.uint64(sum(1 << int(p) for p in rng.integers(0, 64, rng.integers(0, 4)))) for _ in range(n)]
+            own = np.unique(np.array([b ^ f for b, f in zip(rng.choice(base, n), flips)], np.uint64))
+            values.append(own[np.argsort(simhash.gray_rank(own))])
+            groups += [g] * len(own)
+        all_ = np.concatenate(values)
+        starts = np.cumsum([0] + [len(v) for v in values[:-1]])
+        for chunk in (8, 1 << 20):
+            got = [(int(x), int(y)) for a, b in simhash.links(all_, bits, starts, chunk) for x, y in zip(a, b)]
+            want = {(i, j) for i in range(len(all_)) for j in range(i + 1, len(all_)) if groups[i] == groups[j] and int(all_[i] ^ all_[j]).bit_count() <= bits}
+            assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_groups_over_several_batches_and_above_the_cap():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    sizes, rows = [1, 30, 2, 400, 3, 3, 90, 1], []
+    for g, n in enumerate(sizes):
+        base = int(rng.integers(0, 1 << 62))
+        rows += [(7, g, v, v) for v in sorted({base ^ (1 << int(i)) ^ (1 << int(j)) for i, j in rng.integers(0, 60, (n, 2))})]
+    table = [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)]
+    whole = pa.RecordBatch.from_arrays(table, ["mask", "part", "fingerprint", "label"])
+    for cap in (None, 50):
+        seen = []
+        for step in (1, 7, 64, 10_000):
+            found = [b for b in simhash._group_edges((whole.slice(i, step) for i in range(0, len(rows), step)), 4, cap)]
+            seen.append(sorted({tuple(r.values()) for b in found for r in b.to_pylist()}))
+        assert all(x == seen[0] for x in seen) and {k for k, _, _ in seen[0]} == ({0} if cap is None else {0, 1})
 
 
 def test_one_of_each_group_stays(spark):
