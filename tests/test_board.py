@@ -45,6 +45,29 @@ def test_recommendations(text, uci):
     assert claims.recommendation("nothing", OPEN, "d2d4", ["f1b5"]) == ("f1b5", "fallback")
 
 
+@pytest.mark.parametrize("text,fen,uci,reason", [
+    ("The bishop on b2 attacks the knight on f6.", "4k3/8/5n2/8/8/8/1B6/4K3 w - - 0 1", None, None),
+    ("The knight on c5 attacks the bishop on e5.", "4k3/8/8/2N1b3/8/8/8/4K3 w - - 0 1", None, "does not attack the bishop on e5"),
+    ("The rook on a1 defends the pawn on h2.", "4k3/8/8/8/8/8/7P/R3K3 w - - 0 1", None, "does not defend the pawn on h2"),
+    ("The bishop on g5 pins the knight on f6.", "4k3/4q3/5n2/6B1/8/8/8/4K3 w - - 0 1", None, None),
+    ("The bishop on g5 pins the knight on f6.", "4k3/8/5n2/6B1/8/8/8/4K3 w - - 0 1", None, "does not pin the knight on f6"),
+    ("Playing Nf3 captures the bishop on e5.", "4k3/8/8/4b3/8/8/8/4K1N1 w - - 0 1", None, "Nf3 does not capture anything"),
+    ("Nxe5 captures the bishop on e5.", "4k3/8/8/4b3/8/5N2/8/4K3 w - - 0 1", None, None), ("Nf3 gives check.", START, None, "Nf3 does not give check"),
+    ("This develops the knight from b1 to f3.", START, "g1f3", "the move goes from g1, not b1"), ("This develops the knight from g1 to f3.", START, "g1f3", None),
+    ("It is Black to move here.", START, None, "it is White to move, not Black"), ("White can castle kingside.", "r3k2r/8/8/8/8/8/8/4K3 w - - 0 1", None, "White has no kingside castling rights"),
+    ("White has both rooks ready.", "4k3/8/8/8/8/8/8/R3K3 w - - 0 1", None, "White has 1 rook(s), not 2"), ("White has two bishops.", "4k3/8/8/8/8/8/8/2B1KB2 w - - 0 1", None, None),
+    ("White is up a pawn.", "r3k3/8/8/8/8/8/8/4K3 b - - 0 1", None, "White is not up material"), ("The rook on a1 is hanging.", "4k3/8/8/8/8/8/R7/R3K3 w - - 0 1", None, "the rook on a1 is not hanging"),
+    ("The knight on d4 is hanging.", "3rk3/8/8/8/3N4/8/8/4K3 w - - 0 1", None, None), ("The knight on d4 is undefended.", "4k3/8/8/8/3N4/8/3R4/4K3 w - - 0 1", None, "the knight on d4 is defended, not undefended"),
+    ("The bishop on b2 attacks the knight at f6.", "4k3/8/5n2/8/3P4/8/1B6/4K3 w - - 0 1", None, "does not attack the knight on f6"), ("Nc5 attacks the bishop on e5.", "4k3/8/8/4b3/8/3N4/8/4K3 w - - 0 1", None, "does not attack the bishop on e5"),
+    ("Nc5 attacks the knight on e4.", "4k3/8/8/8/4n3/3N4/8/4K3 w - - 0 1", None, None), ("After Nf3, the knight attacks the bishop on e5.", "4k3/8/8/4b3/8/8/8/4K1N1 w - - 0 1", "g1f3", None),
+    ("After Nf3, the knight attacks the bishop on d5.", "4k3/8/8/3b4/8/8/8/4K1N1 w - - 0 1", "g1f3", "does not attack the bishop on d5"), ("The knight on c5 attacks the bishop on e5.", "4k3/8/8/2N1b3/8/8/8/4K3 w - - 0 1", "e1d1", "does not attack the bishop on e5"),
+    ("Control the center and develop your pieces before starting an attack.", START, None, None), ("The queen on a1 is a monster.", START, None, "no queen on a1"), ("The queen at a1 is a monster.", START, None, "no queen on a1"),
+])
+def test_reasons_of_false_claims(text, fen, uci, reason):
+    clean, bad = claims.verify(text, fen, uci, True)
+    assert [r for _, r in bad] == ([reason] if reason else []) and clean == ("" if reason else text)
+
+
 KINGS = "8/8/4k2p/1R6/7P/rp3KP1/8/8 b - - 5 46"
 
 
