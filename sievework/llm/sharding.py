@@ -8,6 +8,9 @@ moves leave behind is used again, and a tally that only fits in part (a group la
 link, so they are left for the last step: shards above their count give them first, then group members, to those below,
 and every shard gets a gapless numbering from counts of (shard, hash) cells. The law is `rows`: counts at most one apart.
 
+Every row has a number of its own from the table that the work starts with, and all hashes are of that number, so rows
+that share a doc_id, or have none, are dealt and admitted one by one.
+
 Defined cases: a null text has size 1 and the checksum of no bytes, and null and empty texts are equal texts; repeated
 rows are documents each; null doc_ids are placed; an empty table gives an empty result; other columns are ignored.
 """
@@ -26,9 +29,9 @@ CELLS, SHARE = 32, 1000
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, group_id, size, text_crc32) of every row; group_id is a hash of the text."""
+    """(row, doc_id, group_id, size, text_crc32) of every row; row is a number of its own, group_id a hash of the text."""
     text = text_of().cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("group_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("group_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
 
 
 def _cell(group: Column) -> Column:
@@ -65,7 +68,7 @@ def admitted(demand: list[tuple[int, int, int, int, int]], room: dict[int, int])
 
 
 def propagate(grouped: DataFrame, quota: int, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """`grouped` (with doc_id, group_id, shard) after the rounds; no shard is filled above quota by moves."""
+    """`grouped` (with row, group_id, shard) after the rounds; no shard is filled above quota by moves."""
     spark, now = grouped.sparkSession, grouped
     for i in range(rounds):
         tally = materialize(now.groupBy("group_id", "shard").agg(F.count("*").alias("n")), "shard-tally")
@@ -93,7 +96,7 @@ def propagate(grouped: DataFrame, quota: int, shards: int = SHARDS, rounds: int
         granted = spark.createDataFrame(grant, "s int, target int, level int, cell int, share int").coalesce(1)
         moves = materialize(asked.join(F.broadcast(granted), ["s", "target", "level", "cell"]).select("g", "s", "target", "share"), "shard-moves")
         moved = now.join(moves, (F.col("group_id") == F.col("g")) & (F.col("shard") == F.col("s")), "left")
-        goes = F.col("target").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(SHARE)) < F.col("share"))
+        goes = F.col("target").isNotNull() & (F.pmod(F.xxhash64("row", F.lit(i)), F.lit(SHARE)) < F.col("share"))
         new = materialize(moved.select(*[c for c in now.columns if c != "shard"], F.when(goes, F.col("target")).otherwise(F.col("shard")).alias("shard")), "shard-state")
         for old in (tally, asked, moves, now):
             drop(old)
@@ -102,11 +105,11 @@ def propagate(grouped: DataFrame, quota: int, shards: int = SHARDS, rounds: int
 
 
 def even_out(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """`rows` (with doc_id, shard, tied) with shard made even and slot: counts at most one apart, slots gapless from 0.
+    """`rows` (with row, shard, tied) with shard made even and slot: counts at most one apart, slots gapless from 0.
 
     Rows are ranked in each shard, those that are not tied to others first. A shard above its count gives its first ranks.
     """
-    rows = rows.withColumn("prio", F.col("tied").cast("int")).withColumn("deal", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(parts(rows.sparkSession))).cast("int"))
+    rows = rows.withColumn("prio", F.col("tied").cast("int")).withColumn("deal", F.pmod(F.xxhash64("row", F.lit(3)), F.lit(parts(rows.sparkSession))).cast("int"))
     counts = materialize(rows.groupBy("shard", "prio", "deal").agg(F.count("*").alias("n")), "shard-cells")
     have = {r.shard: r.n for r in counts.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
     total = sum(have.values())
@@ -114,7 +117,7 @@ def even_out(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     want = [total // shards + (s < total % shards) for s in range(shards)]
     before = Window.partitionBy("shard").orderBy("prio", "deal").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(F.col("shard").alias("s"), F.col("prio").alias("p"), F.col("deal").alias("d"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    place = Window.partitionBy("shard", "prio", "deal").orderBy("doc_id", "text_crc32", "size")
+    place = Window.partitionBy("shard", "prio", "deal").orderBy("row")
     ranked = rows.withColumn("place", F.row_number().over(place) - 1)
     ranked = ranked.join(bases, (F.col("shard") == F.col("s")) & (F.col("prio") == F.col("p")) & (F.col("deal") == F.col("d"))).withColumn("rank", F.col("base") + F.col("place"))
     gives = [max(0, h - w) for h, w in zip(have, want)]
@@ -132,11 +135,11 @@ def even_out(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, group_id, size, text_crc32, shard, tied, slot) of every row of docs."""
+    """(row, doc_id, group_id, size, text_crc32, shard, tied, slot) of every row of docs."""
     base = materialize(described(docs), "shard-docs")
     # Groups of two or more; the join may be split where one group holds many of the rows.
     many = materialize(base.groupBy(F.col("group_id").alias("many_id")).agg(F.count("*").alias("n")).where("n > 1").select("many_id"), "shard-groups")
-    start = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
+    start = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")
     state = materialize(base.join(many, base.group_id == many.many_id, "left").select(*base.columns, start.alias("shard"), F.col("many_id").isNotNull().alias("tied")), "shard-start")
     drop(many)
     total = state.count()
