@@ -39,10 +39,15 @@ def recipes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([tuple(vars(r).values()) for r in RECIPES.values()], "name string, drop_same double, full_boost int, discriminating_boost int, drop_collapse boolean, native_only boolean, valid_fraction double").coalesce(1)
 
 
+def recipe_for(distinct: Column, fit: Column, principle: Column) -> Column:
+    """The recipe that works on the largest gap first; without figures, the moat."""
+    known = distinct.isNotNull() | fit.isNotNull() | principle.isNotNull()
+    return F.when(~known, "v5_moat").when(distinct < 0.95, "boost_distinct").when(fit < 0.60, "boost_tierfit").when(principle < 1.5, "boost_principle").otherwise("boost_distinct")
+
+
 def next_recipe(metrics: DataFrame) -> DataFrame:
-    """(recipe) for one row of (distinct, fit, principle): the largest gap first; without figures, the moat."""
-    known = F.col("distinct").isNotNull() | F.col("fit").isNotNull() | F.col("principle").isNotNull()
-    return metrics.select(F.when(~known, "v5_moat").when(F.col("distinct") < 0.95, "boost_distinct").when(F.col("fit") < 0.60, "boost_tierfit").when(F.col("principle") < 1.5, "boost_principle").otherwise("boost_distinct").alias("recipe"))
+    """(recipe) for rows of (distinct, fit, principle)."""
+    return metrics.select(recipe_for(F.col("distinct"), F.col("fit"), F.col("principle")).alias("recipe"))
 
 
 def replicated(rows: DataFrame, copies: Column) -> DataFrame:

@@ -27,7 +27,8 @@ def read_games(spark: SparkSession, path: str) -> DataFrame:
 
     Records are cut at "[Event " by the reader, so a file is split over tasks; numbers follow the order in the file.
     """
-    raw = spark.read.option("lineSep", "[Event ").text(path).withColumn("file", F.input_file_name()).withColumn("at", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    at = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    raw = spark.read.option("lineSep", "[Event ").text(path).select("value", F.col("_metadata.file_path").alias("file"), at.alias("at")).where(F.trim("value") != "")
     text = F.concat(F.lit("[Event "), "value")
     elo = lambda side: F.regexp_extract("value", rf'\[{side}Elo "(\d+)"\]', 1).try_cast("int")
     rows = raw.select("file", "at", text.alias("text"), elo("White").alias("white_elo"), elo("Black").alias("black_elo"), F.contains("value", F.lit("%eval")).alias("has_eval"), F.octet_length(text).cast("long").alias("bytes"))

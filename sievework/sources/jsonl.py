@@ -55,7 +55,7 @@ def read_document(spark: SparkSession, path: str, schema: str | StructType) -> D
 def manifest(spark: SparkSession, path: str, schema: str | StructType, key: str = "video_id") -> DataFrame:
     """A document that is a list, one row per key, the last duplicate wins."""
     rows = read_document(spark, path, schema).withColumn("_at", F.monotonically_increasing_id())
-    return last_per_key(rows, [key], "_at")
+    return last_per_key(rows, [key], "_at").drop("_at")
 
 
 def _with_position(rows: DataFrame) -> DataFrame:
@@ -121,3 +121,16 @@ def blind_export(rows: DataFrame, item: str, member: str, text: str, n_members:
     labelled = anonymised(complete_items(rows, item, member, n_members), item, member, seed)
     sheet = labelled.groupBy(item).agg(F.array_sort(F.collect_list(F.struct("label", text))).alias("responses"))
     return sheet, labelled.select(item, "label", member)
+
+
+def markdown_table(rows: DataFrame, order: list[str], title: str = "") -> DataFrame:
+    """(report): the rows, a bounded table, as one markdown table under its title, in order; null is an empty cell."""
+    cells = F.concat(F.lit("| "), F.array_join(F.array(*[F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in rows.columns]), " | "), F.lit(" |"))
+    head = ([f"# {title}", ""] if title else []) + ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
+    listed = rows.agg(F.array_sort(F.collect_list(F.struct(*order, cells.alias("line")))).alias("all"))
+    return listed.select(F.array_join(F.concat(F.array(*map(F.lit, head)), F.transform("all", lambda x: x["line"])), "\n").alias("report"))
+
+
+def write_report(rows: DataFrame, order: list[str], title: str, path: str) -> None:
+    """The markdown table as a text file in a folder."""
+    markdown_table(rows, order, title).coalesce(1).write.mode("overwrite").text(path)
