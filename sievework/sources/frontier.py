@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 MAX_WAIT = 90.0
 
@@ -86,3 +87,49 @@ def crawl(games: DataFrame, seeds: DataFrame, rounds: int, per_round: int) -> Da
         edge = near.orderBy("player").limit(per_round).withColumn("depth", F.lit(depth))
         seen = seen.unionByName(edge)
     return seen
+
+
+def crawl_to_targets(extracts: DataFrame, meets: DataFrame, seeds: DataFrame, targets: dict[str, int], budget: int, per_round: int = 1) -> tuple[DataFrame, dict[str, int]]:
+    """(rows taken, how many of each level): players are asked in rounds, of the level that is furthest below its target.
+
+    extracts has (player, level, id), meets (player, other, other_level), seeds (player, level). A round asks the next
+    `per_round` unasked players of the queue of that level, by name (another level's if it is empty); their new ids are
+    taken up to the targets, and whom they met joins the queues. It ends when the targets or the budget of players are
+    reached, or no one is left to ask. Ids count once. What the driver keeps is a number for each level.
+    """
+    counts, asked = dict.fromkeys(targets, 0), 0
+    queue = seeds.select("player", "level").distinct()
+    done = seeds.select("player").limit(0)
+    taken = extracts.limit(0)
+    while asked < budget and any(counts[x] < n for x, n in targets.items()):
+        waiting = queue.join(done, "player", "left_anti").groupBy("player").agg(F.min("level").alias("level"))
+        short = sorted(targets, key=lambda x: (counts[x] - targets[x], list(targets).index(x)))
+        rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for i, level in enumerate(short) for x in (level, i)]), F.col("level")), F.lit(len(short)))
+        ask = spark_rows(waiting.orderBy(rank, "player").limit(min(per_round, budget - asked)).select("player"))
+        n = ask.count()
+        if not n:
+            break
+        asked += n
+        done = done.unionByName(ask)
+        new = extracts.join(ask, "player", "left_semi").join(taken.select("id"), "id", "left_anti").dropDuplicates(["id"])
+        most = F.element_at(F.create_map(*[F.lit(x) for level, n in targets.items() for x in (level, n - counts[level])]), F.col("level"))
+        place = F.row_number().over(Window.partitionBy("level").orderBy("player", "id"))
+        new = spark_rows(new.withColumn("_p", place).where(F.col("_p") <= most).select(*extracts.columns))
+        for r in new.groupBy("level").agg(F.count("*").alias("n")).collect():
+            counts[r.level] += r.n
+        taken = taken.unionByName(new)
+        queue = queue.unionByName(meets.join(ask, "player", "left_semi").select(F.col("other").alias("player"), F.col("other_level").alias("level")))
+    return taken, counts
+
+
+def spark_rows(small: DataFrame) -> DataFrame:
+    """A round's few rows (bounded by per_round or the targets) as a table of their own, so that plans do not grow."""
+    return small.sparkSession.createDataFrame(small.collect(), small.schema)
+
+
+def fixed_ids(extracts: DataFrame, ids: list[str], count: int, levels: tuple[str, ...]) -> DataFrame:
+    """Without a crawl: the rows of a fixed list of sources, each level up to the whole count; the first row of an id stays."""
+    from sievework.sources.banks import up_to_targets
+
+    rows = extracts.where(F.col("source").isin(list(dict.fromkeys(ids)))).dropDuplicates(["id"])
+    return up_to_targets(rows, "level", "id", {x: count for x in levels})

@@ -134,3 +134,21 @@ def test_position_holds_in_split_files(spark, tmp_path):
         assert sorted((r.id, r.name) for r in jsonl.union_first_wins(spark, path, SCHEMA, ["id"]).collect()) == [(i, str(i)) for i in range(50)]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_crawl_asks_the_level_that_is_furthest_below_its_target(spark):
+    extracts = spark.createDataFrame([("a", "low", "1"), ("a", "low", "2"), ("b", "mid", "3"), ("b", "low", "1"), ("c", "high", "4"), ("c", "high", "5"), ("d", "mid", "6"), ("e", "low", "7")], "player string, level string, id string")
+    meets = spark.createDataFrame([("a", "b", "mid"), ("a", "c", "high"), ("c", "d", "mid"), ("b", "e", "low"), ("e", "a", "low")], "player string, other string, other_level string")
+    seeds = spark.createDataFrame([("a", "low")], "player string, level string")
+    rows, counts = frontier.crawl_to_targets(extracts, meets, seeds, {"low": 2, "mid": 1, "high": 1}, 9)
+    assert counts == {"low": 2, "mid": 1, "high": 1} and sorted(r.id for r in rows.collect()) == ["1", "2", "3", "4"]
+    rows, counts = frontier.crawl_to_targets(extracts, meets, seeds, {"low": 1, "mid": 2, "high": 2}, 2)
+    assert counts == {"low": 1, "mid": 1, "high": 0} and sorted(r.id for r in rows.collect()) == ["1", "3"]
+    rows, counts = frontier.crawl_to_targets(extracts, meets, seeds, {"low": 9, "mid": 9, "high": 9}, 99, 2)
+    assert counts == {"low": 3, "mid": 2, "high": 2} and rows.count() == 7
+
+
+def test_fixed_ids_relax_the_targets(spark):
+    rows = spark.createDataFrame([("g1", "low", "1"), ("g1", "low", "2"), ("g2", "mid", "3"), ("g9", "mid", "4"), ("g2", "low", "1")], "source string, level string, id string")
+    assert sorted(r.id for r in frontier.fixed_ids(rows, ["g1", "g2", "g1"], 5, ("low", "mid")).collect()) == ["1", "2", "3"]
+    assert frontier.fixed_ids(rows, ["g1"], 1, ("low", "mid")).count() == 1
