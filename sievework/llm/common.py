@@ -17,6 +17,8 @@ from pyspark.sql.types import StructType
 
 #: Code points that separate words: space and the five ASCII controls from tab to carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
+#: Keys that are sampled for the edges of ranges at most, whatever the number of partitions.
+MOST_SAMPLED = 1 << 18
 #: Bytes of text that a Python function gets at once, beside the longest single text.
 SLICE_BYTES = 4 << 20
 

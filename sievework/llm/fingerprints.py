@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievework.llm.common import BLANKS, find_edge, hash_sample, parts, text_of
+from sievework.llm.common import BLANKS, MOST_SAMPLED, find_edge, hash_sample, parts, text_of
 
 SHINGLE = 5
 #: One hash in this many is retained.
@@ -86,7 +86,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("string").alias("text"))
     rows = rows.withColumn("k", F.struct(F.coalesce("doc_id", F.lit(LEAST)).alias("id"), F.xxhash64("text").alias("text")))
     ranges = RANGES_PER_PARTITION * parts(spark)
-    keys = sorted((r.k.id, r.k.text) for r in hash_sample(rows.select("k"), "k", ranges * SAMPLED_PER_RANGE).collect())
+    keys = sorted((r.k.id, r.k.text) for r in hash_sample(rows.select("k"), "k", min(MOST_SAMPLED, ranges * SAMPLED_PER_RANGE)).collect())
     edges = sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
     kind = "struct<id:bigint,text:bigint>"
     placed = rows.withColumn("range", find_edge(edges, F.col("k"), lambda e: F.struct(F.lit(e[0]).alias("id"), F.lit(e[1]).alias("text"))))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from sievework.llm.common import ascii_lower, find_edge, hash_sample, parts
+from sievework.llm.common import MOST_SAMPLED, ascii_lower, find_edge, hash_sample, parts
 
 #: The contract's rules.
 BASE_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -76,7 +76,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT) ->
     points = seen.withColumn("outer", F.explode(around(host_key(F.col("host"))))).withColumn("place", F.concat("outer", F.lit("\u0000"), tail))
     ranges = RANGES_PER_PARTITION * parts(spark)
     # A bounded sample of places gives the edges of the ranges, as in any range partitioning.
-    places = sorted(r.place for r in hash_sample(points.select("place"), "place", ranges * SAMPLED_PER_RANGE).collect())
+    places = sorted(r.place for r in hash_sample(points.select("place"), "place", min(MOST_SAMPLED, ranges * SAMPLED_PER_RANGE)).collect())
     edges = sorted({places[i * len(places) // ranges] for i in range(1, ranges)}) if places else []
     page = StructType([StructField("row", LongType()), *(pages.schema["page_id"],), StructField("host", StringType()), StructField("path", StringType())])
     no_page = [F.lit(None).cast(f.dataType).alias(f.name) for f in page.fields]
