@@ -117,10 +117,10 @@ def value_cells(rows: DataFrame, order: str, cells: int = 256, per_cell: int = 1
     return F.when(F.col(order).isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(order))))
 
 
-def places(rows: DataFrame, by: list[str], order: str, ties: list[str], name: str) -> DataFrame:
+def places(rows: DataFrame, by: list[str], order: str, ties: list[str], name: str, cell: Column | None = None) -> DataFrame:
     """Adds name: the place, from 1, by order within each group, without a group in one task: rows are ranked in cells of
-    the order, and counts of cells (a small table) say where each cell begins."""
-    marked = rows.withColumn("_cell", value_cells(rows, order))
+    the order, and counts of cells (a small table) say where each cell begins. Without a `cell`, values are sampled for it."""
+    marked = rows.withColumn("_cell", value_cells(rows, order) if cell is None else cell)
     counts = marked.groupBy(*by, "_cell").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*[F.col(c) for c in by] or [F.lit(0)]).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], F.col("_cell").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -133,17 +133,24 @@ def places(rows: DataFrame, by: list[str], order: str, ties: list[str], name: st
 
 def stratified_split(rows: DataFrame, by: list[str], key: str, fraction: Column, seed: int = 0) -> DataFrame:
     """Adds is_first: of each cell greatest(1, least(bround(fraction * n), n - 1)) rows, or bround(fraction * n) of a cell of one."""
-    n = F.count("*").over(Window.partitionBy(*by))
+    cell = F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")  # at most 4096 of a stratum
+    marked = places(rows.withColumn("_h", hash_order(key, seed)), by, "_h", [key], "_p", cell)
+    sizes = rows.groupBy(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)]).agg(F.count("*").alias("_n"))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_b{i}"))
     take = F.bround(fraction * F.col("_n"), 0)
     quota = F.when(F.col("_n") >= 2, F.greatest(F.lit(1.0), F.least(take, F.col("_n") - 1.0))).otherwise(take)
-    out = ranked(rows.withColumn("_n", n), by, [hash_order(key, seed), key], "_p")
-    return out.withColumn("is_first", F.col("_p") <= quota).drop("_n", "_p")
+    out = marked.join(sizes, same).withColumn("is_first", F.col("_p") <= quota)
+    return out.drop("_n", "_p", "_h", *[f"_b{i}" for i in range(len(by))])
 
 
 def capped_then_filled(rows: DataFrame, cell: list[str], order: str, cap: int, target: int) -> DataFrame:
-    """Up to cap rows of each cell, then, to the target, the next ones by order whatever their cell."""
-    first = ranked(rows, cell, [order], "_p").withColumn("_over", (F.col("_p") > cap).cast("int"))
-    return first.orderBy("_over", order).limit(target).drop("_p", "_over")
+    """Up to cap rows of each cell, then, to the target, the next ones by order whatever their cell. The order tells rows apart."""
+    first = ranked(rows, cell, [order], "_p").where(F.col("_p") <= cap).drop("_p").orderBy(order).limit(target)
+    # Of the others only the first `target` by order can be wanted, and of a cell's first rows at most `cap` stand before them.
+    rest = rows.join(first.select(order), order, "left_anti").orderBy(order).limit(target).withColumn("_over", F.lit(1))
+    return first.withColumn("_over", F.lit(0)).unionByName(rest).orderBy("_over", order).limit(target).drop("_over")
 
 
 def prioritised(rows: DataFrame, by: list[str], key: str, first: Column, most: int, others: int, seed: int = 0) -> DataFrame:
