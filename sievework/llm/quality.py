@@ -162,10 +162,11 @@ def _dense(text: bytes) -> np.ndarray:
     return counts.astype(np.float32) / sizes.astype(np.float32)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int) -> tuple[np.ndarray, float]:
-    """Weights and bias by accelerated gradient descent; rows of a label weigh as much as those of the other."""
+def _logistic(x: np.ndarray, y: np.ndarray, fit: np.ndarray, ridge: float, rounds: int) -> tuple[np.ndarray, float]:
+    """Weights and bias by accelerated gradient descent on the rows that `fit` marks (others weigh nothing, so no copy is
+    made); rows of a label weigh as much as those of the other."""
     w, b, vw, vb = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(x.shape[1], np.float32), 0.0
-    cost = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())).astype(np.float32)
+    cost = (fit * np.where(y == 1, 0.5 / max(1, y[fit].sum()), 0.5 / max(1, (1 - y[fit]).sum()))).astype(np.float32)
     rate = 4.0 / max(1e-6, float(cost @ np.einsum("ij,ij->i", x, x)) + 1.0)
     for i in range(rounds):
         ww, bb = w + vw, b + vb
@@ -187,28 +188,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
         made = [_dense(x or b"").astype(np.float16).tobytes() for x in batch.column(0).cast(pa.binary()).to_pylist()]
         return pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), batch.column(1), batch.column(2)], ["x", "y", "key"])
 
-    # `sample` rows of SLOTS two-byte numbers at most: 49 MB at the default.
-    got = map_batches(rows.select("text", F.col("quality").cast("int").alias("quality"), "key"), one, "x binary, y int, key long").toArrow().sort_by("key")
-    if not got.num_rows:
+    # `sample` rows of SLOTS two-byte numbers at most (49 MB at the default), which come one partition after another, sorted.
+    made = map_batches(rows.select("text", F.col("quality").cast("int").alias("quality"), "key").orderBy("key"), one, "x binary, y int, key long")
+    x, labels_ = np.empty((sample, SLOTS), np.float32), []
+    for row in made.select("x", "y").toLocalIterator():
+        x[len(labels_)] = np.frombuffer(row.x, np.float16)
+        labels_.append(row.y)
+        if len(labels_) == sample:  # a labelled doc_id may have many rows
+            break
+    if not labels_:
         return None
-    x = np.empty((got.num_rows, SLOTS), np.float32)
-    for i, row in enumerate(got.column("x")):
-        x[i] = np.frombuffer(row.as_buffer(), np.float16)
-    y = np.array(got.column("y").to_pylist(), np.float32)
-    del got
+    x, y = x[: len(labels_)], np.array(labels_, np.float32)
     if y.min() == y.max():
         return None
     held = np.arange(len(y)) % 4 == 3
     if min(y[~held].max(), y[held].max(initial=0)) == 0 or max(y[~held].min(), y[held].min(initial=1)) == 1:
         held = np.zeros(len(y), bool)
-    fit = np.flatnonzero(~held)
-    scale = (1.0 / np.sqrt(np.einsum("ij,ij->j", x, x) / len(x) + 1e-7)).astype(np.float32)
-    x *= scale  # in place: the table is the largest thing on the driver
-    w, b = _logistic(x if len(fit) == len(x) else x[fit], y[fit], 1e-3, 400)
-    test = np.flatnonzero(held) if held.any() else fit
-    z, t = x[test] @ w + b, y[test]
+    x *= (scale := (1.0 / np.sqrt(np.einsum("ij,ij->j", x, x) / len(x) + 1e-7)).astype(np.float32))  # in place: the table is the largest thing on the driver
+    w, b = _logistic(x, y, ~held, 1e-3, 400)
+    test = held if held.any() else ~held
+    z = x @ w + b
     w = w * scale
-    slope, offset = _platt(z.astype(float), t.astype(float))
+    slope, offset = _platt(z[test].astype(float), y[test].astype(float))
     return Model(w.astype(np.float64), float(b), slope, offset)
 
 

@@ -161,18 +161,21 @@ def forms_of(text: str) -> set[str]:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(text, toxic, fold): labelled texts, equal texts once; at most `sample` rows, so the labels' side is bounded."""
+    """(key, text, toxic, fit): labelled texts, equal texts once, of at most `sample` labels, so their side is bounded."""
     clean = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = hash_sample(clean, "doc_id", sample)
     joined = docs.select("doc_id", text_of().cast("string").alias("text")).join(F.broadcast(some), "doc_id")
     keyed = joined.withColumn("key", F.xxhash64("text"))
     once = keyed.groupBy("key").agg(F.any_value("text").alias("text"), F.max("toxic").alias("toxic"))
-    return once.select("text", "toxic", (F.pmod(F.col("key"), F.lit(5)) < 4).alias("fit"))
+    return once.select("key", "text", "toxic", (F.pmod(F.col("key"), F.lit(5)) < 4).alias("fit"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The model, from at most `sample` labelled rows; None if either label is missing."""
-    rows = _sample(docs, labels, sample).cache()
+    rows = every = _sample(docs, labels, sample).cache()
+    n = every.count()
+    if n > sample:  # a labelled doc_id may have many rows
+        rows = every.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int((1 << 30) * sample / n))
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         toxic: Counter = Counter()
@@ -186,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     sizes = {r.toxic: r.n for r in fit.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
-        rows.unpersist()
+        every.unpersist()
         return None
     counted = map_batches(fit.select("text", "toxic"), count, "form string, in_toxic long, in_clean long").groupBy("form").agg(F.sum("in_toxic").alias("t"), F.sum("in_clean").alias("c"))
     rate = (F.col("t") + F.col("c")) / (n_toxic + n_clean)
@@ -209,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
 
     # At most SUMMED + 2 numbers for each row of the bounded sample.
     seen = map_batches(rows.where("not fit").select("text", F.col("toxic").cast("int")), top, "toxic int, top array<double>, n long").collect()
-    rows.unpersist()
+    every.unpersist()
     return _calibrated(forms, np.array([r.toxic for r in seen], float), [r.top for r in seen], [r.n for r in seen])
 
 

@@ -184,3 +184,11 @@ def test_held_out_scores_order_documents(spark, tmp_path):
     kept = Q.op4_quality_rules(spark, str(tmp_path)).collect()
     good = {i: q for i, q, _ in labels}
     assert sum(r.kept == bool(good[r.doc_id]) for r in kept) / 900 > 0.97 and all(r.n_words == len(t.split()) for r in kept for t in [dict((d[0], d[1]) for d in docs)[r.doc_id]])
+
+
+def test_sample_is_bounded_where_rows_share_a_doc_id(spark):
+    docs, labels = corpus(400, 7)
+    shared = [(i % 40, t, "en", "s", 1) for i, t, *_ in docs]
+    d = spark.createDataFrame(shared, "doc_id long, text string, lang string, source string, n_chars long")
+    seen = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    assert Q.train(d, seen, 50) is not None and X.train(d, seen, 50) is not None
