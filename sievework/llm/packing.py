@@ -11,7 +11,8 @@ of a length and several equal gaps meet, the piece of rank r takes the r-th gap,
 one piece a round, or several equal ones where it holds them MANY times. Used gaps shrink and are dealt anew; a gap that
 found nothing in its range goes to the next lower one; pieces longer than every gap open sequences, the longest first, as
 many as the rest needs at least. Rounds repeat until no piece is left. Lengths come in bands, the long ones first, so that
-short pieces fill what long ones leave. The plan is joined to the ranked pieces.
+short pieces fill what long ones leave; a band goes on while a round places a good part of its pieces, and the few that
+are left go on with the next. The plan is joined to the ranked pieces.
 
 Defined cases: a null or empty text is the end token alone; rows that share a doc_id are packed each (their pieces tie by
 length and checksum); the string of an added token is that token (<|endoftext|> is one id); an empty table gives an empty
@@ -36,23 +37,30 @@ from sievework.llm.bpe import RANKS, load_ranks
 from sievework.llm.common import drop, find_edge, map_batches, materialize, parts
 
 SIZE, END = 1024, 2
-#: Bands of lengths end at the size divided by these; ranges that each band is dealt into; how many times a gap must hold a
-#: piece to take several.
-BANDS, RANGES, MANY = (2, 4, 16), 4, 4
+#: Bands of lengths end at the size divided by these; ranges that lengths are dealt into; how many times a gap must hold a
+#: piece to take several; a band is left when a round places less than one in so many of its pieces.
+BANDS, RANGES, MANY, WORTH = (2, 4, 16), 2, 4, 20
 #: Rows of the plan that are broadcast at most (48 bytes each).
 BROADCAST_PLAN = 200_000
 
 #: The tokenizer whose ids the contract fixes.
 TOKENIZER = "byte_bpe_50k.json"
 
+@cache
+def _added(path: str) -> tuple[str, ...]:
+    """The strings of a tokenizer file's added tokens, without reading its vocabulary."""
+    with open(path, encoding="utf-8") as lines:
+        text = lines.read()
+    found, _ = json.JSONDecoder().raw_decode(text, text.index("[", text.index('"added_tokens"')))
+    return tuple(x["content"] for x in found)
+
+
 @cache
 def _library(path: str):
-    """The tokenizers library on a tokenizer file, and the strings of its added tokens."""
+    """The tokenizers library on a tokenizer file; only a text that holds an added token's string needs it."""
     from tokenizers import Tokenizer
 
-    with open(path, encoding="utf-8") as lines:
-        added = tuple(x["content"] for x in json.load(lines)["added_tokens"])
-    return Tokenizer.from_file(path), added
+    return Tokenizer.from_file(path)
 
 
 @cache
@@ -69,9 +77,9 @@ def _ranked(path: str):
 
 def text_ids(text: str, path: str) -> bytes:
     """The library's ids of a text, as bytes: by ranks, or by the library itself where an added token's string occurs."""
-    library, added = _library(public_tokenizers.path(TOKENIZER))
-    if any(x in text for x in added):
-        return np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    file = public_tokenizers.path(TOKENIZER)
+    if any(x in text for x in _added(file)):
+        return np.array(_library(file).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     return np.array(_ranked(path).encode_ordinary(text), "<u4").tobytes()
 
 
@@ -149,12 +157,13 @@ def plan_of(spark: SparkSession, counts: dict[int, int], size: int = SIZE) -> Da
     own = [(PLACED, size, None, 0, fresh, 0, 0)] if fresh else []  # what the driver places: full pieces and openings
     tables: list[DataFrame] = []
     gaps: DataFrame | None = None
-    high = size - 1
+    every = {n: (0, many) for n, many in counts.items() if 0 < n < size and many}  # first rank and how many: a run a length
     for low in [size // x for x in BANDS] + [0]:
-        width = max(1, -(-(high - low) // RANGES))
-        pieces = {n: (0, many) for n, many in counts.items() if low < n <= high and many}
-        reset, top = True, high
-        while pieces:
+        width, worth = max(1, -(-(size - 1 - low) // RANGES)), True
+        reset, top = True, size
+        while worth and any(n > low for n in every):
+            pieces = {n: run for n, run in every.items() if n > low}
+            waiting = sum(many for _, many in pieces.values())
             # Pieces that are longer than every gap that is still dealt: the longest open sequences.
             unfit = sum(many for n, (_, many) in pieces.items() if n > top or gaps is None)
             if unfit:
@@ -187,9 +196,10 @@ def plan_of(spark: SparkSession, counts: dict[int, int], size: int = SIZE) -> Da
             out = materialize(out, "pack-round")
             tables.append(out)
             # One run of pieces for each length: at most `size` rows.
-            pieces = {r.size: (r.first, r.many) for r in out.where(F.col("kind") == PIECE).collect()}
+            rest = {r.size: (r.first, r.many) for r in out.where(F.col("kind") == PIECE).collect()}
+            every = {n: run for n, run in every.items() if n <= low} | rest
             gaps, reset, top = out.where((F.col("kind") == GAP) & (F.col("size") > 0)), False, seen.get["top"] or 0
-        high = low
+            worth = low == 0 or WORTH * (waiting - sum(many for _, many in rest.values())) >= waiting
     placed = spark.createDataFrame(own, RUNS).coalesce(1)
     placed = reduce(lambda a, b: a.unionByName(b), [placed, *(t.where(F.col("kind") == PLACED) for t in tables)])
     done = materialize(placed.select(F.col("size").alias("length"), F.col("first").alias("first_rank"), "many", "sequence", "offset").coalesce(1), "pack-plan")
