@@ -47,8 +47,7 @@ def best_other(rows: DataFrame, item: str, member: str, score: list[str]) -> Dat
 
     The two best of an item are read in one pass over it; no self-join of pairs.
     """
-    order = F.struct(*[F.col(c) for c in score], (-F.col(member)).alias("_m"))
-    w = Window.partitionBy(item).orderBy(order.desc())
+    w = Window.partitionBy(item).orderBy(*[F.col(c).desc() for c in score], F.col(member))
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     own = F.struct(F.col(member).alias("m"), F.struct(*score).alias("s"))
     out = rows.withColumn("_r", F.row_number().over(w)).withColumn("_first", F.first(own).over(whole)).withColumn("_second", F.nth_value(own, 2).over(whole))

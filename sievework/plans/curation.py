@@ -11,7 +11,7 @@ from sievework.functions import text as T
 from sievework.operators import gates as G
 from sievework.operators import joins as J
 from sievework.plans.registry import query
-from sievework.session import table
+from sievework.session import spread, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Blanks that both dialects know alike.
@@ -30,7 +30,7 @@ def lowered(text: F.Column) -> F.Column:
 
 def gated(spark, sf) -> DataFrame:
     """Documents with the reasons of a gate stack on their whole texts, and a digest of the squeezed, lowered text as key."""
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "lang", "source", "text"))
     body = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), BLANKS, " "))
     rows = docs.select("doc_id", "lang", "source", body.alias("body")).withColumn("low", low(F.col("body"))).withColumn("key", F.md5("low"))
     held = lambda part: F.floor((F.length("body") - F.length(F.replace("body", F.lit(part), F.lit("")))) / len(part))
@@ -178,7 +178,7 @@ def whitespace_normalised(spark, sf) -> DataFrame:
   p AS (SELECT doc_id, w, CASE WHEN n <= 4 THEN range(n) ELSE list_sort(list_distinct(list_transform(range(4), lambda k: CAST(round_even(k * (n - 1) / 3.0, 0) AS BIGINT)))) END AS places FROM n)
   SELECT doc_id, array_to_string(list_transform(places, lambda i: array_to_string(w[CAST(i * 50 + 1 AS BIGINT):CAST(i * 50 + 50 AS BIGINT)], ' ')), ' ... ') AS digest FROM p""")
 def digest_even_chunks(spark, sf) -> DataFrame:
-    words = table(spark, sf, "documents").select("doc_id", T.words_of(F.col("text")).alias("words"))
+    words = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", T.words_of(F.col("text")).alias("words"))
     return words.select("doc_id", T.even_chunks(F.col("words"), 50, 4, " ... ").alias("digest"))
 
 

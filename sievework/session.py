@@ -26,3 +26,10 @@ def build_session(app: str = "sievework", master: str | None = None, **conf: str
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; read with Spark alone, so any store that Spark can reach will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows of a table for work that is dear row by row: dealt anew if it has fewer splits than there are cores, so that
+    small tables use them all; tables with more splits stay as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
