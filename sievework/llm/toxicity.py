@@ -44,6 +44,8 @@ PRIOR = 20.0
 DRIFT = 0.08
 #: Chance below which a maximal segment counts as a toxic passage.
 PASSAGE_P = 0.01
+#: The normalised score of that chance under the Gumbel law.
+SIGNIFICANT = -math.log(-math.log1p(-PASSAGE_P))
 #: Segments that a document's evidence sums at most; further ones add less than their price.
 SUMMED = 32
 #: Words that a worker remembers, and the longest of them.
@@ -106,11 +108,12 @@ def evidence(normals: list[float]) -> float:
     """How unlikely a document's normalised segment scores are for chance, as a negative logarithm.
 
     The sum x of the r best of independent Gumbel scores exceeds x with a chance of about exp(-x) x^(r-1) / (r! (r-1)!);
-    choosing r costs a factor of two for each segment beyond the first. One segment alone counts as its own score.
+    choosing r costs a factor of two for each segment beyond the first. Only segments that are significant on their own are
+    summed; one alone, or without any the best, counts as its own score.
     """
     best = top = max(normals)
     x = logs = 0.0
-    for r, one in enumerate(sorted((v for v in normals if v > 0), reverse=True)[:SUMMED], 1):
+    for r, one in enumerate(sorted((v for v in normals if v >= SIGNIFICANT), reverse=True)[:SUMMED], 1):
         x += one
         if r > 1:
             logs += math.log(r) + math.log(r - 1)

@@ -165,7 +165,7 @@ def test_segment_scan_is_linear():
 
 def test_evidence_of_several_passages():
     assert X.evidence([5.0]) == 5.0 and X.evidence([-2.0, -3.0]) == -2.0
-    assert X.evidence([5.0, 4.5, 4.0]) > 5.0 and X.evidence([5.0, 0.2, 0.1]) == 5.0
+    assert X.evidence([6.0, 5.5, 5.0]) > X.evidence([6.0, 5.5]) > 6.0 and X.evidence([6.0, 4.5, 0.1]) == 6.0
 
 
 def test_held_out_scores_order_documents(spark, tmp_path):
