@@ -40,6 +40,28 @@ MEMO, MEMO_LONGEST = 400_000, 48
 LONE = re.compile(r" (?<=\S )(?=\S)")
 
 
+# Code points that Unicode made letters or numbers after version 16, where the libraries' tables end.
+LATER = (
+    "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
+    "\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb"
+    "\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8"
+    "\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20"
+    "\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6"
+    "\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de"
+    "\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff"
+    "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+
+
+@cache
+def word_pattern() -> regex.Pattern:
+    """public_tokenizers.PATTERN with the libraries' letters and numbers; the regex module's tables are of a later Unicode."""
+    text = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{LATER}]]")
+    for kind in ("L", "N"):
+        text = text.replace(rf"?\p{{{kind}}}", rf"?[\p{{{kind}}}--[{LATER}]]")
+    return regex.compile(text, regex.V1)
+
+
 @cache
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
@@ -143,7 +165,7 @@ _ENCODERS: dict[str, Encoder] = {}
 def digests(path: str) -> Encoder:
     """An encoder whose pieces are (decimal ids joined by spaces, the ids' bytes)."""
     if path not in _ENCODERS:
-        ranks, words = load_ranks(path), regex.compile(public_tokenizers.PATTERN)
+        ranks, words = load_ranks(path), word_pattern()
         piece_of = {i: p for p, i in ranks.items()}
 
         def fresh(word: str) -> tuple[str, bytes]:
@@ -161,7 +183,7 @@ def digests(path: str) -> Encoder:
 
 
 def encode(text: str, ranks: dict[bytes, int]) -> list[int]:
-    return [ranks[p] for w in regex.findall(public_tokenizers.PATTERN, text) for p in merged_pieces(w.encode(), ranks)]
+    return [ranks[p] for w in word_pattern().findall(text) for p in merged_pieces(w.encode(), ranks)]
 
 
 def decode(ids: list[int], ranks: dict[bytes, int]) -> bytes:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from sievework.llm import bpe, fingerprints, licenses, linededup, packing, quality, sharding, simhash, toxicity, urlfilter
+from sievework.llm import bpe, collocations, fingerprints, licenses, linededup, packing, pairbpe, quality, resampling, sharding, simhash, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,10 +24,13 @@ def queries() -> dict[str, Query]:
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_packing": packing.op9_packing,
         "op10_url_filters": urlfilter.op10_url_filters,
+        "op11_collocations": collocations.op11_collocations,
+        "op12_pair_bpe": pairbpe.op12_pair_bpe,
+        "op13_resampling": resampling.op13_resampling,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op7_line_dedup": linededup.OP7_SQL, "op10_url_filters": urlfilter.OP10_SQL}
+    found = {"op7_line_dedup": linededup.OP7_SQL, "op10_url_filters": urlfilter.OP10_SQL, "op11_collocations": collocations.OP11_SQL, "op13_resampling": resampling.OP13_SQL}
     return found if corpus_pipeline.ORACLE_SQL is None else found | {"pipeline": corpus_pipeline.ORACLE_SQL}

@@ -8,8 +8,11 @@ import pytest
 
 from sievework.llm import bpe, packing
 from sievework.llm.queries import oracle_sql, queries
+from tests.llm.test_collocations import brute as brute_phrases
 from tests.llm.test_lines import brute as brute_lines
 from tests.llm.test_licenses import brute as brute_license
+from tests.llm.test_pairbpe import brute as brute_ids
+from tests.llm.test_resampling import brute as brute_draw
 from tests.llm.test_simhash import brute_components
 from tests.llm.test_tokens import OWN
 
@@ -24,6 +27,9 @@ COLUMNS = {
     "op8_byte_bpe": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
     "op9_packing": {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"},
     "op10_url_filters": {"page_id", "host", "path", "rule", "verdict"},
+    "op11_collocations": {"lang", "rank", "phrase", "a", "l", "r", "n", "score"},
+    "op12_pair_bpe": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
+    "op13_resampling": {"doc_id", "n_features", "weight", "score", "rank"},
     "pipeline": {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"},
 }
 
@@ -43,6 +49,7 @@ def sf(tmp_path_factory, spark):
     docs.selectExpr("*", "1 as row", "'x' as words", "2 as fingerprint", "3 as shard", "4 as _n_lines", "5 as length", "6 as k").repartition(3).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(0, 60, 2)] + [(None, 1, 1), (4, None, None), (4, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([(i, f"http://a{i % 3}.com/fr/{i}", "") for i in range(30)] + [(None, None, None), (5, "x", "")], "page_id long, url string, html string").selectExpr("*", "'h' as host", "1 as row").write.parquet(f"{path}/pages.parquet")
+    spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts()[20:40])] + [(None, None)], "item_id long, text string").selectExpr("*", "'b' as key").write.parquet(f"{path}/benchmark.parquet")
     return path
 
 
@@ -56,7 +63,7 @@ def test_columns_and_rows(results):
     for name, want in COLUMNS.items():
         rows = results[name]
         assert want <= set(rows[0].asDict()), name
-        if name not in ("op9_packing", "op10_url_filters", "pipeline"):
+        if name not in ("op9_packing", "op10_url_filters", "op11_collocations", "pipeline"):
             assert len(rows) == n and sorted(str(r.doc_id) for r in rows) == sorted(str(i) for i, _ in texts()), name
     assert set(oracle_sql()) <= set(COLUMNS) and len(results["op10_url_filters"]) == 32
 
@@ -91,6 +98,13 @@ def test_ids_of_both_tokenizers(results):
     assert len(held) <= sum(sizes) // 1024 + 2
 
 
+def test_phrases_ids_and_draws_against_brute_force(results):
+    rows = texts()
+    assert [tuple(r) for r in sorted(results["op11_collocations"], key=lambda r: r.rank)] == brute_phrases([("en", t) for _, t in rows])
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in results["op12_pair_bpe"]), key=str) == sorted(((i, *brute_ids(t)) for i, t in rows), key=str)
+    assert sorted(map(tuple, results["op13_resampling"]), key=str) == brute_draw(rows, [t for _, t in rows[20:40]])
+
+
 def test_shards_are_even_gapless_and_keep_groups(results):
     rows = results["op5_sharding"]
     by = {s: sorted(r.slot for r in rows if r.shard == s) for s in range(8)}
@@ -110,5 +124,6 @@ def test_empty_tables(name, spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     out = queries()[name](spark, path)
     assert COLUMNS[name] <= set(out.columns) and out.collect() == []
