@@ -2,13 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from functools import cache
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import buckets as B
@@ -19,25 +13,11 @@ from sievework.plans.coaching import _R, rows as coached
 from sievework.plans.evaluation import FACT, fact
 from sievework.plans.fixtures import POOL, pool
 from sievework.plans.registry import query
-from sievework.sources import banks, frontier, jsonl
+from sievework.sources import banks, frontier, jsonl, prefix_banks
+from sievework.sources.shared import scratch
 from sievework.session import table
 
 
-@cache
-def _local() -> str:
-    folder = tempfile.mkdtemp(prefix="sievework-files-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return f"file://{folder}"
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; under a local master without one, a temporary folder."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(shared or _local()).rstrip('/')}/files-{uuid.uuid4().hex}"
-
-
 def lines(spark, sf) -> str:
     """A folder of JSON lines of all documents, some broken, with blank lines between."""
     path, d = scratch(spark), F.col("doc_id")
@@ -146,7 +126,7 @@ def game_bank_ratings(spark, sf) -> DataFrame:
     return banks.rating_histogram(banks.read_games(spark, path)).select(F.col("low").cast("long").alias("low"), "n")
 
 
-@query("""WITH g AS (SELECT c_nationkey AS file, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS no, 20 + c_custkey % 90 AS bytes FROM customer), s AS (SELECT *, sum(bytes) OVER (PARTITION BY file ORDER BY no) AS total FROM g) SELECT file, c_custkey FROM s WHERE no <= 7 AND total <= 400""")
+@query("""WITH g AS (SELECT c_nationkey AS file, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS no, 20 + c_custkey % 90 AS bytes FROM customer), s AS (SELECT *, sum(bytes) OVER (PARTITION BY file ORDER BY no) AS total FROM g) SELECT file, c_custkey FROM s WHERE no <= 7 AND total - bytes < 400""")
 def prefix_bounded_slice(spark, sf) -> DataFrame:
     """The first whole records of each file within a number of records and of bytes."""
     from sievework.operators.sampling import ranked
@@ -155,6 +135,54 @@ def prefix_bounded_slice(spark, sf) -> DataFrame:
     return banks.slice_games(ranked(games, ["file"], ["c_custkey"], "game_no"), 7, 400).select("file", "c_custkey")
 
 
+def game_text() -> Column:
+    """A game for each order: its key, ratings of both sides, moves as long as the order's comment, some with values."""
+    k = F.col("o_orderkey")
+    moves = F.concat(F.lit("1. e4 "), F.when(k % 4 == 0, "{ [%eval 0.2] } ").otherwise(""), F.regexp_replace(F.col("o_orderpriority"), " ", ""), F.repeat(F.lit(" e5"), (k % 5).cast("int")), F.lit(" *"))
+    return F.concat(F.lit('[Event "x"]\n[Site "'), k, F.lit('"]\n[WhiteElo "'), 800 + k % 1500, F.lit('"]\n[BlackElo "'), 800 + k * 7 % 1500, F.lit('"]\n\n'), moves, F.lit("\n\n"))
+
+
+_GAMES = """g AS (SELECT o_orderkey AS k, 'bank-' || (o_orderkey % 5) AS file, o_orderkey % 4 = 0 AS has_eval, 800 + o_orderkey % 1500 AS white_elo,
+    '[Event "x"]' || chr(10) || '[Site "' || o_orderkey || '"]' || chr(10) || '[WhiteElo "' || (800 + o_orderkey % 1500) || '"]' || chr(10) || '[BlackElo "' || (800 + o_orderkey * 7 % 1500) || '"]' || chr(10) || chr(10)
+    || '1. e4 ' || CASE WHEN o_orderkey % 4 = 0 THEN '{ [%eval 0.2] } ' ELSE '' END || replace(o_orderpriority, ' ', '') || repeat(' e5', (o_orderkey % 5)::INT) || ' *' || chr(10) || chr(10) AS text FROM orders),
+  n AS (SELECT *, strlen(text) AS bytes, row_number() OVER (PARTITION BY file ORDER BY k) AS no FROM g),
+  b AS (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY file ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n)"""
+
+
+@query(f"WITH {_GAMES} SELECT file, no AS record_no, k, bytes, white_elo::INT AS white_elo, has_eval FROM b WHERE no <= 300 AND before < 30000")
+def bounded_compressed_games(spark, sf) -> DataFrame:
+    """Orders as games in five zstd banks, of which the first games are read until 300 games or 30,000 bytes are there."""
+    path = scratch(spark)
+    games = table(spark, sf, "orders").select(F.concat(F.lit("bank-"), F.col("o_orderkey") % 5).alias("file"), "o_orderkey", game_text().alias("text"))
+    prefix_banks.write_bank(games, path, ["o_orderkey"])
+    rows = prefix_banks.with_elo(prefix_banks.read_bank(spark, path, max_records=300, max_bytes=30_000))
+    return rows.select(F.regexp_extract("file", r"([^/.]+)\.pgn\.zst$", 1).alias("file"), "record_no", F.regexp_extract("text", r'\[Site "(\d+)"\]', 1).cast("long").alias("k"), "bytes", "white_elo", "has_eval")
+
+
+@query("""WITH p AS (SELECT p_partkey, 'part-' || (p_partkey % 3) AS file, p_partkey % 9 <> 4 AS ok, row_number() OVER (PARTITION BY p_partkey % 3 ORDER BY p_partkey) AS no, p_name FROM part)
+  SELECT file, no AS record_no, p_partkey::VARCHAR AS "PuzzleId", (600 + p_partkey % 1800)::INT AS "Rating", '8/8, "' || p_name || '"' AS "FEN" FROM p WHERE ok AND no <= 40""")
+def bounded_puzzle_lines(spark, sf) -> DataFrame:
+    """Three compressed puzzle banks of quoted fields, of which the first forty lines are read."""
+    path, k = scratch(spark), F.col("p_partkey")
+    own = {"PuzzleId": k.cast("string"), "FEN": F.concat(F.lit('"8/8, ""'), "p_name", F.lit('"""')), "Rating": F.when(k % 9 == 4, "n/a").otherwise((600 + k % 1800).cast("string"))}
+    line = F.concat_ws(",", *[own.get(c, F.lit("1")) for c in banks.PUZZLE_COLUMNS])
+    rows = table(spark, sf, "part").select(F.concat(F.lit("part-"), k % 3).alias("file"), k.alias("at"), F.concat(line, F.lit("\n")).alias("text"))
+    heads = rows.select("file").distinct().select("file", F.lit(-1).cast("long").alias("at"), F.lit(",".join(banks.PUZZLE_COLUMNS) + "\n").alias("text"))
+    prefix_banks.write_bank(rows.unionByName(heads), path, ["at"], ".csv.zst")
+    done = prefix_banks.read_puzzle_prefix(spark, path, banks.PUZZLE_COLUMNS, 40)
+    return done.select(F.regexp_extract("file", r"([^/.]+)\.csv\.zst$", 1).alias("file"), "record_no", "PuzzleId", "Rating", "FEN")
+
+
+@query(f"WITH {_GAMES} SELECT file, no AS game_no, k, white_elo::INT AS white_elo, has_eval FROM n")
+def numbered_split_games(spark, sf) -> DataFrame:
+    """Plain banks that are split over tasks; each game is numbered in its file by counts of its splits."""
+    path = scratch(spark)
+    games = table(spark, sf, "orders").select(F.concat(F.lit("bank-"), F.col("o_orderkey") % 5).alias("file"), "o_orderkey", game_text().alias("text"))
+    prefix_banks.write_bank(games, path, ["o_orderkey"], ".pgn")
+    rows = banks.read_games(spark, path)
+    return rows.select(F.regexp_extract("file", r"([^/.]+)\.pgn$", 1).alias("file"), F.col("game_no").cast("long").alias("game_no"), F.regexp_extract("text", r'\[Site "(\d+)"\]', 1).cast("long").alias("k"), "white_elo", "has_eval")
+
+
 @query("""WITH f AS (SELECT n_regionkey AS r, n_nationkey AS n, n_name FROM nation) SELECT n, n_name FROM f WHERE r IN (0, 1, 3)""")
 def request_source_with_budget(spark, sf) -> DataFrame:
     """One request for each region within a budget of four, of which one is refused too often and one is made again."""

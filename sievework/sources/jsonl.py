@@ -53,8 +53,10 @@ def read_document(spark: SparkSession, path: str, schema: str | StructType) -> D
 
 
 def manifest(spark: SparkSession, path: str, schema: str | StructType, key: str = "video_id") -> DataFrame:
-    """A document that is a list, one row per key, the last duplicate wins."""
-    rows = read_document(spark, path, schema).withColumn("_at", F.monotonically_increasing_id())
+    """Documents that are lists, one row per key; the last duplicate wins, by the files' names and the place in them."""
+    if not _there(spark, path):
+        return read_document(spark, path, schema)
+    rows = _with_position(spark.read.schema(_schema(schema)).option("multiLine", True).json(path))
     return last_per_key(rows, [key], "_at").drop("_at")
 
 

@@ -26,14 +26,33 @@ def first_verified_stream(stream: DataFrame, item: str, number: str, ok: str, va
     return stream.groupBy(item).agg(F.min_by(F.when(good, F.col(value)), F.when(good, F.col(number))).alias(value), F.min(F.when(good, F.col(number))).alias(number))
 
 
-def append_unseen(stream: DataFrame, target: str, key: list[str], checkpoint: str):
-    """Runs to the end of what is there: rows whose key the target does not have are appended, each batch once."""
+def json_stream(spark: SparkSession, path: str, schema: str, files_at_once: int = 1) -> DataFrame:
+    """A folder of JSON lines as a stream, in the order of the files' times."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).json(path)
 
-    def write(batch: DataFrame, _: int) -> None:
-        from sievework.operators.incremental import append_new, read_or_empty
 
-        have = read_or_empty(batch.sparkSession, target, batch.schema)
-        marked = batch.withColumn("_o", F.monotonically_increasing_id())
-        append_new(marked, have, key, F.lit(True), "_o").drop("_o").write.mode("append").json(target)
+def append_unseen(stream: DataFrame, log_path: str, key: list[str], order: list[str], schema: str, checkpoint: str, writer: str) -> None:
+    """Runs to the end of what is there: of each key that the commit log does not have, the first row is appended.
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    Each batch is a transaction of the log, so that one which is run again after a crash adds nothing.
+    """
+    from sievework.sources.commits import CommitLog
+
+    def write(batch: DataFrame, number: int) -> None:
+        CommitLog(batch.sparkSession, log_path).append_once(batch, key, order, schema, (writer, number))
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def pending_units(units: DataFrame, kinds: DataFrame, done: DataFrame) -> DataFrame:
+    """Pairs of a unit and a kind that the log does not hold, without first making those of all units and kinds.
+
+    A unit's done kinds come together as one set (at most as many as there are kinds, a dimension of fixed size), and what
+    is missing from the whole set is what is exploded.
+    """
+    (unit,), (kind,) = units.columns, kinds.columns
+    every = kinds.agg(F.array_sort(F.collect_set(kind)).alias("every")).scalar()
+    held = done.join(kinds.distinct(), kind, "left_semi").groupBy(unit).agg(F.collect_set(kind).alias("held"))
+    left = units.distinct().join(held, unit, "left")
+    return left.select(unit, F.explode(F.array_except(every, F.coalesce("held", F.array().cast(held.schema["held"].dataType)))).alias(kind))
