@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
+
 from sievework.llm import collocations as col
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -58,6 +60,16 @@ def test_blocks_change_nothing(spark):
         assert {(r.key, r.n) for r in col.exploded(docs, block=block).groupBy("key").sum("n").withColumnRenamed("sum(n)", "n").collect()} == want
 
 
+def test_filter_knows_what_it_was_made_of(spark):
+    keys = [f"word {i}\ten" for i in range(3000)]
+    for most in (1 << 27, 1 << 10):  # the second is far too small, and still forgets nothing
+        filter_ = col.known(spark.createDataFrame([(k,) for k in keys], "key string"), most)
+        assert filter_.holds(pa.array(keys)).all()
+        if most > 1 << 20:
+            assert filter_.holds(pa.array([f"other {i}\ten" for i in range(3000)])).mean() < 0.02
+    assert not col.known(spark.createDataFrame([], "key string")).holds(pa.array(["x"])).any()
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     a, l, r = 3_000_000_007, 3_000_000_019, 4_000_000_007
     counts = spark.createDataFrame([("en", "x", 1, l), ("en", "y", 1, r), ("en", "x y", 2, a)], "lang string, gram string, order int, n long")
