@@ -158,32 +158,6 @@ def prioritised(rows: DataFrame, by: list[str], key: str, first: Column, most: i
     return ranked(rows, by, [hash_order(key, seed), key], "_p").where(F.col("_p") <= F.when(first, most).otherwise(others)).drop("_p")
 
 
-def greedy_quota(rows: DataFrame, tags: str, order: str, quotas: dict[str, int]) -> DataFrame:
-    """Adds tag: each row, in order, takes the first of its tags with quota left; rows without one go.
-
-    The rule is sequential over all rows, but a row matters only if it is among the first sum(quotas) that carry one of
-    its tags, so those candidates, bounded by the quotas and not by the table, go to one group.
-    """
-    total = sum(quotas.values())
-    known = F.array(*map(F.lit, quotas))
-    flat = rows.select(order, F.explode(F.array_intersect(tags, known)).alias("_t"))
-    near = ranked(flat, ["_t"], [order], "_p").where(F.col("_p") <= total).select(order).distinct()
-    some = rows.join(near, order, "left_semi").select(order, tags, F.lit(1).alias("_all"))
-
-    def run(pdf):
-        left, out = dict(quotas), []
-        for key, own in sorted(zip(pdf[order], pdf[tags]), key=lambda x: x[0]):
-            tag = next((t for t in own if left.get(t, 0) > 0), None)
-            if tag is not None:
-                left[tag] -= 1
-            out.append(tag)
-        pdf = pdf.sort_values(order)
-        pdf["tag"] = out
-        return pdf[pdf["tag"].notna()][[order, "tag"]]
-
-    return some.groupBy("_all").applyInPandas(run, f"{order} {dict(rows.dtypes)[order]}, tag string")
-
-
 def anonymised(rows: DataFrame, item: str, member: str, seed: int) -> DataFrame:
     """Adds label: A, B, ... in an order of the item's members that a hash fixes."""
     order = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(item).cast("string"), F.col(member).cast("string")), 256)

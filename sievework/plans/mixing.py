@@ -10,6 +10,7 @@ from sievework.functions import buckets as B
 from sievework.operators import incremental as I
 from sievework.operators import joins as J
 from sievework.operators import mix as X
+from sievework.operators import quotas as Q
 from sievework.operators import sampling as P
 from sievework.plans.fixtures import FACT, POOL, fact, pool
 from sievework.plans.registry import query
@@ -236,4 +237,4 @@ def ranking_label_resolution(spark, sf) -> DataFrame:
 def greedy_tag_quota(spark, sf) -> DataFrame:
     """Sequential by nature: each row in order takes the first of its tags that has quota left."""
     rows = table(spark, sf, "part").select("p_partkey", F.split("p_name", " ").alias("tags"))
-    return P.greedy_quota(rows, "tags", "p_partkey", {"ring": 20, "small": 30, "red": 25, "widget": 15})
+    return Q.greedy_quota(rows, "tags", "p_partkey", {"ring": 20, "small": 30, "red": 25, "widget": 15})

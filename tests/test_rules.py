@@ -105,6 +105,8 @@ def test_splits_are_exact_and_do_not_depend_on_partitions(spark):
 
 
 def test_greedy_quota_matches_a_loop(spark):
+    from sievework.operators.quotas import greedy_quota
+
     rows = spark.createDataFrame([(i, [t for t in ("a", "b", "c") if (i * 7 + ord(t)) % 3 == 0 or i % 5 == 0]) for i in range(200)], "k long, tags array<string>")
     quotas = {"a": 9, "b": 3, "c": 20}
     left, want = dict(quotas), []
@@ -113,7 +115,7 @@ def test_greedy_quota_matches_a_loop(spark):
         if t:
             left[t] -= 1
             want.append((r.k, t))
-    assert sorted(tuple(r) for r in P.greedy_quota(rows, "tags", "k", quotas).collect()) == want
+    assert sorted(tuple(r) for r in greedy_quota(rows, "tags", "k", quotas).collect()) == want
 
 
 def test_preference_pairs(spark):
