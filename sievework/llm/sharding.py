@@ -8,8 +8,9 @@ moves leave behind is used again, and a tally that only fits in part (a group la
 link, so they are left for the last step: shards above their count give them first, then group members, to those below,
 and every shard gets a gapless numbering from counts of (shard, hash) cells. The law is `rows`: counts at most one apart.
 
-Every row has a number of its own from the table that the work starts with, and all hashes are of that number, so rows
-that share a doc_id, or have none, are dealt and admitted one by one.
+Every row has a number of its own, a hash of its doc_id, its text and how many such rows stand before it, and all hashes
+are of that number. So rows that share a doc_id, or have none, are dealt and admitted one by one, and the result depends on
+neither the files nor the partitions that the rows come in.
 
 Defined cases: a null text has size 1 and the checksum of no bytes, and null and empty texts are equal texts; repeated
 rows are documents each; null doc_ids are placed; an empty table gives an empty result; other columns are ignored.
@@ -21,17 +22,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievework.llm.common import drop, materialize, parts, text_of
+from sievework.llm.common import drop, materialize, text_of
 
 SHARDS, ROUNDS = 8, 6
 #: Hash cells that proposals of one target and gain are tallied by, and parts in a thousand of a cell that may be admitted.
 CELLS, SHARE = 32, 1000
+#: Parts that a shard's rows are numbered in, one after another.
+DEALS = 1024
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, group_id, size, text_crc32) of every row; row is a number of its own, group_id a hash of the text."""
+    """(row, doc_id, group_id, size, text_crc32) of every row; group_id is a hash of the text, and row one of doc_id, text and
+    how many such rows stand before it.
+
+    Rows that agree in doc_id and text are told apart by a number, and it makes no difference which of them has which. They
+    are counted by the input's split and the counts summed up, so that many such rows need not meet in one task.
+    """
     text = text_of().cast("string")
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("group_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    base = docs.select(F.monotonically_increasing_id().alias("at"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("group_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    base = materialize(base.withColumn("split", F.shiftright("at", 33)), "shard-read")
+    counts = base.groupBy("doc_id", "group_id", "split").agg(F.count("*").alias("n"))
+    along = Window.partitionBy("doc_id", "group_id").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("doc_id").alias("d"), F.col("group_id").alias("g"), F.col("split").alias("p"), F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"))
+    local = F.row_number().over(Window.partitionBy("doc_id", "group_id", "split").orderBy("at")) - 1
+    joined = base.withColumn("local", local).join(counts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("group_id") == F.col("g")) & (F.col("split") == F.col("p")))
+    row = F.xxhash64("doc_id", F.col("doc_id").isNull(), "group_id", "size", F.col("before") + F.col("local"))
+    return joined.select(row.alias("row"), "doc_id", "group_id", "size", "text_crc32")
 
 
 def _cell(group: Column) -> Column:
@@ -109,7 +125,7 @@ def even_out(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     Rows are ranked in each shard, those that are not tied to others first. A shard above its count gives its first ranks.
     """
-    rows = rows.withColumn("prio", F.col("tied").cast("int")).withColumn("deal", F.pmod(F.xxhash64("row", F.lit(3)), F.lit(parts(rows.sparkSession))).cast("int"))
+    rows = rows.withColumn("prio", F.col("tied").cast("int")).withColumn("deal", F.pmod(F.xxhash64("row", F.lit(3)), F.lit(DEALS)).cast("int"))
     counts = materialize(rows.groupBy("shard", "prio", "deal").agg(F.count("*").alias("n")), "shard-cells")
     have = {r.shard: r.n for r in counts.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
     total = sum(have.values())

@@ -22,6 +22,38 @@ def test_even_counts_gapless_slots_and_whole_groups(spark):
     assert cut < 0.1 * linked
 
 
+def test_files_and_partitions_change_nothing(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(i, f"text {rng.randint(0, 300)}") for i in range(500)] + [(None, "same")] * 90 + [(3, "same")] * 60 + [(None, None), (None, "")] * 5
+    seen = []
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for files, parts in ((1, "8"), (7, "8"), (3, "5")):
+            path = str(tmp_path / f"docs-{files}")
+            rng.shuffle(rows)
+            spark.createDataFrame(rows, "doc_id long, text string").repartition(files).write.parquet(path)
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            seen.append(sorted((tuple(r) for r in S.shard(spark.read.parquet(path)).select("doc_id", "group_id", "shard", "slot").collect()), key=str))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == len(rows)
+
+
+def test_cut_links_are_near_the_least_possible(spark):
+    """Groups that fit into shards need no cut at all; a group larger than a shard loses what does not fit."""
+    rng = random.Random(8)
+    sizes = [2] * 60 + [5] * 40 + [20] * 8 + [250]
+    rows = [(1000 * g + i, f"group {g}") for g, n in enumerate(sizes) for i in range(n)] + [(10**6 + i, f"alone {i}") for i in range(270)]
+    rng.shuffle(rows)
+    got = S.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    where = {}
+    for r in got:
+        where.setdefault(r.group_id, []).append(r.shard)
+    apart = sum(len(x) - max(x.count(s) for s in set(x)) for x in where.values())
+    least = 250 - -(-len(rows) // 8)
+    assert apart <= least + 0.1 * sum(sizes)
+
+
 def test_no_documents(spark):
     assert S.shard(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
