@@ -34,9 +34,10 @@ def interleaved(rows: DataFrame, by: str, order: list, position: str = "at") ->
     """Adds position: the i-th of each bucket come together, in bucket order, from 0, without a global sort in one task.
 
     The position of place p of a bucket is the sum over buckets of min(their size, p - 1), plus those before it that have
-    a p-th row; bucket sizes are a small table.
+    a p-th row; bucket sizes are a small table. Places come from counted cells of the first order column, so no task holds a
+    bucket.
     """
-    sized = ranked(rows, [by], order, "_p")
+    sized = places(rows, [by], order[0], order[1:], "_p")
     counts = rows.groupBy(by).agg(F.count("*").alias("_n"))
     sizes = counts.agg(F.array_sort(F.collect_list(F.struct(by, "_n"))).alias("_sizes"))
     p = F.col("_p")

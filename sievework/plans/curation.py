@@ -80,10 +80,11 @@ def first_clean_copy(spark, sf) -> DataFrame:
 @query("""WITH r AS (SELECT doc_id, source, lang, n_chars % 7 AS move FROM documents) SELECT lang, count(*) FILTER (WHERE a = 1) AS by_board_move, count(*) FILTER (WHERE b = 1) AS by_all
   FROM (SELECT *, row_number() OVER (PARTITION BY source, move ORDER BY doc_id) AS a, row_number() OVER (PARTITION BY source, lang, move ORDER BY doc_id) AS b FROM r) GROUP BY lang""")
 def configurable_dedup_key(spark, sf) -> DataFrame:
+    """How many documents of each language are the first of their key, by both keys; minima merge, so no key needs one task."""
     rows = table(spark, sf, "documents").withColumn("move", F.col("n_chars") % 7)
-    place = lambda mode: F.row_number().over(Window.partitionBy(*G.dedup_key(mode, "source", "lang", "move")).orderBy("doc_id"))
-    rows = rows.withColumn("a", place("board_move")).withColumn("b", place("all"))
-    return rows.groupBy("lang").agg(F.count_if(F.col("a") == 1).alias("by_board_move"), F.count_if(F.col("b") == 1).alias("by_all"))
+    first = lambda mode: rows.groupBy(*G.dedup_key(mode, "source", "lang", "move")).agg(F.min_by(F.struct("lang"), "doc_id").alias("one")).groupBy(F.col("one.lang").alias("lang")).agg(F.count("*").alias("n"))
+    both = first("board_move").select("lang", F.col("n").alias("a"), F.lit(0).alias("b")).unionByName(first("all").select("lang", F.lit(0).alias("a"), F.col("n").alias("b")))
+    return both.groupBy("lang").agg(F.sum("a").alias("by_board_move"), F.sum("b").alias("by_all"))
 
 
 @query(f"WITH {_GATED}, {_HELD} SELECT lang, count(*) AS n FROM gated ANTI JOIN held USING (key) GROUP BY lang")
@@ -104,10 +105,10 @@ def union_of_exclusion_keys(spark, sf) -> DataFrame:
     return of("quality = 0").union(of("toxic = 1")).distinct().groupBy("source", "lang").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_custkey AS key FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_nationkey < 20")
+@query("SELECT doc_id AS key FROM documents EXCEPT SELECT doc_id FROM labels")
 def difference_of_pools(spark, sf) -> DataFrame:
-    reserved = table(spark, sf, "customer").where("c_nationkey < 20").select(F.col("c_custkey").alias("key"))
-    return table(spark, sf, "orders").select(F.col("o_custkey").alias("key")).subtract(reserved)
+    """Documents of which nothing was said."""
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("key")).subtract(table(spark, sf, "labels").select("doc_id"))
 
 
 @query("SELECT s_nationkey AS nation, bool_and(s_nationkey IN (SELECT c_nationkey FROM customer)) AS covered FROM supplier GROUP BY 1")

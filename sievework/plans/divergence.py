@@ -138,7 +138,7 @@ def gap_eligibility(spark, sf) -> DataFrame:
     return g.select("gid", D.eligible(F.col("best_cp"), F.col("mate"), F.col("n_sound"), F.col("n_disc"), 500).alias("eligible"))
 
 
-@query("""WITH RECURSIVE r AS (SELECT o_orderkey AS k, o_orderpriority[1:1] AS stratum, CAST(floor(o_totalprice) AS BIGINT) % 7 AS bucket FROM orders WHERE floor(o_totalprice)::BIGINT % 7 <> 5 OR o_orderkey % 40 = 1),
+@query("""WITH RECURSIVE r AS (SELECT o_orderkey AS k, o_orderpriority[1:1] AS stratum, CASE WHEN floor(o_totalprice)::BIGINT % 7 = 5 AND o_orderkey % 40 <> 1 THEN 6 ELSE floor(o_totalprice)::BIGINT % 7 END AS bucket FROM orders),
   q AS (SELECT *, row_number() OVER (PARTITION BY stratum, bucket ORDER BY k) AS place FROM r), s AS (SELECT stratum, bucket, count(*) AS n, min(k) AS first FROM q WHERE place <= 30 GROUP BY ALL),
   o AS (SELECT *, CASE bucket WHEN 3 THEN 0 WHEN 5 THEN 1 WHEN 0 THEN 2 ELSE 3 END AS pref FROM s),
   sim AS (SELECT stratum, list(bucket ORDER BY pref, first) AS names, list(n ORDER BY pref, first) AS left_, list(0::BIGINT ORDER BY pref, first) AS used, 0 AS turn, NULL::BIGINT AS bucket, NULL::BIGINT AS place FROM o GROUP BY stratum
@@ -149,7 +149,7 @@ def gap_eligibility(spark, sf) -> DataFrame:
 def library_round_robin(spark, sf) -> DataFrame:
     """Thirty of each stratum in turns over its buckets, three of which are preferred; emptied buckets leave the circle."""
     price = F.floor("o_totalprice")
-    rows = table(spark, sf, "orders").where((price % 7 != 5) | (F.col("o_orderkey") % 40 == 1)).select(F.col("o_orderkey").alias("k"), F.substring("o_orderpriority", 1, 1).alias("stratum"), (price % 7).alias("bucket"))
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.substring("o_orderpriority", 1, 1).alias("stratum"), F.when((price % 7 == 5) & (F.col("o_orderkey") % 40 != 1), 6).otherwise(price % 7).alias("bucket"))
     return D.drained_round_robin(rows, "stratum", "bucket", "k", [3, 5, 0], 30).select("k", "stratum", "bucket", "turn")
 
 

@@ -187,17 +187,19 @@ def last_wins_union(spark, sf) -> DataFrame:
     return J.last_per_key(events, ["user_id", "event_type"], "event_id").select("user_id", "event_type", F.col("event_id").alias("last_id"), "value")
 
 
-@query("""SELECT o_orderkey, c_name IS NOT NULL AS matched FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_nationkey < 12) ON o_custkey = c_custkey""")
+@query("""SELECT doc_id, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AS matched FROM documents d""")
 def equi_join_skipped(spark, sf) -> DataFrame:
-    some = table(spark, sf, "customer").where("c_nationkey < 12").select("c_custkey", "c_name")
-    return table(spark, sf, "orders").join(some, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.col("c_name").isNotNull().alias("matched"))
+    """Documents, and whether anything was said of them."""
+    known = table(spark, sf, "labels").select(F.col("doc_id").alias("known")).distinct()
+    return table(spark, sf, "documents").join(known, F.col("doc_id") == F.col("known"), "left").select("doc_id", F.col("known").isNotNull().alias("matched"))
 
 
-@query("""SELECT coalesce(s.s_nationkey, c.c_nationkey) AS nation, s.n AS suppliers, c.n AS customers FROM (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_nationkey % 2 = 0 GROUP BY 1) s FULL JOIN (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_nationkey % 3 = 0 GROUP BY 1) c ON s_nationkey = c_nationkey""")
+@query("""SELECT coalesce(s.s_suppkey, o.o_custkey) AS key, s.s_name AS supplier, o.n AS orders FROM supplier s FULL JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON s_suppkey = o_custkey""")
 def either_side_lookup(spark, sf) -> DataFrame:
-    s = table(spark, sf, "supplier").where("s_nationkey % 2 = 0").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("suppliers"))
-    c = table(spark, sf, "customer").where("c_nationkey % 3 = 0").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("customers"))
-    return s.join(c, "nation", "full_outer").select("nation", "suppliers", "customers")
+    """Suppliers and counts of orders by one key, of which either side may have none."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("supplier"))
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.count("*").alias("orders"))
+    return s.join(o, "key", "full_outer").select("key", "supplier", "orders")
 
 
 @query("""SELECT o_orderkey, coalesce(CASE WHEN c_acctbal > 0 THEN c_name END, o_orderstatus, 'none') AS target FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")

@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 #: Modules that hold named queries; each registers its own on import.
-MODULES: tuple[str, ...] = ("banding", "curation", "evaluation", "mixing", "coaching", "reports", "candidates", "divergence", "files", "logs", "scale")
+MODULES: tuple[str, ...] = ("banding", "curation", "evaluation", "mixing", "coaching", "reports", "candidates", "divergence", "files", "logs", "scale", "exports")
 
 _QUERIES: dict[str, Callable] = {}
 _ORACLES: dict[str, str] = {}
