@@ -37,14 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
     """Writes df to a table in the shared folder and reads it back: a cut of the lineage that survives lost executors.
 
+    With `by`, the table lies in a folder for each value of these columns, so that a test of them reads no other.
+
     The folder goes when the driver's JVM ends; drop() removes it before that.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sievework/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

@@ -1,7 +1,7 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A run is a table (h1, h2, n), bucketed and sorted by hash: n documents of the run's batches hold a line of that key. Each
-new batch hashes its documents' distinct lines, leaves out (merge anti-join) the keys that earlier runs already settled
+new batch brings its documents' distinct line hashes (all texts are hashed in one reading), leaves out (merge anti-join) the keys that earlier runs already settled
 as common, and adds the rest as a run of level 0. When a level holds `fanout` runs they are compacted into one run of the
 next level: buckets are merged as they lie, without a new shuffle, counts of equal keys are summed, and keys that reach
 the threshold move to the settled run. Totals over all runs are exact, so the common keys are those of exactly the lines
@@ -27,7 +27,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -57,18 +57,22 @@ def _hash_columns(raw: bytes | bytearray) -> list[np.ndarray]:
     return [both[:, i].astype(np.int64) for i in range(2)]
 
 
-def _hashed(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(h1, h2, n): how many documents of each slice of a batch hold each key."""
+def _hashed(docs: DataFrame, min_chars: int, batch_of: Column | None = None) -> DataFrame:
+    """(batch, h1, h2, n): how many documents of each batch of a slice hold each key; all are batch 0 unless told."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen: dict[bytes, int] = {}
-        for text in batch.column(0).cast(pa.binary()):
+        seen: dict[int, dict[bytes, int]] = {}
+        for b, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+            own = seen.setdefault(b, {})
             for k in set(line_keys(text.as_py() or b"", min_chars)):
                 if k is not None:
-                    seen[k] = seen.get(k, 0) + 1
-        return pa.RecordBatch.from_arrays([*map(pa.array, _hash_columns(b"".join(seen))), pa.array(seen.values(), pa.int64(), size=len(seen))], ["h1", "h2", "n"])
+                    own[k] = own.get(k, 0) + 1
+        size = [len(own) for own in seen.values()]
+        numbers = pa.array(np.repeat(list(seen), size).astype(np.int32)), pa.array([n for own in seen.values() for n in own.values()], pa.int64())
+        return pa.RecordBatch.from_arrays([numbers[0], *map(pa.array, _hash_columns(b"".join(k for own in seen.values() for k in own))), numbers[1]], ["batch", "h1", "h2", "n"])
 
-    return map_batches(docs.select(F.col("text").cast("string")), one, "h1 long, h2 long, n long")
+    rows = docs.select((F.lit(0) if batch_of is None else batch_of).cast("int").alias("batch"), F.col("text").cast("string").alias("text"))
+    return map_batches(rows, one, "batch int, h1 long, h2 long, n long")
 
 
 class LineRuns:
@@ -84,7 +88,11 @@ class LineRuns:
 
     def add(self, batch: DataFrame) -> None:
         """Adds one batch of documents; each of its rows must be added once."""
-        rows = _hashed(batch, self.min_chars).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+        self.add_hashed(_hashed(batch, self.min_chars))
+
+    def add_hashed(self, hashed: DataFrame) -> None:
+        """Adds one batch whose lines are hashed (h1, h2, n)."""
+        rows = hashed.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
         if self.settled is not None:
             rows = rows.join(self.settled.hint("merge"), ["h1", "h2"], "left_anti")
         self._put(0, self._run(rows))
@@ -190,11 +198,16 @@ def _unpacked(label: str, flat: bytes) -> set[bytes]:
 
 
 def common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = BATCHES) -> DataFrame:
-    """(h1, h2) of the lines found in at least min_docs rows of docs, fed to the runs batch by batch."""
+    """(h1, h2) of the lines found in at least min_docs rows of docs, fed to the runs batch by batch.
+
+    Texts are hashed in one reading, to a table by batch, from which the batches are added.
+    """
     runs = LineRuns(docs.sparkSession, min_docs, min_chars)
     deal = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(batches))
+    hashed = materialize(_hashed(docs, min_chars, deal), "line-hashes", ["batch"])
     for b in range(batches):
-        runs.add(docs.where(deal == b))
+        runs.add_hashed(hashed.where(F.col("batch") == b))
+    drop(hashed)
     return materialize(runs.common(), "line-common")
 
 

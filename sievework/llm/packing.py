@@ -211,7 +211,7 @@ def plan_of(spark: SparkSession, counts: dict[int, int], size: int = SIZE) -> Da
 def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """pieces (with doc_id, piece, length, ids_crc32) and their sequence_id and offset."""
     spark = pieces.sparkSession
-    deal = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts(spark))).cast("int")
+    deal = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts(spark))).cast("int")
     dealt = materialize(pieces.withColumn("deal", deal), "pieces")
     counts = dealt.groupBy("length", "deal").agg(F.count("*").alias("n"))
     per_length = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows

@@ -49,7 +49,7 @@ def test_query_anti_joins_later_batches_with_settled_keys(spark, tmp_path, monke
     rows = sample(150)
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     settled = []
-    monkeypatch.setattr(D.LineRuns, "add", lambda runs, batch, f=D.LineRuns.add: settled.append(runs.settled is not None and runs.settled.count() > 0) or f(runs, batch))
+    monkeypatch.setattr(D.LineRuns, "add_hashed", lambda runs, batch, f=D.LineRuns.add_hashed: settled.append(runs.settled is not None and runs.settled.count() > 0) or f(runs, batch))
     got = sorted((tuple(r) for r in D.op7_line_dedup(spark, str(tmp_path)).collect()), key=str)
     assert got == brute(rows, 10, 1)
     assert any(settled)
