@@ -10,9 +10,18 @@ from sievework.functions import text as T
 from sievework.plans.registry import query
 from sievework.plans.sqltext import run_sql
 from sievework.session import table
-from sievework.sources import banks, captions, jsonl, prefix_banks
+from sievework.sources import banks, captions, frontier, jsonl, prefix_banks
 from sievework.sources.shared import scratch
 
+@query("""WITH l AS (SELECT unnest(['src3', 'src1', 'src7', 'src1']) AS source, generate_subscripts(['src3', 'src1', 'src7', 'src1'], 1) AS p), d AS (SELECT source, lang AS level, n_chars AS id, min(p) AS p FROM documents JOIN l USING (source) GROUP BY ALL),
+  f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p, level) AS one FROM d) WHERE one = 1), r AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY id) AS place FROM f WHERE level IN ('en', 'fr', 'de'))
+  SELECT source, level, id FROM r WHERE place <= 40""")
+def fixed_sources(spark, sf) -> DataFrame:
+    """Rows of a fixed list of sources, of which two may share an id; each of three levels up to forty."""
+    rows = table(spark, sf, "documents").select("source", F.col("lang").alias("level"), F.col("n_chars").alias("id"))
+    return frontier.fixed_ids(rows, ["src3", "src1", "src7", "src1"], 40, ("en", "fr", "de")).select("source", "level", "id")
+
+
 _TURNS = """t AS (SELECT conv_id::VARCHAR AS video, turn, role || ' ' || (turn // 3) || CASE WHEN turn % 2 = 0 THEN ' &amp; more' ELSE '' END AS line FROM conversations)"""
 
 

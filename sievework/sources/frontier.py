@@ -12,6 +12,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from sievework.sources.shared import written
+
 MAX_WAIT = 90.0
 
 
@@ -123,13 +125,16 @@ def crawl_to_targets(extracts: DataFrame, meets: DataFrame, seeds: DataFrame, ta
 
 
 def spark_rows(small: DataFrame) -> DataFrame:
-    """A round's few rows (bounded by per_round or the targets) as a table of their own, so that plans do not grow."""
-    return small.sparkSession.createDataFrame(small.collect(), small.schema)
+    """A round's rows as a table of their own in the shared folder, so that plans do not grow and nothing passes the driver."""
+    return written(small, "crawl")
 
 
 def fixed_ids(extracts: DataFrame, ids: list[str], count: int, levels: tuple[str, ...]) -> DataFrame:
-    """Without a crawl: the rows of a fixed list of sources, each level up to the whole count; the first row of an id stays."""
+    """Without a crawl: the rows of a fixed list of sources, each level up to the whole count; of an id that several sources
+    have, the row of the source that is listed first stays."""
     from sievework.sources.banks import up_to_targets
 
-    rows = extracts.where(F.col("source").isin(list(dict.fromkeys(ids)))).dropDuplicates(["id"])
+    listed = F.array(*map(F.lit, dict.fromkeys(ids)))
+    rows = extracts.where(F.col("source").isin(list(dict.fromkeys(ids))))
+    rows = rows.groupBy("id").agg(F.min_by(F.struct(*extracts.columns), F.struct(F.array_position(listed, F.col("source")).alias("p"), "level")).alias("one")).select("one.*")
     return up_to_targets(rows, "level", "id", {x: count for x in levels})
