@@ -3,14 +3,14 @@
 Every text becomes the set of its shingles' hashes; texts of one set are one node. Of two sets of the likeness the larger
 must have, among its first fifth in any one order of shingles, one of the smaller's first ninth (prefix filter), so nodes
 are dealt by those shingles and no pair is missed. The order puts shingles that a sample finds common last: groups stay
-small, whatever is sampled. Inside a group pairs are left out whose sizes, or whose sketches (parities of 256 cells, which
+small, whatever is sampled. Inside a group pairs are left out whose sizes, or whose sketches (parities of 512 cells, which
 bound from below how many shingles two sets do not share), rule the likeness out. What is left is verified on the texts'
 shingle sets.
 
-Verification goes in three rounds, so that dense groups come together by few pairs: the links of the SimHash components;
-each node with the one in each of its groups that most others there may be like (near the text that they were made from);
-all pairs that are still in different components. Pairs inside a component change nothing, so components are those of all
-links.
+Verification goes in rounds, so that dense groups come together by few pairs: the links of the SimHash components; then,
+again and again while that finds links, each node with the few likeliest of each of its groups in other components (the one
+that most others may be like, and those whose sketches are nearest); at last all pairs that are still in different
+components. Pairs inside a component change nothing, so components are those of all links.
 
 Defined cases: as in simhash, and texts without words are one node; fewer words than a shingle has make one shingle. A
 row is known by its doc_id and a hash of all its columns, so rows that share a doc_id, or have none, are documents each.
@@ -35,6 +35,11 @@ WORDS = 5
 OVER, UNDER = 4, 5
 #: Documents sampled for common shingles; how often a shingle is common; shingles kept (16 bytes each on the driver).
 SAMPLE, COMMON, MOST = 20_000, 4, 200_000
+#: Cells of a sketch.
+CELLS = 512
+#: In a round of likeliest pairs: pairs for each node of a group; rounds at most; they end when fewer than one pair in so
+#: many is a link.
+NEAREST, ROUNDS, WORTH = 3, 4, 20
 #: Pairs that a task holds before it sends them on.
 CHUNK = 1 << 20
 
@@ -59,7 +64,7 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketch(own: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((own & np.uint64(255)).astype(np.int64), minlength=256) & 1).tobytes()
+    return np.packbits(np.bincount((own & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1).tobytes()
 
 
 def prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -169,15 +174,15 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from rows.filter(pa.array(keep)).to_batches()
 
 
-def _steps(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places, in each step each place at most once on either side, of nodes of different labels that may have
+def _steps(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of places, and in how many cells their sketches differ, in each step each place at most once on either side, of nodes of different labels that may have
     the likeness, over rows (h, node, size, label, sketch) in the order of _by_size."""
     size, label = rows.column(2).to_numpy(), rows.column(3).to_numpy()
     n, is_inner = size >> 1, (size & 1).astype(bool)
     h = rows.column(0).to_numpy()
     ends = np.concatenate([np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
     left = ends[np.searchsorted(ends, np.arange(len(h)), side="right")] - np.arange(len(h))
-    cells = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint64).reshape(-1, 4)
+    cells = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint64).reshape(len(h), -1)
     at, step = np.flatnonzero(is_inner), 0
     while True:
         step += 1
@@ -188,13 +193,41 @@ def _steps(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         good = label[at] != label[at + step]
         x = at[good]
         y = x + step
-        good = (OVER + UNDER) * np.bitwise_count(cells[x] ^ cells[y]).sum(axis=1, dtype=np.int64) <= (UNDER - OVER) * (n[x] + n[y])
-        yield x[good], y[good]
+        apart = np.bitwise_count(cells[x] ^ cells[y]).sum(axis=1, dtype=np.int64)
+        good = (OVER + UNDER) * apart <= (UNDER - OVER) * (n[x] + n[y])
+        yield x[good], y[good], apart[good]
+
+
+def _likeliest(rows: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each place the one of its group that most others may be like, and those NEAREST whose sketches differ least for
+    their sizes."""
+    n = rows.column(2).to_numpy() >> 1
+    node = rows.column(1).to_numpy()
+    degree = np.zeros(len(node), np.int64)
+    near, far = np.full((len(node), NEAREST), -1), np.full((len(node), NEAREST), np.inf)
+    for x, y, apart in _steps(rows):
+        degree[x] += 1
+        degree[y] += 1
+        share = apart / (n[x] + n[y])
+        for i, j in ((x, y), (y, x)):  # a place is at most once on either side, so rows of i are distinct
+            worse = far[i].argmax(axis=1)
+            better = share < far[i, worse]
+            at, slot = i[better], worse[better]
+            far[at, slot], near[at, slot] = share[better], j[better]
+    best = np.full(len(node), -1)
+    for x, y, _ in _steps(rows):
+        for i, j in ((x, y), (y, x)):
+            was = best[i]
+            better = (was < 0) | (degree[j] > degree[was]) | (degree[j] == degree[was]) & (node[j] < node[was])
+            best[i[better]] = j[better]
+    every = np.concatenate([best[:, None], near], axis=1)
+    x, k = np.nonzero(every >= 0)
+    return [(x, every[x, k])]
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], star: bool) -> Iterator[pa.RecordBatch]:
     """Over rows (h, node, size, label, sketch): pairs of nodes of different labels that may have the likeness; with
-    `star` of each node only that with the one that may be like most others of the group."""
+    `star` only the likeliest few of each node."""
 
     def flush(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
         one, two = np.concatenate(a), np.concatenate(b)
@@ -205,22 +238,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], star: bool) -> Iterator[pa.RecordB
     for rows in _whole_groups(batches):
         rows, _, _ = _by_size(rows)
         node = rows.column(1).to_numpy()
-        if star:
-            degree = np.zeros(len(node), np.int64)
-            for x, y in _steps(rows):
-                degree[x] += 1
-                degree[y] += 1
-            best = np.full(len(node), -1)
-            for x, y in _steps(rows):
-                for i, j in ((x, y), (y, x)):
-                    was = best[i]
-                    better = (was < 0) | (degree[j] > degree[was]) | (degree[j] == degree[was]) & (node[j] < node[was])
-                    best[i[better]] = j[better]
-            x = np.flatnonzero(best >= 0)
-            found = [(x, best[x])]
-        else:
-            found = _steps(rows)
-        for x, y in found:
+        for x, y in _likeliest(rows) if star else ((x, y) for x, y, _ in _steps(rows)):
             a.append(node[x])
             b.append(node[y])
             many += len(x)
@@ -288,10 +306,15 @@ def rooted(docs: DataFrame, bits: int = 6) -> DataFrame:
     centres = texts.join(stands, "fingerprint").select("node", "root")
     centres = centres.withColumnRenamed("node", "b").join(centres.groupBy("root").agg(F.min("node").alias("a")), "root").where("a <> b").select("a", "b")
     links = materialize(_verified(centres, texts), "near-links")
-    tried = materialize(proposed(labelled(links, "near-components"), True), "near-tried")
-    links = links.union(materialize(_verified(tried, texts), "near-links-2"))
+    tried = centres.where("a is null").select("a", "b")
+    for i in range(ROUNDS):
+        pairs = materialize(proposed(labelled(links, f"near-components-{i}"), True).join(tried, ["a", "b"], "left_anti"), f"near-tried-{i}")
+        found = materialize(_verified(pairs, texts), f"near-links-{i}")
+        links, tried = links.union(found), tried.union(pairs)
+        if found.count() * WORTH < pairs.count() or pairs.isEmpty():
+            break
     rest = materialize(proposed(labelled(links, "near-more"), False).join(tried, ["a", "b"], "left_anti"), "near-rest")
-    links = links.union(materialize(_verified(rest, texts), "near-links-3"))
+    links = links.union(materialize(_verified(rest, texts), "near-links-rest"))
     roots = components(links, "near-all")
     return materialize(marks.select("doc_id", "row", "node").join(roots, "node", "left").select("doc_id", "row", F.coalesce("root", "node").alias("root")), "near-roots")
 

@@ -90,6 +90,27 @@ def test_dense_group_comes_together_by_few_pairs(spark, monkeypatch):
     assert sorted(map(tuple, got)) == brute(rows) and sum(asked) < 150 * 149 / 4
 
 
+def test_pairs_looked_at_grow_with_the_family_not_with_its_square(spark, monkeypatch):
+    """Versions of one text of which few pairs link: all come together, and texts are compared for a few pairs a version."""
+    asked = []
+    own = N._verified
+    monkeypatch.setattr(N, "_verified", lambda pairs, texts: asked.append(pairs.count()) or own(pairs, texts))
+    looked = {}
+    for n in (150, 600):
+        rng = random.Random(n)
+        rows = []
+        for i in range(n):
+            text = [f"w{j}" for j in range(300)]
+            for at in rng.sample(range(300), 4):
+                text[at] = f"x{rng.getrandbits(40)}"
+            rows.append((i, " ".join(text)))
+        asked.clear()
+        got = N.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(map(tuple, got)) == brute(rows)
+        looked[n] = sum(asked)
+    assert looked[600] < looked[150] * 4**1.3
+
+
 def test_very_long_text(spark):
     rng = random.Random(5)
     long = [f"w{rng.randrange(5000)}" for _ in range(300_000)]

@@ -5,7 +5,7 @@ import tiktoken
 
 import corpus_pipeline as P
 from sievework.llm import bpe, linededup, quality, toxicity
-from tests.llm.test_simhash import brute_components
+from tests.llm.test_nearcopies import brute as brute_near
 
 OWN = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path(bpe.RANKS)), special_tokens={})
 
@@ -63,7 +63,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert {i: linededup._kept(t.encode(), {k for k in linededup.line_keys(b"Shared footer line", 1)}, 1)[0].decode() for i, t in before.items()} == after
     # Near-duplicates: the smallest doc_id of each component.
     before, after = map(texts, seen["near_dedup"])
-    assert set(after) == {i for i, _, c in brute_components(sorted(before.items()), P.NEAR_BITS) if i == c}
+    assert set(after) == {i for i, c in brute_near(sorted(before.items())) if i == c}
     # Packing: every token once.
     before = texts(seen["packing"][0])
     pieces = seen["packing"][1].collect()
