@@ -12,8 +12,10 @@ again and again while that finds links, each node with the few likeliest of each
 that most others may be like, and those whose sketches are nearest); at last all pairs that are still in different
 components. Pairs inside a component change nothing, so components are those of all links.
 
-Defined cases: as in simhash, and texts without words are one node; fewer words than a shingle has make one shingle. A
-row is known by its doc_id and a hash of all its columns, so rows that share a doc_id, or have none, are documents each.
+Defined cases: a null text is an empty one; texts without words are one node; fewer words than a shingle has make one
+shingle; equal texts are one node however many rows have them. A row is known by its doc_id and a hash of all its columns,
+so rows that share a doc_id, or have none, are documents each; a doc_id must be a whole number. An empty table gives an
+empty result; other columns are kept by keep_one whatever their names, and ignored by near_copies.
 """
 
 from __future__ import annotations
