@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a DataFrame; all but the
 last return the columns of documents. Labels are read from sf_dir.
+
+Defined cases of all stages: a null text counts as empty; rows are documents even if they share a doc_id or have none, and
+rows that agree in all columns are documents each until near-dedup keeps one of them; columns beside those of documents are
+dropped at once, so their names cannot clash; an empty table gives an empty result with the same columns.
 """
 
 from __future__ import annotations
@@ -26,12 +30,12 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. One without words is never kept; a text with both labels counts as bad."""
     return quality.keep_good(docs.select(*COLUMNS), _labels(spark, sf_dir))
 
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not scored as toxic."""
+    """Documents that are not scored as toxic. One without words is scored as one without evidence."""
     return toxicity.reject_toxic(docs.select(*COLUMNS), _labels(spark, sf_dir))
 
 
@@ -42,12 +46,13 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked at a five-word Jaccard of 0.8 or more: the one with the smallest doc_id."""
+    """One document of each group linked at a five-word Jaccard of 0.8 or more: the one with the smallest doc_id (null last),
+    then of the smallest hash. Texts without words are copies of each other."""
     return nearcopies.keep_one(docs.select(*COLUMNS), NEAR_BITS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document, with its sequence and offset."""
+    """Every piece of every document, with its sequence and offset. An empty text is the end token alone."""
     return packing.pack_documents(docs)
 
 
