@@ -24,11 +24,21 @@ def held_out(rows: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
 
 
 def pending(units: list[DataFrame], done: DataFrame, key: list[str]) -> DataFrame:
-    """Every combination of the (small) unit tables that is not done yet."""
-    every = units[0]
-    for more in units[1:]:
-        every = every.crossJoin(more)
-    return every.join(done.select(*key).distinct(), key, "left_anti")
+    """Every combination of the unit tables that is not done yet; the first may be large, the others are dimensions of fixed size.
+
+    The dimensions' combinations are one array. What a unit has done comes together as a set, at most as large as that
+    array, and only what is missing from the array is made rows: no combination is shuffled. A null in a key is a value.
+    """
+    first, dims = units[0].select(key[0]).distinct(), key[1:]
+    if not dims:
+        return first.exceptAll(done.select(key[0]).distinct())
+    rest = units[1].select(dims[0]).distinct()
+    for name, more in zip(dims[1:], units[2:]):
+        rest = rest.crossJoin(more.select(name).distinct())
+    every = rest.agg(F.array_sort(F.collect_set(F.struct(*dims))).alias("every")).scalar()
+    held = done.groupBy(F.col(key[0]).alias("_unit")).agg(F.collect_set(F.struct(*dims)).alias("_held"))
+    left = first.join(held, F.col(key[0]).eqNullSafe(F.col("_unit")), "left").withColumn("_every", every)
+    return left.select(key[0], F.explode(F.array_except("_every", F.coalesce("_held", F.array().cast(left.schema["_every"].dataType)))).alias("_one")).select(key[0], *[F.col(f"_one.{c}").alias(c) for c in dims])
 
 
 def complete_items(rows: DataFrame, item: str, member: str, n_members: int) -> DataFrame:

@@ -155,10 +155,10 @@ def reused_board_collapse(spark, sf) -> DataFrame:
     return X.collapsed_boards(rows.select("k", "event_type", "event_id", "value", "synth"), "k", "event_id", "synth", ["value"]).select("k", F.col("event_type").alias("first_type"), "value")
 
 
-@query("""WITH u AS (SELECT u.k AS user_id, t.event_type FROM (SELECT DISTINCT user_id AS k FROM events) u CROSS JOIN (SELECT DISTINCT event_type FROM events) t) SELECT * FROM u EXCEPT SELECT user_id, event_type FROM events WHERE value > 20""")
+@query("""WITH u AS (SELECT u.k AS user_id, t.event_type FROM (SELECT DISTINCT user_id AS k FROM events) u CROSS JOIN (SELECT DISTINCT event_type FROM events) t) SELECT * FROM u EXCEPT SELECT user_id, event_type FROM events WHERE value > 90""")
 def resume_pending_units(spark, sf) -> DataFrame:
     events = table(spark, sf, "events")
-    return J.pending([events.select("user_id").distinct(), events.select("event_type").distinct()], events.where("value > 20"), ["user_id", "event_type"])
+    return J.pending([events.select("user_id").distinct(), events.select("event_type").distinct()], events.where("value > 90"), ["user_id", "event_type"])
 
 
 @query("""WITH a AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), b AS (SELECT user_id, min(n) FILTER (WHERE event_type = 'purchase') AS n, min_by(event_id, n) FILTER (WHERE event_type = 'purchase') AS v, min_by(event_id, n) AS pick, max(n) AS m FROM a WHERE n <= 6 GROUP BY user_id)

@@ -171,3 +171,18 @@ def test_telemetry_of_mixed_rows(spark):
     rows = [("a", True, True, True, 3), ("a", True, False, False, 2), ("a", None, None, None, None)]
     (r,) = council.resolution(spark.createDataFrame(rows, "model string, raw_fabricated boolean, gated_fabricated boolean, fallback boolean, attempts int"), "model").collect()
     assert (r.n, r.raw_rate, r.gated_rate, r.delta, r.mean_attempts, r.fabricated, r.by_model, r.by_fallback, r.still) == (3, 0.6667, 0.3333, -0.3334, 2.5, 2, 1, 1, 1)
+
+
+def test_pending_combinations(spark):
+    from sievework.operators import joins
+
+    users = spark.createDataFrame([(1,), (2,), (None,), (2,)], "u long")
+    kinds = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
+    modes = spark.createDataFrame([(0,), (1,)], "m int")
+    done = spark.createDataFrame([(1, "a", 0), (1, "a", 0), (None, None, 1), (2, "z", 0), (9, "a", 1)], "u long, k string, m int")
+    want = sorted(((u, k, m) for u in (1, 2, None) for k in ("a", "b", None) for m in (0, 1) if (u, k, m) not in {(1, "a", 0), (None, None, 1)}), key=str)
+    assert sorted((tuple(r) for r in joins.pending([users, kinds, modes], done, ["u", "k", "m"]).collect()), key=str) == want
+    two = joins.pending([users, kinds], done, ["u", "k"])
+    assert sorted((tuple(r) for r in two.collect()), key=str) == sorted(((u, k) for u in (1, 2, None) for k in ("a", "b", None) if (u, k) not in {(1, "a"), (None, None)}), key=str)
+    assert "Cross" not in two._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.u for r in joins.pending([users], done.where("u is null or u <> 2"), ["u"]).collect()] == [2]
