@@ -38,7 +38,7 @@ _CAND = f"""{_R}, c0 AS (SELECT k, ['beginner', 'intermediate', 'advanced', 'gra
   moves(b, san, uci) AS (VALUES (0, 'Nf3', 'g1f3'), (0, 'e4', 'e2e4'), (1, 'Bb5', 'f1b5'), (3, 'Bb5', 'e2b5'), (3, 'Bb5', 'x')),
   c2 AS (SELECT *, CASE WHEN fen <> '' AND (uci <> '' OR san <> '') THEN EXISTS (SELECT 1 FROM moves m WHERE m.b = c1.b AND (m.uci = c1.uci OR m.san = c1.san)) END AS legal,
     CASE WHEN coaching <> '' AND s = 4 AND b <> 1 AND fen <> '' THEN 1 ELSE 0 END AS false_, list_contains(pool, uci) AND uci <> '' AS sound, CASE tier WHEN 'beginner' THEN 2 WHEN 'intermediate' THEN 4 ELSE 6 END AS cap,
-    CASE WHEN coaching = '' THEN 0 WHEN s = 9 THEN 5 WHEN s IN (0, 1, 2, 4) THEN 1 ELSE 0 END AS run FROM c1)"""
+    CAST({run_sql('coaching')} AS INTEGER) AS run FROM c1)"""
 _LEAK = "regexp_matches({0}, '(?i)\\d+\\s*cp\\b|\\bcentipawns?\\b|\\beval|\\bengines?\\b|\\bstockfish\\b|\\bcomputers?\\b|#\\d|(^|[^A-Za-z0-9_])[+-]\\d')"
 
 

@@ -38,14 +38,15 @@ def verified_stream_answers(spark, sf) -> DataFrame:
     """One answer for each conversation, by a stateful stream that is stopped after half of its files and started again."""
     attempts, path, log, checkpoint = _attempts(spark, sf), scratch(spark), scratch(spark), scratch(spark)
     stream = lambda: verify.first_verified(verify.attempts_of(spark, path), 4, dt.timedelta(hours=1), "1 day")
+    stores = min(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     last = attempts.agg(F.max("number")).first()[0] or 0
     for i in range(last // 3 + 1):
         attempts.where(F.floor(F.col("number") / 3) == i).coalesce(1).write.mode("append").json(path)
         if i == 0:
-            verify.run_to_end(stream(), log, checkpoint, "answers")
+            verify.run_to_end(stream(), log, checkpoint, "answers", stores)
     for day in (40, 80):
         spark.createDataFrame([(END, day, dt.datetime(2024, 1, 1) + dt.timedelta(days=day), False, False, None, None, None)], verify.ATTEMPT).coalesce(1).write.mode("append").json(path)
-    verify.run_to_end(stream(), log, checkpoint, "answers")
+    verify.run_to_end(stream(), log, checkpoint, "answers", stores)
     return CommitLog(spark, log).read(verify.ANSWER).where(F.col("unit") != END).drop("due")
 
 

@@ -100,16 +100,21 @@ def first_verified(attempts: DataFrame, budget: int, patience: dt.timedelta = dt
     return stream.groupBy("unit").transformWithStateInPandas(FirstVerified(budget, patience), outputStructType=ANSWER, outputMode="append", timeMode="eventTime")
 
 
-def run_to_end(answers: DataFrame, log_path: str, checkpoint: str, writer: str) -> None:
-    """Runs a stream until what is there is read; each batch is appended to the commit log once, also after a restart."""
+def run_to_end(answers: DataFrame, log_path: str, checkpoint: str, writer: str, partitions: int | None = None) -> None:
+    """Runs a stream until what is there is read; each batch is appended to the commit log once, also after a restart.
+
+    `partitions` is in how many stores the state is kept, the session's shuffle partitions unless given; a checkpoint holds
+    it fixed, so it should fit the number of units, not of a day's attempts.
+    """
     from sievework.sources.commits import CommitLog
 
     def keep(batch: DataFrame, number: int) -> None:
         CommitLog(batch.sparkSession, log_path).append(batch, (writer, number))
 
     conf = answers.sparkSession.conf
-    before = {k: conf.get(k, None) for k in STORE}
-    for k, v in STORE.items():
+    settings = STORE | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    before = {k: conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         conf.set(k, v)
     try:
         query = answers.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
