@@ -2,7 +2,8 @@
 
 Every text becomes a 64-bit fingerprint. Fingerprints that differ in at most `bits` places link. To spread the search, the
 64 places are cut into blocks; two linked fingerprints agree on at least (blocks - bits) whole blocks, so each distinct
-fingerprint is dealt once for each choice of that many blocks, and a link is sure to meet in one of the groups.
+fingerprint is dealt once for each choice of that many blocks, and a link is sure to meet in one of the groups. This deal
+decides which fingerprints meet at all, and keeps most unlike ones apart; the index prunes what is left inside the groups.
 
 The search itself is the index. Members are sorted by (group, Gray rank); runs of up to FANOUT neighbours become nodes that
 hold the bits all their members share, runs of nodes become upper nodes, up to one root for each group. All groups of a
