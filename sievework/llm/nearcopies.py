@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import keep_least, map_batches, materialize, parts, raw_texts, row_hash, sorted_run
+from sievework.llm.common import drop, keep_least, map_batches, materialize, parts, raw_texts, row_hash, shuffles_freed, sorted_run
 from sievework.llm.simhash import SEED, components, linked, simhash
 
 #: Words of a shingle.
@@ -95,7 +95,8 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
 
     seen = map_batches(docs.where(share).select(F.col("text").cast("string")), one, "h long").groupBy("h").agg(F.count("*").alias("n"))
-    rows = seen.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(MOST).toArrow()
+    with shuffles_freed(docs.sparkSession):
+        rows = seen.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(MOST).toArrow()
     h, n = rows.column("h").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     rank = np.empty(len(h), np.int64)
     rank[np.lexsort((h, n))] = np.arange(len(h))
@@ -292,6 +293,8 @@ def rooted(docs: DataFrame, bits: int = 6) -> DataFrame:
     groups = sorted_run(grouped(rows).mapInArrow(_shared, "h long, node long, size int").repartition(parts(spark), "node"), "near_groups", ["node"])
     texts = marks.select("node", "sketch", "fingerprint", "text").join(groups.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     texts = sorted_run(texts, "near_texts", ["node"])
+    nodes = materialize(marks.select("doc_id", "row", "node"), "near-nodes")
+    drop(marks)  # what is held from here on are the texts that may have copies, once each
 
     def proposed(labels: DataFrame, star: bool) -> DataFrame:
         known = groups.join(labels, "node").select("h", "node", "size", "label", "sketch")
@@ -308,17 +311,22 @@ def rooted(docs: DataFrame, bits: int = 6) -> DataFrame:
     centres = texts.join(stands, "fingerprint").select("node", "root")
     centres = centres.withColumnRenamed("node", "b").join(centres.groupBy("root").agg(F.min("node").alias("a")), "root").where("a <> b").select("a", "b")
     links = materialize(_verified(centres, texts), "near-links")
+    written = [links]
     tried = centres.where("a is null").select("a", "b")
     for i in range(ROUNDS):
         pairs = materialize(proposed(labelled(links, f"near-components-{i}"), True).join(tried, ["a", "b"], "left_anti"), f"near-tried-{i}")
         found = materialize(_verified(pairs, texts), f"near-links-{i}")
         links, tried = links.union(found), tried.union(pairs)
+        written += [pairs, found]
         if found.count() * WORTH < pairs.count() or pairs.isEmpty():
             break
     rest = materialize(proposed(labelled(links, "near-more"), False).join(tried, ["a", "b"], "left_anti"), "near-rest")
-    links = links.union(materialize(_verified(rest, texts), "near-links-rest"))
-    roots = components(links, "near-all")
-    return materialize(marks.select("doc_id", "row", "node").join(roots, "node", "left").select("doc_id", "row", F.coalesce("root", "node").alias("root")), "near-roots")
+    found = materialize(_verified(rest, texts), "near-links-rest")
+    roots = components(links.union(found), "near-all")
+    out = materialize(nodes.join(roots, "node", "left").select("doc_id", "row", F.coalesce("root", "node").alias("root")), "near-roots")
+    for table in (groups, texts, nodes, rest, found, *written):
+        drop(table)
+    return out
 
 
 def near_copies(docs: DataFrame, bits: int = 6) -> DataFrame:

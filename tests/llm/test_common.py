@@ -1,9 +1,11 @@
 import bisect
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from sievework.llm import common
+from sievework.llm.common import FREES, materialize, sorted_run
 
 
 def test_find_edge_counts_edges_at_or_below(spark):
@@ -46,3 +48,21 @@ def test_slices_hold_bounded_bytes_and_all_rows():
     assert pa.Table.from_batches(parts).to_pydict() == pa.Table.from_batches([batch]).to_pydict() and len(parts) > 50
     assert all(sum(len(t or "") for t in p.column(1).to_pylist()) <= 15_000 or p.num_rows == 1 or "y" * 50_000 in p.column(1).to_pylist() for p in parts)
     assert common.free_names(["a", "_a", "B"], ["a", "b", "c"]) == ["__a", "_b", "c"]
+
+
+def _shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    """A stage of many written tables otherwise holds the shuffles of all of them until the driver collects its garbage."""
+    before, setting = _shuffle_files(spark), spark.conf.get(FREES, None)
+    rows = spark.range(20_000).select(F.col("id"), (F.col("id") % 97).alias("k"))
+    counted = materialize(rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("last")), "freed")
+    joined = sorted_run(rows.repartition(5, "id").join(counted.hint("merge"), "k"), "freed", ["k"])
+    deadline = time.time() + 20
+    while _shuffle_files(spark) - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert _shuffle_files(spark) - before == set()
+    assert counted.count() == 97 and joined.count() == 20_000 and spark.conf.get(FREES, None) == setting
