@@ -103,3 +103,25 @@ def test_validation(raw, status):
     import pandas as pd
 
     assert columns.validated_position.func(pd.Series([raw])).status[0] == status
+
+
+def test_a_worker_judges_equal_rows_once(monkeypatch):
+    import pandas as pd
+
+    from sievework.board import claims, columns
+
+    asked = []
+    own = claims.verify
+    monkeypatch.setattr(claims, "verify", lambda *a: asked.append(a) or own(*a))
+    fen = "r1bqkbnr/pppp1ppp/2n5/4p3/4P3/5N2/PPPP1PPP/RNBQKB1R w KQkq - 2 3"
+    texts = pd.Series([f"The knight on {s} is strong. Version {i % 3} of once." for i in range(300) for s in ("f3", "a1")])
+    got = columns.verify_text.func(texts, pd.Series([fen] * 600), pd.Series([None] * 600))
+    assert len(asked) == 6
+    assert [len(v) for v in got.violations] == [0, 1] * 300 and list(got.clean[:2]) == ["The knight on f3 is strong. Version 0 of once.", "Version 0 of once."]
+
+
+def test_fact_sheets_judge_distinct_boards_only(spark):
+    from __spark_entry__ import queries
+
+    plan = queries()["move_fact_sheet"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("ArrowEvalPython") < plan.index("Aggregate")
