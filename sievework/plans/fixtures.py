@@ -12,13 +12,18 @@ from pyspark.sql import functions as F
 
 from sievework.session import table
 
+#: Lines that a task of a grouping by orders gets, about; so its memory does not grow with the table.
+LINES = 500_000
 LEVEL_OF_FLAG = {"A": "beginner", "N": "intermediate", "R": "advanced"}
 
 
 def by_order(spark: SparkSession, sf: str) -> DataFrame:
     """Lines dealt by their order: nearly every group has one line, so combining before the shuffle would save nothing, and
-    all later groupings that hold the order find it dealt."""
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_quantity", "l_discount", "l_tax", "l_extendedprice").repartition("l_orderkey")
+    all later groupings that hold the order find it dealt. Of large tables there are as many parts as keep each bounded,
+    whatever the session's shuffle partitions; the count comes from the files' footers."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
+    many = -(-lines.count() // LINES)
+    return lines.repartition(many, "l_orderkey") if many > int(spark.conf.get("spark.sql.shuffle.partitions")) else lines.repartition("l_orderkey")
 
 
 def pool(spark: SparkSession, sf: str) -> DataFrame:

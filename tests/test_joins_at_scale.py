@@ -186,3 +186,12 @@ def test_pending_combinations(spark):
     assert sorted((tuple(r) for r in two.collect()), key=str) == sorted(((u, k) for u in (1, 2, None) for k in ("a", "b", None) if (u, k) not in {(1, "a"), (None, None)}), key=str)
     assert "Cross" not in two._jdf.queryExecution().optimizedPlan().toString()
     assert [r.u for r in joins.pending([users], done.where("u is null or u <> 2"), ["u"]).collect()] == [2]
+
+
+def test_tasks_of_orders_are_bounded_whatever_the_shuffle_partitions(spark, monkeypatch):
+    from sievework.plans import fixtures
+
+    monkeypatch.setattr(fixtures, "LINES", 100, raising=False)
+    rows = fixtures.fact(spark, "/root/testdata/sf0.001")
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert rows.rdd.getNumPartitions() == -(-lines // 100) > int(spark.conf.get("spark.sql.shuffle.partitions"))
