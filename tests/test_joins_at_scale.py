@@ -195,3 +195,13 @@ def test_tasks_of_orders_are_bounded_whatever_the_shuffle_partitions(spark, monk
     rows = fixtures.fact(spark, "/root/testdata/sf0.001")
     lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
     assert rows.rdd.getNumPartitions() == -(-lines // 100) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_histogram_of_reasons_asks_its_tests_once(spark):
+    from sievework.operators import gates
+
+    rows = spark.createDataFrame([(1, " a  b "), (2, "abc"), (3, None)], "id long, text string").repartition(2).withColumn("body", F.regexp_replace("text", " +", ""))
+    out = gates.reason_histogram(gates.with_reasons(rows, [("short", F.length("body") < 3), ("b", F.contains("body", F.lit("b")))]))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1, plan
+    assert {(r.reason, r.n) for r in out.collect()} == {("short", 1), ("b", 2)}
