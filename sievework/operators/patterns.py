@@ -3,6 +3,8 @@
 Each pattern comes with words of which any text that matches has at least one as the start of a word (`starts`). The index
 is a table (first letters of a start, pattern); a text's words are looked up in it by an equi-join that moves letters and
 row numbers, not texts; what remains are a few candidates for each text, and only these are tried as regular expressions.
+First letters say little where starts are common words; with `pairs`, a start is two whole words with a blank between, of
+which any text that matches has at least one as neighbours, and the index is one of pairs.
 A text without a match gets the family that a table of substrings names for it (by the substrings' order), or else a default.
 
 Defined cases: a null text matches nothing; a pattern without starts is tried on every text; equal priorities are decided
@@ -26,27 +28,37 @@ def _stems(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(*[F.substring(w, 1, n) for n in range(1, LETTERS + 1)]))))
 
 
-def index(patterns: DataFrame) -> DataFrame:
+def _pairs(text: Column) -> Column:
+    """The distinct pairs of neighbouring words of a text, over a column of its words."""
+    return F.array_distinct(F.transform(text, lambda w, i: F.concat(w, F.lit(" "), F.get(text, i + 1))))
+
+
+def index(patterns: DataFrame, pairs: bool = False) -> DataFrame:
     """(stem, pattern_id) of patterns (with pattern_id, starts)."""
     starts = patterns.select("pattern_id", F.explode("starts").alias("start"))
-    return starts.select(F.substring(F.lower("start"), 1, LETTERS).alias("stem"), "pattern_id").distinct()
+    return starts.select((F.lower("start") if pairs else F.substring(F.lower("start"), 1, LETTERS)).alias("stem"), "pattern_id").distinct()
 
 
-def candidates(rows: DataFrame, key: str, text: str, patterns: DataFrame) -> DataFrame:
+def candidates(rows: DataFrame, key: str, text: str, patterns: DataFrame, pairs: bool = False) -> DataFrame:
     """(key, pattern_id): the patterns that the index does not rule out for a row's text."""
-    stems = rows.select(key, F.explode(_stems(F.col(text))).alias("stem"))
-    return stems.join(index(patterns), "stem").select(key, "pattern_id").distinct()
+    # explode_outer: of explode() Spark infers a filter that computes the stems once more.
+    if pairs:
+        words = rows.select(key, F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+").alias("_words"))
+        stems = words.select(key, F.explode_outer(_pairs(F.col("_words"))).alias("stem"))
+    else:
+        stems = rows.select(key, F.explode_outer(_stems(F.col(text))).alias("stem"))
+    return stems.join(index(patterns, pairs), "stem").select(key, "pattern_id").distinct()
 
 
-def first_family(rows: DataFrame, key: str, text: str, patterns: DataFrame, substrings: list[tuple[str, str]] = (), default: str | None = None) -> DataFrame:
-    """rows (of distinct keys) and family, by patterns (family, priority, pattern, starts array<string>), then substrings, then the default."""
+def first_family(rows: DataFrame, key: str, text: str, patterns: DataFrame, substrings: list[tuple[str, str]] = (), default: str | None = None, pairs: bool = False) -> DataFrame:
+    """rows (of distinct keys) and family, by patterns (family, priority, pattern, starts array<string>, each two words if `pairs`), then substrings, then the default."""
     if len(substrings) > BOUND:
         raise ValueError(f"more than {BOUND} substrings")
     known = patterns.select("family", F.col("priority").cast("long").alias("priority"), "pattern", F.coalesce("starts", F.array().cast("array<string>")).alias("starts"))
     known = known.groupBy("family", "priority", "pattern").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
     known = known.withColumn("pattern_id", F.xxhash64("family", "priority", "pattern"))
     rule = F.struct("priority", "family", "pattern")
-    found = candidates(rows, key, text, known.where(F.size("starts") > 0)).join(known.select("pattern_id", rule.alias("rule")), "pattern_id")
+    found = candidates(rows, key, text, known.where(F.size("starts") > 0), pairs).join(known.select("pattern_id", rule.alias("rule")), "pattern_id")
     found = found.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list("rule")).alias("_rules"))
     loose = known.where(F.size("starts") == 0).select(rule.alias("rule")).limit(BOUND + 1).agg(F.collect_list("rule").alias("all"))
     kind = loose.schema["all"].dataType

@@ -10,7 +10,7 @@ from sievework.operators import council as C
 from sievework.operators import exclusion, identity, patterns, quotas
 from sievework.operators import metrics as M
 from sievework.plans.registry import query
-from sievework.session import table
+from sievework.session import spread, table
 
 
 @query("""SELECT l_orderkey, l_linenumber FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = l.l_suppkey AND s.s_acctbal < 0)
@@ -37,9 +37,9 @@ def pattern_table_families(spark, sf) -> DataFrame:
     substring says; else a default."""
     w = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)
     known = table(spark, sf, "benchmark").select("item_id", w.alias("w")).where(F.size("w") > 1)
-    known = known.select(F.concat(F.lit("item"), F.col("item_id") % 7).alias("family"), F.col("item_id").alias("priority"), F.concat(F.lit(r"(?i)(^|[^\p{L}\p{N}])"), F.col("w")[0], F.lit(r"[ \n\t]+"), F.col("w")[1], F.lit(r"($|[^\p{L}\p{N}])")).alias("pattern"), F.array(F.lower(F.col("w")[0])).alias("starts"))
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return patterns.first_family(docs, "doc_id", "text", known, [("license", "legal"), ("@", "contact")], "other").select("doc_id", "family")
+    known = known.select(F.concat(F.lit("item"), F.col("item_id") % 7).alias("family"), F.col("item_id").alias("priority"), F.concat(F.lit(r"(?i)(^|[^\p{L}\p{N}])"), F.col("w")[0], F.lit(r"[ \n\t]+"), F.col("w")[1], F.lit(r"($|[^\p{L}\p{N}])")).alias("pattern"), F.array(F.lower(F.concat(F.col("w")[0], F.lit(" "), F.col("w")[1]))).alias("starts"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return patterns.first_family(docs, "doc_id", "text", known, [("license", "legal"), ("@", "contact")], "other", pairs=True).select("doc_id", "family")
 
 
 _SIDES = """a AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS s FROM orders),

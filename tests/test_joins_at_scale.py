@@ -197,6 +197,18 @@ def test_tasks_of_orders_are_bounded_whatever_the_shuffle_partitions(spark, monk
     assert rows.rdd.getNumPartitions() == -(-lines // 100) > int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_patterns_by_pairs_of_words_try_few_and_find_the_same(spark):
+    texts = [(1, "the cat sat"), (2, "so the\n\t DOG ran"), (3, "the old dog"), (4, None), (5, "breathe dog"), (6, "the dogs"), (7, "the, dog"), (8, "THE cat"), (9, "the")]
+    rows = spark.createDataFrame(texts, "id long, text string")
+    rule = r"(?i)(^|[^\p{L}\p{N}])%s[ \n\t]+%s($|[^\p{L}\p{N}])"
+    known = spark.createDataFrame([("a", 2, rule % ("the", "dog"), ["the dog"], ["the"]), ("b", 1, rule % ("the", "cat"), ["the cat"], ["the"])], "family string, priority long, pattern string, two array<string>, one array<string>")
+    by_pairs, by_words = (known.select("family", "priority", "pattern", F.col(c).alias("starts")) for c in ("two", "one"))
+    got = [{r.id: r.family for r in patterns.first_family(rows, "id", "text", k, pairs=p).collect()} for k, p in ((by_pairs, True), (by_words, False))]
+    assert got[0] == got[1] == {1: "b", 2: "a", 3: None, 4: None, 5: None, 6: None, 7: None, 8: "b", 9: None}
+    tried = patterns.candidates(rows, "id", "text", by_pairs.withColumn("pattern_id", F.col("priority")), True)
+    assert {(r.id, r.pattern_id) for r in tried.collect()} == {(1, 1), (2, 2), (7, 2), (8, 1)}
+
+
 def test_a_histogram_of_reasons_asks_its_tests_once(spark):
     from sievework.operators import gates
 
