@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import drop, keep_least, map_batches, materialize, parts, raw_texts, row_hash, shuffles_freed, sorted_run
+from sievework.llm.common import drop, keep_least, map_batches, materialize, parts, raw_texts, row_hash, shuffles_freed, sorted_run, unbroadcast
 from sievework.llm.simhash import SEED, components, linked, simhash
 
 #: Words of a shingle.
@@ -275,6 +275,11 @@ def rooted(docs: DataFrame, bits: int = 6) -> DataFrame:
 
     `bits` is of the SimHash components that are tried first; it changes the work, not the result.
     """
+    with unbroadcast(docs.sparkSession):
+        return _rooted(docs, bits)
+
+
+def _rooted(docs: DataFrame, bits: int) -> DataFrame:
     spark = docs.sparkSession
     marks = materialize(marked(docs), "near-marks")
 
@@ -300,9 +305,8 @@ def rooted(docs: DataFrame, bits: int = 6) -> DataFrame:
         known = groups.join(labels, "node").select("h", "node", "size", "label", "sketch")
         return grouped(known).mapInArrow(lambda it: _pairs(it, star), "a long, b long").distinct()
 
-    def labelled(links: DataFrame, label: str) -> DataFrame:
-        roots = components(links, label).withColumnRenamed("root", "label")
-        return texts.select("node", "sketch").join(roots, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "sketch")
+    def labelled(roots: DataFrame) -> DataFrame:
+        return texts.select("node", "sketch").join(roots.withColumnRenamed("root", "label"), "node", "left").select("node", F.coalesce("label", "node").alias("label"), "sketch")
 
     # One node of each fingerprint stands for it, and that of a component's smallest fingerprint for the component.
     stands = texts.groupBy("fingerprint").agg(F.min("node").alias("stand"))
@@ -312,17 +316,23 @@ def rooted(docs: DataFrame, bits: int = 6) -> DataFrame:
     centres = centres.withColumnRenamed("node", "b").join(centres.groupBy("root").agg(F.min("node").alias("a")), "root").where("a <> b").select("a", "b")
     links = materialize(_verified(centres, texts), "near-links")
     written = [links]
+    roots = components(links, "near-components")
     tried = centres.where("a is null").select("a", "b")
     for i in range(ROUNDS):
-        pairs = materialize(proposed(labelled(links, f"near-components-{i}"), True).join(tried, ["a", "b"], "left_anti"), f"near-tried-{i}")
+        pairs = materialize(proposed(labelled(roots), True).join(tried, ["a", "b"], "left_anti"), f"near-tried-{i}")
         found = materialize(_verified(pairs, texts), f"near-links-{i}")
-        links, tried = links.union(found), tried.union(pairs)
+        tried = tried.union(pairs)
         written += [pairs, found]
-        if found.count() * WORTH < pairs.count() or pairs.isEmpty():
+        new, asked = found.count(), pairs.count()
+        if new:  # without new links components are those before
+            links = links.union(found)
+            roots = components(links, f"near-components-{i}")
+        if new * WORTH < asked or not asked:
             break
-    rest = materialize(proposed(labelled(links, "near-more"), False).join(tried, ["a", "b"], "left_anti"), "near-rest")
+    rest = materialize(proposed(labelled(roots), False).join(tried, ["a", "b"], "left_anti"), "near-rest")
     found = materialize(_verified(rest, texts), "near-links-rest")
-    roots = components(links.union(found), "near-all")
+    if not found.isEmpty():
+        roots = components(links.union(found), "near-all")
     out = materialize(nodes.join(roots, "node", "left").select("doc_id", "row", F.coalesce("root", "node").alias("root")), "near-roots")
     for table in (groups, texts, nodes, rest, found, *written):
         drop(table)

@@ -66,3 +66,13 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
         time.sleep(0.2)
     assert _shuffle_files(spark) - before == set()
     assert counted.count() == 97 and joined.count() == 20_000 and spark.conf.get(FREES, None) == setting
+
+
+def test_inside_unbroadcast_no_join_is_gathered_in_the_driver(spark):
+    setting = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    small, rows = materialize(spark.range(7).withColumnRenamed("id", "k"), "small"), spark.range(100).select((F.col("id") % 9).alias("k"))
+    with common.unbroadcast(spark):
+        joined = rows.join(small, "k")
+        assert joined.count() == 78 and "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == setting
+    assert "BroadcastHashJoin" in rows.join(small, "k")._jdf.queryExecution().executedPlan().toString()
