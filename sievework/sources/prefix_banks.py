@@ -149,14 +149,16 @@ class BankWriter(DataSourceArrowWriter):
         fs, root = open_store(self.path)
         fs.create_dir(root, recursive=True)
         done: list[tuple[str, str]] = []
+        seen: set[str] = set()
         name, out = None, None
         for batch in batches:
             for own, text in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist()):
                 if out is None or own != name:
                     if out is not None:
                         out.close()
-                    if own is None or "/" in own or any(final == f"{own}{self.suffix}" for _, final in done):
+                    if own is None or "/" in own or own in seen:
                         raise ValueError(f"no name of a file, or its rows do not come together: {own}")
+                    seen.add(own)
                     name, hidden = own, f"_{self.run}-{uuid.uuid4().hex}"
                     done.append((hidden, f"{own}{self.suffix}"))
                     out = _Framed(fs.open_output_stream(f"{root}/{hidden}", compression=None), self.suffix)

@@ -98,3 +98,16 @@ def test_quoted_fields_of_puzzle_lines(spark, tmp_path):
     (tmp_path / "p.csv").write_text('PuzzleId,FEN,Rating\r\n1,"a, ""b""",900\r\n2,x,n/a\r\n3,,1500')
     rows = prefix_banks.read_puzzle_prefix(spark, str(tmp_path / "p.csv"), ("PuzzleId", "FEN", "Rating"))
     assert sorted((r.PuzzleId, r.FEN, r.Rating, r.record_no) for r in rows.collect()) == [("1", 'a, "b"', 900, 1), ("3", None, 1500, 3)]
+
+
+def test_a_task_writes_many_files_in_time_that_follows_their_number(tmp_path):
+    import time
+
+    import pyarrow as pa
+
+    n, began = 25_000, time.process_time()
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(n)]), pa.array(["x"] * n)], ["file", "text"])
+    writer = prefix_banks.BankWriter({"path": str(tmp_path / "many"), "suffix": ".txt"}, True)
+    assert len(writer.write(iter([batch])).files) == n and time.process_time() - began < 12
+    with pytest.raises(ValueError, match="do not come together"):
+        writer.write(iter([pa.RecordBatch.from_arrays([pa.array(["a", "b", "a"]), pa.array(["x"] * 3)], ["file", "text"])]))
