@@ -308,20 +308,24 @@ def _rooted(docs: DataFrame, bits: int) -> DataFrame:
     def labelled(roots: DataFrame) -> DataFrame:
         return texts.select("node", "sketch").join(roots.withColumnRenamed("root", "label"), "node", "left").select("node", F.coalesce("label", "node").alias("label"), "sketch")
 
-    # One node of each fingerprint stands for it, and that of a component's smallest fingerprint for the component.
-    stands = texts.groupBy("fingerprint").agg(F.min("node").alias("stand"))
-    roots = linked(stands.select("fingerprint"), bits)
-    stands = stands.join(roots, "fingerprint", "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"))
-    centres = texts.join(stands, "fingerprint").select("node", "root")
-    centres = centres.withColumnRenamed("node", "b").join(centres.groupBy("root").agg(F.min("node").alias("a")), "root").where("a <> b").select("a", "b")
-    links = materialize(_verified(centres, texts), "near-links")
-    written = [links]
+    # The smallest node of a SimHash component stands for it. What later queries read is a table by now: else the plan of
+    # each holds all that made it, and the driver keeps plans and their metrics long after.
+    prints = materialize(linked(texts.select("fingerprint").distinct(), bits), "near-prints")
+    centres = materialize(texts.select("node", "fingerprint").join(prints, "fingerprint", "left").select("node", F.coalesce("root", "fingerprint").alias("root")), "near-centres")
+    pairs = centres.withColumnRenamed("node", "b").join(centres.groupBy("root").agg(F.min("node").alias("a")), "root").where("a <> b").select("a", "b")
+    links = materialize(_verified(pairs, texts), "near-links")
+    written = [prints, centres, links]
     roots = components(links, "near-components")
-    tried = centres.where("a is null").select("a", "b")
+    tried: DataFrame | None = None
+
+    def untried(labels: DataFrame, star: bool) -> DataFrame:
+        found = proposed(labels, star)
+        return found if tried is None else found.join(tried, ["a", "b"], "left_anti")
+
     for i in range(ROUNDS):
-        pairs = materialize(proposed(labelled(roots), True).join(tried, ["a", "b"], "left_anti"), f"near-tried-{i}")
+        pairs = materialize(untried(labelled(roots), True), f"near-tried-{i}")
         found = materialize(_verified(pairs, texts), f"near-links-{i}")
-        tried = tried.union(pairs)
+        tried = pairs if tried is None else tried.union(pairs)
         written += [pairs, found]
         new, asked = found.count(), pairs.count()
         if new:  # without new links components are those before
@@ -329,7 +333,7 @@ def _rooted(docs: DataFrame, bits: int) -> DataFrame:
             roots = components(links, f"near-components-{i}")
         if new * WORTH < asked or not asked:
             break
-    rest = materialize(proposed(labelled(roots), False).join(tried, ["a", "b"], "left_anti"), "near-rest")
+    rest = materialize(untried(labelled(roots), False), "near-rest")
     found = materialize(_verified(rest, texts), "near-links-rest")
     if not found.isEmpty():
         roots = components(links.union(found), "near-all")

@@ -119,3 +119,19 @@ def test_very_long_text(spark):
         edit[rng.randrange(len(edit))] = "edited"
     rows = [(1, " ".join(long)), (2, " ".join(edit)), (3, "w" * 3_000_000)]
     assert sorted(map(tuple, N.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_plans_hold_tables_and_not_again_what_made_them(spark, monkeypatch):
+    """The driver keeps a query's plan and metrics, of each time that it was planned anew, long after the query has ended."""
+    reads = {}
+    own = N.materialize
+
+    def noted(df, label):
+        reads[label] = max(reads.get(label, 0), df._jdf.queryExecution().executedPlan().toString().count("FileScan"))
+        return own(df, label)
+
+    monkeypatch.setattr(N, "materialize", noted)
+    rows = edited(3, 60)
+    got = N.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == brute(rows)
+    assert {"near-links", "near-tried-0", "near-rest"} <= set(reads) and max(reads.values()) <= 6, reads
