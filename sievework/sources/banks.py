@@ -88,13 +88,36 @@ def up_to_targets(rows: DataFrame, level: str, order: str, targets: dict[str, in
     return rows.withColumn("_p", F.row_number().over(Window.partitionBy(level).orderBy(order))).where(F.col("_p") <= most).drop("_p")
 
 
-def read_transcripts(spark: SparkSession, path: str, hints: DataFrame, playlists: dict[str, str]) -> DataFrame:
-    """(playlist, video_id, text, level) of <playlist>/<video>.txt files: the manifest's level, else the title's rating, else the playlist's, else intermediate.
+def with_levels(rows: DataFrame, hints: DataFrame, playlists: dict[str, str]) -> DataFrame:
+    """rows (with playlist and video_id) and their level: the manifest's, else the title's rating, else the playlist's, else intermediate.
 
-    hints has (video_id, title, level_hint).
+    hints has (video_id, title, level_hint), one row for each video. Rows are shuffled whole, so drop texts that aren't needed first.
     """
-    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    rows = files.select(F.regexp_extract("file", r"([^/]+)/[^/]+\.txt$", 1).alias("playlist"), F.regexp_extract("file", r"([^/]+)\.txt$", 1).alias("video_id"), F.col("value").alias("text"))
     default = F.element_at(F.create_map(*[F.lit(x) for kv in (playlists or {"": ""}).items() for x in kv]), F.col("playlist"))
     level = F.coalesce("level_hint", level_cut(rating_of_title(F.coalesce("title", F.lit("")))), default, F.lit("intermediate"))
-    return rows.join(hints, "video_id", "left").select("playlist", "video_id", "text", level.alias("level"))
+    return rows.join(hints, "video_id", "left").select(*[rows[c] for c in rows.columns], level.alias("level"))
+
+
+def read_transcripts(spark: SparkSession, path: str, hints: DataFrame, playlists: dict[str, str]) -> DataFrame:
+    """(playlist, video_id, text, level) of <playlist>/<video>.txt files, with levels as in with_levels.
+
+    A file without bytes is a transcript of no text: Spark lists such files, but does not read them. The driver holds the files'
+    names and each file costs a listing and an opening; bundles (write_bundles) are for transcripts by the million.
+    """
+    texts = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+    names = spark.createDataFrame([(name,) for name in texts.inputFiles()], "file string")
+    files = names.join(texts, "file", "left")
+    rows = files.select(F.regexp_extract("file", r"([^/]+)/[^/]+\.txt$", 1).alias("playlist"), F.regexp_extract("file", r"([^/]+)\.txt$", 1).alias("video_id"), F.coalesce("value", F.lit("")).alias("text"))
+    return with_levels(rows, hints, playlists)
+
+
+def write_bundles(rows: DataFrame, path: str) -> None:
+    """Writes rows (with playlist, file and text) as bundles: each playlist's folder has a few files, in which many transcripts
+    stand whole under their names (<video>.txt). Two transcripts may have the same name."""
+    rows.select("playlist", "file", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("playlist").parquet(path)
+
+
+def read_bundles(spark: SparkSession, path: str) -> DataFrame:
+    """(playlist, video_id, text) of the transcripts in bundles, found by their folder's and their own names."""
+    rows = spark.read.schema("file string, text string, playlist string").parquet(path)
+    return rows.select("playlist", F.regexp_extract("file", r"([^/]+)\.txt$", 1).alias("video_id"), "text")

@@ -88,6 +88,36 @@ def test_transcript_levels(spark, tmp_path):
     assert got == {"a": "intermediate", "b": "advanced", "c": "intermediate"}
 
 
+def test_transcripts_without_text_and_with_equal_names_are_kept(spark, tmp_path):
+    write(tmp_path / "pl" / "a.txt", "text a")
+    write(tmp_path / "pl" / "none.txt", "")
+    hints = spark.createDataFrame([("none", None, "beginner")], "video_id string, title string, level_hint string")
+    got = banks.read_transcripts(spark, str(tmp_path / "*" / "*.txt"), hints, {"pl": "advanced"}).collect()
+    assert sorted(map(tuple, got)) == [("pl", "a", "text a", "advanced"), ("pl", "none", "", "beginner")]
+    rows = [("007", "a.txt", "one"), ("007", "a.txt", "two"), ("x/y=z", "-3.txt", None), (None, None, "\ufeff\r\n\0")]
+    frame = spark.createDataFrame(rows, "playlist string, file string, text string")
+    for name, some in (("all", frame), ("none", frame.limit(0))):
+        banks.write_bundles(some, str(tmp_path / name))
+        want = [(p, f and f[:-4], t or "") for p, f, t in rows] if name == "all" else []
+        assert sorted(map(tuple, banks.read_bundles(spark, str(tmp_path / name)).collect()), key=str) == sorted(want, key=str)
+
+
+ODD_DOCUMENTS = [(0, "zero"), (1, ""), (2, None), (3, "\ufeffbom"), (4, "a\r\nb"), (5, "nul\0x"), (6, "same"), (6, "other"), (6, "other"), (-3, "minus"), (-1204, "minus too"), (-8, ""), (None, "no id"), (None, ""), (7, "😀é\u2028"), (2**63 - 1, "long"), (8, "\n")]
+
+
+def test_transcripts_found_of_odd_documents_are_those_of_its_sql(spark, tmp_path):
+    import duckdb
+
+    from sievework import catalog
+
+    spark.createDataFrame([(d, t, "en", "src1", len(t or "")) for d, t in ODD_DOCUMENTS], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.queries()["transcripts_found"](spark, str(tmp_path)).select("video_id", "playlist", "chars", "level").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT video_id, playlist, chars, level FROM ({catalog.oracle_sql()['transcripts_found']})").fetchall()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and len(want) == len(ODD_DOCUMENTS)
+
+
 def test_stub_source_and_crawl(spark, tmp_path):
     frontier.register(spark)
     paths = [write(tmp_path / f"{i}.ndjson", f'{{"id": {i}, "name": "n"}}\nbroken\n') for i in range(3)]
