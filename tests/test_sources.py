@@ -118,6 +118,18 @@ def test_transcripts_found_of_odd_documents_are_those_of_its_sql(spark, tmp_path
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and len(want) == len(ODD_DOCUMENTS)
 
 
+def test_transcripts_found_writes_files_by_its_tasks_not_by_its_documents(spark, tmp_path, monkeypatch):
+    from sievework import catalog
+    from sievework.plans import exports
+
+    monkeypatch.setattr(exports, "scratch", lambda spark: f"file://{tmp_path}/made")
+    d = F.col("id")
+    spark.range(0, 2000, 1, 2).select(d.alias("doc_id"), F.concat(F.lit("text "), d).alias("text"), F.lit("en").alias("lang"), F.lit("src1").alias("source"), F.lit(9).cast("long").alias("n_chars")).write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.queries()["transcripts_found"](spark, str(tmp_path))
+    made = [p for p in (tmp_path / "made").rglob("*") if p.is_file() and not p.name.startswith(("_", "."))]
+    assert len(made) <= 5 * 4 and found.count() == found.select("video_id").distinct().count() == 2000
+
+
 def test_stub_source_and_crawl(spark, tmp_path):
     frontier.register(spark)
     paths = [write(tmp_path / f"{i}.ndjson", f'{{"id": {i}, "name": "n"}}\nbroken\n') for i in range(3)]
